@@ -24,19 +24,20 @@ OPEN_END = "9999-12-31"
 MAX_SNAPSHOTS = 50_000
 
 
-def snapshot_calendar(rows: DataFrame, date: str) -> DataFrame:
-    """The distinct dates in order: (snap_date, snap_no from 0, next_date; null after the newest).
+def snapshot_calendar(rows: DataFrame, date: str) -> tuple[DataFrame, int]:
+    """The distinct dates in order, (snap_date, snap_no from 0, next_date; null after the newest), and the number of dated rows.
 
     A bounded number of dates is read to the driver and comes back as a broadcast local table;
     more than ``MAX_SNAPSHOTS`` stay a table that the planner joins as it sees fit.
     """
-    days = rows.select(F.col(date).alias("snap_date")).where(F.col("snap_date").isNotNull()).distinct()
-    got = sorted(r[0] for r in days.limit(MAX_SNAPSHOTS + 1).collect())
+    days = rows.select(F.col(date).alias("snap_date")).where(F.col("snap_date").isNotNull()).groupBy("snap_date").agg(F.count("*").alias("n"))
+    got = sorted(tuple(r) for r in days.limit(MAX_SNAPSHOTS + 1).collect())
     if len(got) <= MAX_SNAPSHOTS:
-        lines = [(d, i, n) for i, (d, n) in enumerate(zip(got, [*got[1:], None]))]
-        return F.broadcast(rows.sparkSession.createDataFrame(lines, "snap_date date, snap_no int, next_date date"))
+        lines = [(day, i, got[i + 1][0] if i + 1 < len(got) else None) for i, (day, _) in enumerate(got)]
+        return F.broadcast(rows.sparkSession.createDataFrame(lines, "snap_date date, snap_no int, next_date date")), sum(n for _, n in got)
     w = Window.partitionBy(F.lit(0)).orderBy("snap_date")
-    return days.select("snap_date", (F.row_number().over(w) - 1).alias("snap_no"), F.lead("snap_date").over(w).alias("next_date"))
+    numbered = days.select("snap_date", (F.row_number().over(w) - 1).alias("snap_no"), F.lead("snap_date").over(w).alias("next_date"))
+    return numbered, days.agg(F.sum("n")).first()[0]
 
 
 def attribute_hash(attributes: list[Column]) -> Column:
@@ -59,7 +60,7 @@ def build_history(snapshots: DataFrame, key: Column, date: Column, attributes: d
     names = list(attributes)
     src = snapshots.select(key.alias("key"), date.alias("snap_date"), loaded.alias("loaded"), *[a.alias(f"a_{n}") for n, a in attributes.items()]).where(F.col("key").isNotNull() & F.col("snap_date").isNotNull())
     rows = keep_last(src, {"key": F.col("key"), "snap_date": F.col("snap_date")}, [F.col("loaded")], {f"a_{n}": F.col(f"a_{n}") for n in names})
-    rows = rows.join(snapshot_calendar(src, "snap_date"), "snap_date")
+    rows = rows.join(snapshot_calendar(src, "snap_date")[0], "snap_date")
     series = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("snap_no", "snap_date", "next_date", *[F.col(f"a_{n}") for n in names]))).alias("series"))
     return _fold(series, names, carry)
 

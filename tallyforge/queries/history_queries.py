@@ -149,8 +149,7 @@ def p5_current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "revenue_monthly")
-    calendar = snapshot_calendar(revenue_rows(spark, d).select("snapshot_date"), "snapshot_date")
+    calendar, n_rows = snapshot_calendar(revenue_rows(spark, d).select("snapshot_date"), "snapshot_date")
     rows = keep_last(
         _yen_rows(spark, d, {**_key(), "loaded_at": F.col("loaded_at"), "is_finalized": F.col("is_finalized")}).where(F.col("snapshot_date").isNotNull() & F.col("revenue_month").isNotNull()),
         _key(),
@@ -172,7 +171,7 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    buckets = max(1, math.ceil(raw.count() / ROWS_PER_BUCKET))
+    buckets = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
     out = diff_pairs(rows, {n: F.col(n) for n in ("account_id", "revenue_month", "line_no")}, {"yen": F.col("yen"), "is_finalized": F.col("is_finalized")}, pairs, buckets)
     return out.join(F.broadcast(calendar), out["pair"] == calendar["snap_no"])
 
