@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.llm.leakage import template_leaks, verbatim_leaks
 from tallyforge.llm.tokenize import decode_corpus, encode_corpus
 from tallyforge.sources.tables import table
 
@@ -19,6 +20,19 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(p8_ids(spark, d), "doc_id", "ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_ids": p8_ids, "p8_decoded": p8_decoded}
+def _both(spark: SparkSession, d: str) -> tuple:
+    return table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text"
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return verbatim_leaks(*_both(spark, d))
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Verbatim and re-parameterised items in documents."""
+    return template_leaks(*_both(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_leaks": p9_leaks}
 
 ORACLE: dict[str, str] = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
