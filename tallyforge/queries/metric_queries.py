@@ -1,2 +1,556 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of the metric layer, comparison and annotation operators, with their SQL twins.
+
+Names begin with the operator's id in lower case; ``sel`` stands for the projection and scalar
+operators, whose letter is taken by another family of queries.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.functions import text as texts
+from tallyforge.operators import annotate, compare
+from tallyforge.plans import catalog, shop
+from tallyforge.plans.compiler import Compiler, align
+from tallyforge.plans.semantic import Scope
+from tallyforge.session import shared_dir
+from tallyforge.sources import files
+from tallyforge.sources.tables import table
+from tallyforge.streaming.events import windowed_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+_REGISTRY = shop.shop()
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return keep
+
+
+def _doubles(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in df.columns if c not in keys])
+
+
+def metric(name: str, names: list[str], scope: Scope, sql: str, order: bool = False) -> None:
+    """Register a metric query; values come out as doubles, keys as they are."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = _doubles(Compiler(_REGISTRY, spark, d).query(names, scope), scope.keys)
+        return out.orderBy(*scope.keys) if order else out
+
+    QUERIES[name], ORACLE[name] = run, sql
+
+
+TOTAL, MONTH, DAY, YEAR = Scope(), Scope("month"), Scope("day"), Scope("year")
+_O = "(SELECT *, CAST(o_totalprice AS DECIMAL(12, 2)) AS value FROM orders)"
+_I = "(SELECT *, CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(12, 2))) AS revenue, CASE WHEN l_shipdate < '1998-01-01' AND l_quantity <= 25 THEN 1 ELSE 0 END AS prompt_flag FROM lineitem)"
+_C = f"(SELECT o_custkey, sum(value) AS lifetime_value, min(o_orderdate) AS first_order FROM {_O} GROUP BY 1)"
+
+
+def _m(col: str, grain: str = "month") -> str:
+    return f"CAST(date_trunc('{grain}', {col}) AS DATE) AS metric_time__{grain}"
+
+
+# --- measures and aggregation
+metric("a1_sum", ["order_value"], TOTAL, f"SELECT CAST(sum(value) AS DOUBLE) AS order_value FROM {_O}")
+metric("a2_sum_conditional", ["urgent_value", "returned_revenue"], TOTAL, f"SELECT (SELECT CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN value ELSE 0 END) AS DOUBLE) FROM {_O}) AS urgent_value, (SELECT CAST(sum(CASE WHEN l_returnflag = 'R' THEN revenue ELSE 0 END) AS DOUBLE) FROM {_I}) AS returned_revenue")
+metric("a3_count_column", ["order_count", "customer_count"], TOTAL, "SELECT CAST(count(o_orderkey) AS DOUBLE) AS order_count, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS customer_count FROM orders")
+metric("a4_sum_of_one", ["order_rows"], MONTH, f"SELECT {_m('o_orderdate')}, CAST(sum(1) AS DOUBLE) AS order_rows FROM orders GROUP BY 1")
+metric("a5_sum_of_flag", ["prompt_items"], MONTH, f"SELECT {_m('l_shipdate')}, CAST(sum(prompt_flag) AS DOUBLE) AS prompt_items FROM {_I} GROUP BY 1")
+metric("a6_ungrouped_total", ["order_value", "order_count", "item_revenue"], TOTAL, f"SELECT CAST(sum(value) AS DOUBLE) AS order_value, CAST(count(o_orderkey) AS DOUBLE) AS order_count, (SELECT CAST(sum(revenue) AS DOUBLE) FROM {_I}) AS item_revenue FROM {_O}")
+metric("a7_by_time_grain", ["event_count", "click_count"], DAY, f"SELECT {_m('ts', 'day')}, CAST(count(event_id) AS DOUBLE) AS event_count, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS DOUBLE) AS click_count FROM events GROUP BY 1")
+metric("a8_by_entity_path", ["order_value"], Scope("year", ("customer__nation__region__r_name",)), f"SELECT {_m('o_orderdate', 'year')}, r_name AS customer__nation__region__r_name, CAST(sum(value) AS DOUBLE) AS order_value FROM {_O} LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+
+
+@query("a9_preaggregate_one_key", f"SELECT o_custkey, CAST(lifetime_value AS DOUBLE) AS lifetime_value, strftime(first_order, '%Y-%m-%d') AS first_order FROM {_C}")
+def _(spark, d):
+    return shop.customer_orders(spark, d).select("o_custkey", F.col("lifetime_value").cast("double").alias("lifetime_value"), F.date_format("first_order", "yyyy-MM-dd").alias("first_order"))
+
+
+@query("a10_preaggregate_two_keys", f"SELECT o_custkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS order_month, CAST(sum(value) AS DOUBLE) AS month_value FROM {_O} GROUP BY 1, 2")
+def _(spark, d):
+    return shop.customer_months(spark, d).select("o_custkey", F.date_format("order_month", "yyyy-MM-dd").alias("order_month"), F.col("month_value").cast("double").alias("month_value"))
+
+
+@query("a11_rollup_across_grains", f"SELECT o_custkey, CAST(lifetime_value AS DOUBLE) AS v1, CAST(lifetime_value AS DOUBLE) AS v2, CAST(0 AS DOUBLE) AS delta, 'both' AS presence, false AS differs FROM {_C}")
+def _(spark, d):
+    return compare.cross_grain(shop.customer_months(spark, d), shop.customer_orders(spark, d), ["o_custkey"], "month_value", "lifetime_value")
+
+
+@query("a12_count_rows", "SELECT count(*) AS n_orders FROM orders")
+def _(spark, d):
+    return catalog.inline_sql(spark, d, "select count(*) as n_orders from {{ ref('orders') }}")
+
+
+_LINES = r"regexp_split_to_array({}, '\r\n|\r|\n')"
+_PATCH = r"regexp_replace(text, '(?i)\bsum\s*\(', 'total(', 'g')"
+_CHANGED = f"WITH d AS (SELECT doc_id, {_LINES.format('text')} AS a, {_LINES.format(_PATCH)} AS b FROM documents WHERE text IS NOT NULL), z AS (SELECT doc_id, unnest(generate_series(1, len(a))) AS line_no, unnest(a) AS before, unnest(b) AS after FROM d)"
+
+
+def _patched(spark, d):
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
+    return docs.select("doc_id", "text", texts.rewrite(F.col("text"), r"(?i)\bsum\s*\(", "total(").alias("patched"))
+
+
+@query("a13_count_changed_lines", f"{_CHANGED} SELECT doc_id, count(*) AS n_changed FROM z WHERE before IS DISTINCT FROM after GROUP BY 1")
+def _(spark, d):
+    return texts.changed_lines(_patched(spark, d), "doc_id", "text", "patched").groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("n_changed"))
+
+
+# --- metric constructors
+metric("m1_simple_by_month", ["order_value"], MONTH, f"SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS order_value FROM {_O} GROUP BY 1 ORDER BY 1", order=True)
+metric("m2_ratio_same_model", ["urgent_share", "prompt_rate"], MONTH, f"WITH a AS (SELECT {_m('o_orderdate')}, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN value ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(value) AS DOUBLE), 0) AS urgent_share FROM {_O} GROUP BY 1), b AS (SELECT {_m('l_shipdate')}, CAST(sum(prompt_flag) AS DOUBLE) / nullif(CAST(sum(1) AS DOUBLE), 0) AS prompt_rate FROM {_I} GROUP BY 1) SELECT * FROM a FULL JOIN b USING (metric_time__month)")
+metric("m3_ratio_across_models", ["value_per_customer"], MONTH, f"WITH a AS (SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS v FROM {_O} GROUP BY 1), b AS (SELECT {_m('first_order')}, CAST(count(o_custkey) AS DOUBLE) AS n FROM {_C} GROUP BY 1) SELECT metric_time__month, v / nullif(n, 0) AS value_per_customer FROM a FULL JOIN b USING (metric_time__month)")
+metric("m4_derived", ["order_value_annual"], YEAR, f"SELECT {_m('o_orderdate', 'year')}, CAST(sum(value) * 12 AS DOUBLE) AS order_value_annual FROM {_O} GROUP BY 1")
+metric("m5_metric_of_metrics", ["returned_to_urgent"], YEAR, f"WITH a AS (SELECT {_m('l_shipdate', 'year')}, CAST(sum(CASE WHEN l_returnflag = 'R' THEN revenue ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(revenue) AS DOUBLE), 0) AS a FROM {_I} GROUP BY 1), b AS (SELECT {_m('o_orderdate', 'year')}, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN value ELSE 0 END) AS DOUBLE) / nullif(CAST(sum(value) AS DOUBLE), 0) AS b FROM {_O} GROUP BY 1) SELECT metric_time__year, a / nullif(b, 0) AS returned_to_urgent FROM a FULL JOIN b USING (metric_time__year)")
+_MV = f"m AS (SELECT {_m('o_orderdate')}, sum(value) AS v FROM {_O} GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(min(metric_time__month), max(metric_time__month), INTERVAL 1 MONTH)) AS DATE) AS metric_time__month FROM m)"
+metric("m6_cumulative", ["order_value_running", "order_value_last3"], MONTH, f"WITH {_MV} SELECT metric_time__month, CAST(sum(v) OVER (ORDER BY metric_time__month) AS DOUBLE) AS order_value_running, CAST(sum(v) OVER (ORDER BY metric_time__month ROWS 2 PRECEDING) AS DOUBLE) AS order_value_last3 FROM s LEFT JOIN m USING (metric_time__month)")
+metric("m7_time_offset", ["order_value", "order_value_before"], MONTH, f"WITH {_MV} SELECT a.metric_time__month, CAST(a.v AS DOUBLE) AS order_value, CAST(b.v AS DOUBLE) AS order_value_before FROM m a LEFT JOIN m b ON b.metric_time__month = a.metric_time__month - INTERVAL 1 MONTH")
+metric("m8_filtered", ["open_value"], MONTH, f"SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS open_value FROM {_O} WHERE o_orderstatus = 'O' GROUP BY 1")
+metric("m9_multi_metric", ["order_value", "item_revenue", "open_value"], MONTH, f"WITH a AS (SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS order_value FROM {_O} GROUP BY 1), b AS (SELECT {_m('l_shipdate')}, CAST(sum(revenue) AS DOUBLE) AS item_revenue FROM {_I} GROUP BY 1), c AS (SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS open_value FROM {_O} WHERE o_orderstatus = 'O' GROUP BY 1) SELECT * FROM a FULL JOIN b USING (metric_time__month) FULL JOIN c USING (metric_time__month)")
+
+
+@query("m10_time_spine", f"WITH {_MV} SELECT strftime(metric_time__month, '%Y-%m-%d') AS metric_time__month FROM s")
+def _(spark, d):
+    c = Compiler(_REGISTRY, spark, d)
+    return c.spine(c.query("order_value", MONTH), MONTH).select(F.date_format("metric_time__month", "yyyy-MM-dd").alias("metric_time__month"))
+
+
+@query("m11_empty_groups", f"WITH m AS (SELECT {_m('first_order')}, sum(lifetime_value) AS v FROM {_C} GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(min(metric_time__month), max(metric_time__month), INTERVAL 1 MONTH)) AS DATE) AS metric_time__month FROM m) SELECT strftime(metric_time__month, '%Y-%m-%d') AS metric_time__month, CAST(v AS DOUBLE) AS lifetime_value FROM s LEFT JOIN m USING (metric_time__month)")
+def _(spark, d):
+    c = Compiler(_REGISTRY, spark, d)
+    return c.spine(c.query("lifetime_value", MONTH), MONTH).select(F.date_format("metric_time__month", "yyyy-MM-dd").alias("metric_time__month"), F.col("lifetime_value").cast("double").alias("lifetime_value"))
+
+
+metric("w1_cumulative_frame", ["order_value_running"], DAY, f"WITH m AS (SELECT {_m('o_orderdate', 'day')}, sum(value) AS v FROM {_O} GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(min(metric_time__day), max(metric_time__day), INTERVAL 1 DAY)) AS DATE) AS metric_time__day FROM m) SELECT metric_time__day, CAST(sum(v) OVER (ORDER BY metric_time__day) AS DOUBLE) AS order_value_running FROM s LEFT JOIN m USING (metric_time__day)")
+metric("w2_prior_period", ["click_count_before"], DAY, f"WITH m AS (SELECT {_m('ts', 'day')}, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS v FROM events GROUP BY 1) SELECT a.metric_time__day, CAST(b.v AS DOUBLE) AS click_count_before FROM m a LEFT JOIN m b ON b.metric_time__day = a.metric_time__day - INTERVAL 7 DAY")
+metric("o1_order_by_key", ["event_count"], DAY, f"SELECT {_m('ts', 'day')}, CAST(count(event_id) AS DOUBLE) AS event_count FROM events GROUP BY 1 ORDER BY 1", order=True)
+
+
+# --- scans, sources, sinks
+def _place(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s1_generated_source", "SELECT 'regions' AS source, r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 'nations', n_nationkey, n_name FROM nation")
+def _(spark, d):
+    made = files.generated(spark, lambda: {n: table(spark, d, t).toPandas() for n, t in (("regions", "region"), ("nations", "nation"))})
+    return made["regions"].select(F.lit("regions").alias("source"), F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")).union(made["nations"].select(F.lit("nations"), "n_nationkey", "n_name"))
+
+
+@query("s2_registered_view", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def _(spark, d):
+    files.register(table(spark, d, "nation"), "df_in")
+    out = spark.sql("SELECT n_regionkey, count(*) AS n FROM df_in GROUP BY 1")
+    files.unregister(spark, "df_in")  # the plan holds the relation, not the name
+    return out
+
+
+@query("s3_unregister", "SELECT false AS still_there")
+def _(spark, d):
+    files.register(table(spark, d, "nation"), "df_gone")
+    files.unregister(spark, "df_gone")
+    return spark.range(1).select(F.lit(spark.catalog.tableExists("df_gone")).alias("still_there"))
+
+
+@query("s4_create_schema", "SELECT true AS there")
+def _(spark, d):
+    files.create_schema(spark, "raw")
+    files.create_schema(spark, "raw")
+    return spark.range(1).select(F.lit(spark.catalog.databaseExists("raw")).alias("there"))
+
+
+@query("s5_create_table_as", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, d):
+    files.create_schema(spark, "raw")
+    return files.create_table_as(table(spark, d, "nation"), "raw", "nation", _place(spark, "raw-nation")).select("n_nationkey", "n_name")
+
+
+@query("s6_session", "SELECT count(*) AS n_customers FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").agg(F.count("*").alias("n_customers"))
+
+
+@query("s7_csv_seed", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def _(spark, d):
+    path = _place(spark, "seed")
+    src = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    src.write.option("header", True).csv(path)
+    return files.csv(spark, path, src.schema)
+
+
+@query("s8_csv_data", "SELECT account_id, strftime(revenue_month, '%Y-%m-%d') AS revenue_month, line_no, revenue_amount, is_finalized FROM revenue_monthly")
+def _(spark, d):
+    path = _place(spark, "data")
+    src = table(spark, d, "revenue_monthly").select("account_id", "revenue_month", "line_no", "revenue_amount", "is_finalized")
+    src.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    read = files.csv(spark, path, src.schema)
+    return read.withColumn("revenue_month", F.date_format("revenue_month", "yyyy-MM-dd"))
+
+
+_TREE = {"models/staging/stg_a.sql": "select cast(x as number(12,2)) as x\nfrom a", "models/b.sql": "select 1 as one", "models/notes.md": "no model"}
+
+
+def _tree(spark) -> str:
+    path = _place(spark, "tree")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, body in _TREE.items():
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+        out.write(bytearray(body.encode()))
+        out.close()
+    return path
+
+
+@query("s9_text_tree", "SELECT * FROM (VALUES ('b.sql', 'select 1 as one'), ('stg_a.sql', 'select cast(x as number(12,2)) as x' || chr(10) || 'from a')) t(file, text)")
+def _(spark, d):
+    return files.text_tree(spark, _tree(spark)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "text")
+
+
+@query("s10_rewrite", r"SELECT doc_id, regexp_replace(text, '(?i)\bsum\s*\(', 'total(', 'g') AS patched FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    path = _place(spark, "patched")
+    files.write_tree(_patched(spark, d).select("doc_id", "patched"), path)
+    return spark.read.parquet(path)
+
+
+@query("s11_build_dag", f"SELECT r_name, CAST(sum(lifetime_value) AS DOUBLE) AS lifetime_value, count(*) AS n_customers FROM {_C} JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def _(spark, d):
+    """Seeds, staging, intermediate and mart as functions; one lazy plan at the end."""
+    staging = shop.customer_orders(spark, d)
+    mart = staging.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return mart.groupBy("r_name").agg(F.sum("lifetime_value").cast("double").alias("lifetime_value"), F.count("*").alias("n_customers"))
+
+
+_SHEET_SQL = "SELECT trim(pair) AS pair, CASE WHEN lower(trim(compare_at)) IN ('overall', 'overall total') THEN 'ungrouped total' ELSE lower(trim(compare_at)) END AS compare_at, nullif(lower(trim(label)), '') AS label, lower(trim(evidence_status)) AS evidence_status, nullif(trim(missing_evidence), '') AS missing_evidence, CAST(minutes AS BIGINT) AS minutes, reviewer FROM (SELECT * FROM worksheet QUALIFY row_number() OVER (PARTITION BY trim(pair), reviewer ORDER BY received_at DESC, compare_at DESC, label DESC NULLS LAST, evidence_status DESC) = 1)"
+
+
+@query("s12_markdown_table", "SELECT trim(pair) AS pair, nullif(trim(compare_at), '') AS compare_at, nullif(trim(label), '') AS label, trim(evidence_status) AS evidence_status, CAST(minutes AS VARCHAR) AS minutes FROM worksheet")
+def _(spark, d):
+    """Worksheets written as markdown rows under a header, and read back."""
+    cells = ["pair", "compare_at", "label", "evidence_status", "minutes"]
+    rows = table(spark, d, "worksheet").select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells]), F.lit(" |")).alias("line"))
+    head = spark.createDataFrame([("| Pair | Scope | Label | Evidence | Min |",), ("| --- | --- | --- | --- | --- |",), ("Start time: 09:00",)], "line string")
+    return files.markdown_rows(head.unionByName(rows), "line", cells).drop("cells")
+
+
+@query("s13_integrity", "SELECT * FROM (VALUES ('b.sql', true), ('missing.sql', false), ('notes.md', false), ('stg_a.sql', true)) t(file, ok)")
+def _(spark, d):
+    names = {k.rsplit("/", 1)[1]: files.digest(v) for k, v in _TREE.items()}
+    manifest = spark.createDataFrame([*[(k, "0" * 64 if k == "notes.md" else v) for k, v in names.items()], ("missing.sql", "0" * 64)], "file string, expected string")
+    return files.verify_manifest(spark, _tree(spark), manifest).select("file", "ok")
+
+
+@query("s14_result_table", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+# --- projection, filter, scalar expressions
+@query("sel1_project_all", "SELECT * FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").select("*")
+
+
+@query("sel2_project_columns", "SELECT l_orderkey, l_linenumber, p_brand, s_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey")
+def _(spark, d):
+    out = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return out.select("l_orderkey", "l_linenumber", "p_brand", "s_name")
+
+
+@query("sel3_row_filter", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def _(spark, d):
+    return table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+
+
+metric("sel4_metric_filter", ["open_value", "order_value"], Scope(None, ("o_orderpriority",)), f"SELECT o_orderpriority, CAST(sum(value) FILTER (o_orderstatus = 'O') AS DOUBLE) AS open_value, CAST(sum(value) AS DOUBLE) AS order_value FROM {_O} GROUP BY 1")
+
+
+@query("sel5_conditional_value", f"SELECT o_orderkey, CAST(CASE WHEN o_orderstatus = 'O' THEN value ELSE 0 END AS DOUBLE) AS open_value FROM {_O}")
+def _(spark, d):
+    return shop.orders(spark, d).select("o_orderkey", F.when(F.col("o_orderstatus") == "O", F.col("value")).otherwise(0).cast("double").alias("open_value"))
+
+
+@query("sel6_conditional_flag", "SELECT event_id, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS is_click FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "click", 1).otherwise(0).alias("is_click"))
+
+
+@query("sel7_compound_flag", f"SELECT l_orderkey, l_linenumber, prompt_flag FROM {_I}")
+def _(spark, d):
+    return shop.items(spark, d).select("l_orderkey", "l_linenumber", "prompt_flag")
+
+
+@query("sel8_arithmetic", f"SELECT l_orderkey, l_linenumber, CAST(revenue * 12 AS DOUBLE) AS yearly, CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) - revenue AS DOUBLE) AS discount_given, l_quantity / 7 + 1 AS weeks FROM {_I}")
+def _(spark, d):
+    return shop.items(spark, d).select("l_orderkey", "l_linenumber", (F.col("revenue") * 12).cast("double").alias("yearly"), (F.col("l_extendedprice").cast(shop.MONEY) - F.col("revenue")).cast("double").alias("discount_given"), (F.col("l_quantity") / 7 + 1).alias("weeks"))
+
+
+@query("sel9_round", f"SELECT l_orderkey, l_linenumber, CAST(round(revenue, 2) AS DOUBLE) AS revenue FROM {_I}")
+def _(spark, d):
+    return shop.items(spark, d).select("l_orderkey", "l_linenumber", F.round("revenue", 2).cast("double").alias("revenue"))
+
+
+@query("sel10_nullif_guard", "SELECT user_id, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END), 0) AS rate FROM events GROUP BY 1")
+def _(spark, d):
+    one = lambda k: F.sum(F.when(F.col("event_type") == k, 1).otherwise(0))
+    return table(spark, d, "events").groupBy("user_id").agg((one("click") / F.nullif(one("view"), F.lit(0))).alias("rate"))
+
+
+@query("sel11_text_to_date", "SELECT o_orderkey, strftime(CAST(strftime(o_orderdate, '%Y-%m-%d') AS DATE), '%Y-%m-%d') AS order_day FROM orders")
+def _(spark, d):
+    text = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, d, "orders").select("o_orderkey", F.to_date(text).cast("string").alias("order_day"))
+
+
+@query("sel12_decimal", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR) AS price FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast(shop.MONEY).cast("string").alias("price"))
+
+
+@query("sel13_regex_replace", r"SELECT doc_id, regexp_replace(text, '(?i)\bsum\s*\(', 'total(', 'g') AS patched FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return _patched(spark, d).select("doc_id", "patched")
+
+
+@query("sel14_numbered_lines", r"WITH d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n') AS a FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(unnest(generate_series(1, len(a))) AS INTEGER) AS line_no, unnest(a) AS line FROM d")
+def _(spark, d):
+    return texts.numbered_lines(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+@query("sel15_trim_upper_format", "SELECT n_nationkey, 'RAW.\"' || upper(trim(n_name)) || '\"' AS label FROM nation")
+def _(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", F.format_string('RAW."%s"', F.upper(F.trim("n_name"))).alias("label"))
+
+
+@query("sel16_constant", "SELECT o_orderstatus, sum(1) AS n FROM orders GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.sum(F.lit(1)).alias("n"))
+
+
+metric("sel17_truncate_year", ["order_count"], YEAR, f"SELECT {_m('o_orderdate', 'year')}, CAST(count(o_orderkey) AS DOUBLE) AS order_count FROM orders GROUP BY 1")
+
+
+@query("sel18_difference", f"{_CHANGED} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, before, after FROM z WHERE before IS DISTINCT FROM after")
+def _(spark, d):
+    return texts.changed_lines(_patched(spark, d), "doc_id", "text", "patched").withColumnRenamed("key", "doc_id")
+
+
+# --- joins and orders
+@query("j1_join_in_model", "SELECT l_orderkey, l_linenumber, o_custkey, p_brand FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey")
+def _(spark, d):
+    out = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    return out.select("l_orderkey", "l_linenumber", "o_custkey", "p_brand")
+
+
+metric("j2_entity_path_join", ["item_revenue"], Scope(None, ("order__customer__c_mktsegment", "part__p_brand")), f"SELECT c_mktsegment AS order__customer__c_mktsegment, p_brand AS part__p_brand, CAST(sum(revenue) AS DOUBLE) AS item_revenue FROM {_I} LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+
+
+@query("j3_align_models", f"WITH a AS (SELECT o_orderstatus AS k, CAST(sum(value) AS DOUBLE) AS order_value FROM {_O} GROUP BY 1), b AS (SELECT l_linestatus AS k, CAST(sum(revenue) AS DOUBLE) AS item_revenue FROM {_I} GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, order_value, item_revenue, a.k IS NOT NULL AS in_0, b.k IS NOT NULL AS in_1 FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k")
+def _(spark, d):
+    c = Compiler(_REGISTRY, spark, d)
+    a = c.query("order_value", Scope(None, ("o_orderstatus",))).select(F.col("o_orderstatus").alias("k"), F.col("order_value").cast("double").alias("order_value"))
+    b = c.query("item_revenue", Scope(None, ("l_linestatus",))).select(F.col("l_linestatus").alias("k"), F.col("item_revenue").cast("double").alias("item_revenue"))
+    return align([a, b], ["k"])
+
+
+@query("j4_positional_zip", f"{_CHANGED} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (before IS DISTINCT FROM after) AS n_changed FROM z GROUP BY 1")
+def _(spark, d):
+    lines = _patched(spark, d).select("doc_id", F.split("text", texts.LINE_ENDS).alias("a"), F.split("patched", texts.LINE_ENDS).alias("b"))
+    zipped = lines.select("doc_id", F.explode(F.slice(F.arrays_zip("a", "b"), F.lit(1), F.least(F.size("a"), F.size("b")))).alias("z"))
+    return zipped.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(~F.col("z.a").eqNullSafe(F.col("z.b"))).alias("n_changed"))
+
+
+_BOTH_SQL = f"WITH s AS ({_SHEET_SQL}), cases AS (SELECT a.pair, a.label AS label_1, a.evidence_status AS status_1, b.label AS label_2, b.evidence_status AS status_2, CASE WHEN a.label IS NULL OR b.label IS NULL THEN 'blank' WHEN a.label <> b.label THEN 'different' WHEN a.evidence_status IS DISTINCT FROM b.evidence_status THEN 'evidence-only' ELSE 'agree' END AS \"case\" FROM s a JOIN s b ON a.pair = b.pair AND a.reviewer = 1 AND b.reviewer = 2)"
+
+
+def _sheet(spark, d):
+    return annotate.latest(table(spark, d, "worksheet"))
+
+
+@query("j5_worksheet_join", f"{_BOTH_SQL} SELECT pair, label_1, status_1, label_2, status_2 FROM cases")
+def _(spark, d):
+    return annotate.classify_cases(_sheet(spark, d)).drop("case")
+
+
+@query("j6_manifest_join", "SELECT doc_id, sha256(text) AS expected, sha256(text) AS actual, true AS ok FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
+    expected = docs.select("doc_id", F.sha2("text", 256).alias("expected"))
+    actual = docs.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("actual"))
+    return expected.join(actual, "doc_id", "left").select("doc_id", "expected", "actual", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)).alias("ok"))
+
+
+@query("o2_sorted_files", "SELECT * FROM (VALUES (1, 'b.sql'), (2, 'stg_a.sql')) t(no, file)")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    paths = files.text_tree(spark, _tree(spark)).select("path")
+    return paths.select(F.row_number().over(Window.orderBy("path")).alias("no"), F.element_at(F.split("path", "/"), -1).alias("file"))
+
+
+@query("o3_draw_order", f"{_BOTH_SQL} SELECT CAST(substr(p.pair, 4) AS BIGINT) AS draw, p.pair, \"case\" FROM metric_pair p LEFT JOIN cases c ON p.pair = c.pair")
+def _(spark, d):
+    """The draw order travels as an ordinal of its own (here the number in the pair's code)."""
+    pairs = table(spark, d, "metric_pair")
+    record = annotate.decision_record(pairs, annotate.classify_cases(_sheet(spark, d)))
+    return record.select(F.substr("pair", F.lit(4)).cast("bigint").alias("draw"), "pair", "case").orderBy("draw")
+
+
+# --- metadata
+@query("d1_list_metrics")
+def _(spark, d):
+    return catalog.list_metrics(spark, _REGISTRY)
+
+
+@query("d2_list_dimensions")
+def _(spark, d):
+    return catalog.list_dimensions(spark, _REGISTRY, "order_value")
+
+
+@query("d3_explain")
+def _(spark, d):
+    plan = catalog.explain(Compiler(_REGISTRY, spark, d), "order_value", MONTH)
+    return spark.createDataFrame([(catalog.render_sql(_REGISTRY, "order_value", MONTH), plan)], "sql string, plan string")
+
+
+@query("d4_inline_sql", "SELECT o_orderstatus, count(*) AS n_orders FROM orders GROUP BY 1")
+def _(spark, d):
+    return catalog.inline_sql(spark, d, "select o_orderstatus, count(*) as n_orders from {{ ref('orders') }} group by 1")
+
+
+@query("d5_lineage")
+def _(spark, d):
+    return catalog.trace(spark, _REGISTRY, "returned_to_urgent")
+
+
+# --- comparison of a pair of metrics
+def _report(m1: str, m2: str, scope: Scope) -> Query:
+    return lambda spark, d: compare.compare(Compiler(_REGISTRY, spark, d), m1, m2, scope)
+
+
+_PAIR = f"a AS (SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS v FROM {_O} GROUP BY 1), b AS (SELECT {_m('first_order')}, CAST(sum(lifetime_value) AS DOUBLE) AS v FROM {_C} GROUP BY 1), r AS (SELECT coalesce(a.metric_time__month, b.metric_time__month) AS metric_time__month, a.v AS v1, b.v AS v2, a.v - b.v AS delta, CASE WHEN a.metric_time__month IS NULL THEN 'right_only' WHEN b.metric_time__month IS NULL THEN 'left_only' ELSE 'both' END AS presence, coalesce(a.v <> b.v, true) AS differs FROM a FULL JOIN b ON a.metric_time__month = b.metric_time__month)"
+QUERIES["c3_value_difference"], ORACLE["c3_value_difference"] = _report("order_value", "lifetime_value", MONTH), f"WITH {_PAIR} SELECT * FROM r"
+QUERIES["c2_same_way"], ORACLE["c2_same_way"] = _report("order_value", "month_value", MONTH), f"SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS v1, CAST(sum(value) AS DOUBLE) AS v2, CAST(0 AS DOUBLE) AS delta, 'both' AS presence, false AS differs FROM {_O} GROUP BY 1"
+
+
+@query("c1_scope_enforced", "SELECT compare_at, count(*) AS n, count(*) FILTER (lower(trim(compare_at)) IN ('ungrouped total', 'overall', 'overall total', 'metric_time__month')) AS n_declared FROM worksheet GROUP BY 1")
+def _(spark, d):
+    ok = annotate.scope_word(F.col("compare_at")).rlike(r"^(ungrouped total|metric_time__(day|month|year))$")
+    return table(spark, d, "worksheet").groupBy("compare_at").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_declared"))
+
+
+@query("c4_agrees_on_sample", f"SELECT 'ungrouped total' AS scope, CAST(1 AS BIGINT) AS n_groups, CAST(CASE WHEN (SELECT sum(value) FROM {_O}) = (SELECT sum(lifetime_value) FROM {_C}) THEN 0 ELSE 1 END AS BIGINT) AS n_differ, CAST(0 AS BIGINT) AS n_left_only, CAST(0 AS BIGINT) AS n_right_only, (SELECT sum(value) FROM {_O}) = (SELECT sum(lifetime_value) FROM {_C}) AS agrees_on_sample")
+def _(spark, d):
+    return compare.compare_scopes(Compiler(_REGISTRY, spark, d), "order_value", "lifetime_value", ["ungrouped total"])
+
+
+@query("c5_missing_groups", f"WITH {_PAIR} SELECT metric_time__month, presence FROM r WHERE presence <> 'both'")
+def _(spark, d):
+    return _report("order_value", "lifetime_value", MONTH)(spark, d).where("presence <> 'both'").select("metric_time__month", "presence")
+
+
+@query("c6_cross_grain", f"SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS v1, CAST(sum(value) AS DOUBLE) AS v2, CAST(0 AS DOUBLE) AS delta, 'both' AS presence, false AS differs FROM {_O} GROUP BY 1")
+def _(spark, d):
+    fine = shop.customer_months(spark, d).withColumn("metric_time__month", F.col("order_month").cast("date"))
+    return compare.cross_grain(fine, Compiler(_REGISTRY, spark, d).query("order_value", MONTH), ["metric_time__month"], "month_value", "order_value")
+
+
+@query("c7_partial_scopes", f"WITH {_PAIR} SELECT 'metric_time__month' AS scope, count(*) AS n_groups, count(*) FILTER (differs) AS n_differ, count(*) FILTER (presence = 'left_only') AS n_left_only, count(*) FILTER (presence = 'right_only') AS n_right_only, count(*) FILTER (differs) = 0 AS agrees_on_sample FROM r UNION ALL SELECT 'ungrouped total', 1, 0, 0, 0, true")
+def _(spark, d):
+    return compare.compare_scopes(Compiler(_REGISTRY, spark, d), "order_value", "lifetime_value", ["ungrouped total", "metric_time__month"])
+
+
+# --- annotation
+_VOCAB = ", ".join(f"'{x}'" for x in annotate.LABELS)
+_RULES = f"""WITH s AS ({_SHEET_SQL}), p AS (SELECT trim(pair) AS pair, lower(trim(compare_at)) AS declared FROM metric_pair), j AS (SELECT s.*, declared FROM s LEFT JOIN p USING (pair)), v AS (
+  SELECT pair, reviewer, 'unknown label' AS problem FROM j WHERE label IS NOT NULL AND label NOT IN ({_VOCAB})
+  UNION ALL SELECT pair, reviewer, 'unknown status' FROM j WHERE evidence_status IS NULL OR evidence_status NOT IN ('sufficient', 'needs_review')
+  UNION ALL SELECT pair, reviewer, 'blank label not under review' FROM j WHERE label IS NULL AND evidence_status = 'sufficient'
+  UNION ALL SELECT pair, reviewer, 'review without missing evidence' FROM j WHERE evidence_status = 'needs_review' AND missing_evidence IS NULL
+  UNION ALL SELECT pair, reviewer, 'unknown pair' FROM j WHERE declared IS NULL
+  UNION ALL SELECT pair, reviewer, 'scope is not the declared one' FROM j WHERE declared IS NOT NULL AND compare_at IS DISTINCT FROM declared
+  UNION ALL SELECT pair, reviewer, 'minutes missing' FROM j WHERE minutes IS NULL
+  UNION ALL SELECT pair, NULL, 'not reviewed' FROM p WHERE pair NOT IN (SELECT pair FROM s))"""
+
+
+@query("r1_worksheet_rules", f"{_RULES} SELECT * FROM v")
+def _(spark, d):
+    return annotate.violations(_sheet(spark, d), table(spark, d, "metric_pair"))
+
+
+@query("c8_label_vocabulary", f"{_RULES} SELECT pair, reviewer FROM v WHERE problem = 'unknown label'")
+def _(spark, d):
+    return annotate.violations(_sheet(spark, d), table(spark, d, "metric_pair")).where("problem = 'unknown label'").select("pair", "reviewer")
+
+
+@query("c9_evidence_status", f"{_RULES} SELECT pair, reviewer, problem FROM v WHERE problem IN ('unknown status', 'blank label not under review', 'review without missing evidence')")
+def _(spark, d):
+    return annotate.violations(_sheet(spark, d), table(spark, d, "metric_pair")).where("problem in ('unknown status', 'blank label not under review', 'review without missing evidence')")
+
+
+@query("r2_cases", f"{_BOTH_SQL} SELECT * FROM cases")
+def _(spark, d):
+    return annotate.classify_cases(_sheet(spark, d))
+
+
+@query("r3_agreement", f"{_BOTH_SQL} SELECT \"case\", CASE WHEN label_1 = label_2 THEN label_1 END AS label, count(*) AS n FROM cases GROUP BY 1, 2")
+def _(spark, d):
+    return annotate.summarize(annotate.classify_cases(_sheet(spark, d)))
+
+
+@query("r4_root_cause", f"{_BOTH_SQL} SELECT pair, 'root cause missing or unknown' AS problem FROM cases WHERE \"case\" = 'different'")
+def _(spark, d):
+    """A record whose final columns are still blank lacks the cause of every disagreement."""
+    return annotate.root_cause_violations(annotate.decision_record(table(spark, d, "metric_pair"), annotate.classify_cases(_sheet(spark, d))))
+
+
+_NEUTRAL_SQL = r"regexp_replace(regexp_replace(regexp_replace(line, '[\w.+-]+@[\w-]+(\.[\w-]+)+', '<e-mail>', 'g'), '\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?', '<date>', 'g'), '(?i)\breviewer [A-Z0-9]+\b', 'Reviewer', 'g')"
+
+
+@query("r5_redaction", r"WITH d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n') AS a FROM documents WHERE length(text) > 0), l AS (SELECT doc_id, CAST(unnest(generate_series(1, len(a))) AS INTEGER) AS line_no, unnest(a) AS line FROM d) SELECT doc_id, line_no, CASE WHEN starts_with(ltrim(line), '|') THEN line ELSE " + _NEUTRAL_SQL + " END AS neutral FROM l")
+def _(spark, d):
+    lines = texts.numbered_lines(table(spark, d, "documents"), "doc_id", "text")
+    return lines.select(F.col("key").alias("doc_id"), "line_no", annotate.redact(F.col("line")).alias("neutral"))
+
+
+@query("r6_append_only", f"WITH s AS ({_SHEET_SQL}) SELECT pair, reviewer, CASE WHEN label IS NULL THEN 'related' ELSE label END AS label FROM s")
+def _(spark, d):
+    """Corrections (here: a label for every blank one) come as later rows; the log keeps both."""
+    log = table(spark, d, "worksheet")
+    blank = _sheet(spark, d).where("label is null").select("pair", "reviewer")
+    fix = log.join(blank, ["pair", "reviewer"], "left_semi").withColumn("label", F.lit("related")).withColumn("received_at", F.lit("2100-01-01 00:00:00").cast(log.schema["received_at"].dataType))
+    return annotate.latest(annotate.correct(log, fix)).select("pair", "reviewer", "label")
+
+
+@query("r7_hash_lock", "SELECT pair, sha256(pair || '|' || project || '|' || metric_1 || '|' || metric_2 || '|' || compare_at) AS digest FROM metric_pair")
+def _(spark, d):
+    return table(spark, d, "metric_pair").select("pair", F.sha2(F.concat_ws("|", "pair", "project", "metric_1", "metric_2", "compare_at"), 256).alias("digest"))
+
+
+@query("r8_effort", f"WITH s AS ({_SHEET_SQL}) SELECT reviewer, count(*) AS n_pairs, CAST(sum(minutes) AS BIGINT) AS minutes, count(*) FILTER (minutes IS NULL) AS n_without_minutes FROM s GROUP BY 1")
+def _(spark, d):
+    return annotate.effort(_sheet(spark, d))
+
+
+@query("u1_sql_macro", "SELECT o_orderkey, year(CAST(strftime(o_orderdate, '%Y-%m-%d') AS DATE)) AS y FROM orders")
+def _(spark, d):
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION year_of_text(s STRING) RETURNS INT RETURN year(to_date(s))")
+    files.register(table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")), "orders_as_text")
+    return spark.sql("SELECT o_orderkey, year_of_text(day) AS y FROM orders_as_text")
+
+
+@query("x1_windowed_events", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12, 2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return windowed_counts(table(spark, d, "events")).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
