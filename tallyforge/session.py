@@ -73,3 +73,12 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(target))
     sc._tallyforge_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a table has fewer partitions than that; larger tables pass untouched.
+
+    For work that costs far more than moving its input: a small file is one partition, whatever its rows cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
