@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.session import ship
+from tallyforge.session import ship, spread
 
 #: Share of a passage's letters that phrases must cover.
 MIN_COVERAGE = 0.8
@@ -94,6 +94,22 @@ _LINE = re.compile("[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+")
 _PASSAGE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|\s\|\s?|\t+")
 
 
+@lru_cache(maxsize=1)
+def _tells():
+    """Only what makes a passage worth a closer look: telling phrases, and words of mock text (marked by None)."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for phrases in _phrases().values():
+        for p in phrases:
+            a.add_word(p, (len(p), False))
+    for w in (*_MOCK.split("|"), "asdf", "qwer", "zxcv", "hjkl", "uiop", "foo bar"):
+        if len(w) > 3:
+            a.add_word(w, (len(w), True))
+    a.make_automaton()
+    return a
+
+
 class _Plain(dict):
     """Letters that look like Latin ones as these, accents off; worked out once a character."""
 
@@ -125,6 +141,11 @@ def _is_latin(c: str) -> bool:
     return "a" <= c <= "z"
 
 
+def _whole(s: str, first: int, last: int) -> bool:
+    """Whether the match does not begin or end within a Latin word."""
+    return not (_is_latin(s[first]) and first and _is_latin(s[first - 1]) or _is_latin(s[last]) and last + 1 < len(s) and _is_latin(s[last + 1]))
+
+
 def _covered(passage: str) -> tuple[float, set[str]]:
     """Share of the letters that phrases cover, and the kinds of the telling ones."""
     n = len(passage)
@@ -135,7 +156,7 @@ def _covered(passage: str) -> tuple[float, set[str]]:
     hit, kinds = np.zeros(n, bool), set()
     for last, (size, tells) in _automaton().iter(passage):
         a, b = last - size + 1, last + 1
-        if _is_latin(passage[a]) and a and _is_latin(passage[a - 1]) or _is_latin(passage[last]) and b < n and _is_latin(passage[b]):
+        if not _whole(passage, a, last):
             continue
         hit[a:b] = True
         kinds.update(tells)
@@ -149,6 +170,8 @@ _SLOT = re.compile(
     r"|(?P<japanese>[(（【\[［][^()（）【】\[\]［］\n]{0,24}(?:に記入|を記入|要記入|未記入|に入力|を入力|要入力)[^()（）【】\[\]［］\n]{0,12}[)）】\]］])",
     re.I,
 )
+#: What any slot has somewhere; lines without it are passed over.
+_OPENING = re.compile(r"\{(?!%)|%[(A-Za-zぁ-鿿]|\[\[|<<|<%|@@|____|XXXX|xxxx|[〇○◯]{3}|\?\?\?|TBD-|tbd-|記入|入力|[\[<](?:insert|your|enter|add|fill|type|put|select|choose|replace)", re.I)
 #: Record fields of common loggers, which stand in formats and not in templates.
 _LOGGING = {"asctime", "levelname", "message", "name", "lineno", "filename", "module", "funcname", "process", "thread", "pathname", "msecs", "created", "levelno"}
 _COMMAND = re.compile(r"^\s*(?:\d+\.\s*)?(?:\$\s|export\s|cd\s|set\s|echo\s|cp\s|mv\s|source\s|alias\s|sudo\s|[A-Z_][A-Z0-9_]*=)")
@@ -156,9 +179,12 @@ _COMMAND = re.compile(r"^\s*(?:\d+\.\s*)?(?:\$\s|export\s|cd\s|set\s|echo\s|cp\s
 
 def unfilled_slots(text: str) -> list[str]:
     """Slots of a form or template left unfilled; those of code, commands and settings aside."""
-    found = []
-    for line in _LINE.split(_clean(text)):
-        if not any(c in line for c in "{%[<_@(【?XxTt〇○◯"):
+    found: list[str] = []
+    cleaned = _clean(text)
+    if not _OPENING.search(cleaned):
+        return found
+    for line in _LINE.split(cleaned):
+        if not _OPENING.search(line):
             continue
         ticks = [m.start() for m in re.finditer("`", line)]
         command = bool(_COMMAND.match(line))
@@ -182,10 +208,16 @@ def unfilled_slots(text: str) -> list[str]:
 
 #: Filler that needs no words around it: one unit over and over, keyboard rows, mock Latin.
 _MOCK = "lorem|ipsum|dolor|amet|arcu|velit|quis|porta|nunc|magna|tellus|eros|sit|elit|consectetur|adipiscing|sed|eiusmod|tempor|incididunt|labore|dolore|aliqua|vestibulum|curabitur|enim|minim|veniam|nisi|fusce|donec|viverra"
-_RUNS = re.compile(
-    r"(?P<word>(?<![^\W_])(?P<w>[^\W\d_]{2,12})(?:[\s,]+(?P=w)(?![^\W_])){3,}[.]?)|(?P<keys>(?:\b(?:asdf|qwer|zxcv|hjkl|qwerty|uiop|asdfgh|zxcvbn)\b[\s,]*){3,}[.]?)|(?P<foo>(?:\bfoo[\s,]+bar[\s,]+baz\b[\s,]*){2,}[.]?)"
-    rf"|(?P<mock>(?:\b(?:{_MOCK})\b[\s,]*){{5,}}[.]?)|(?P<letter>(?P<l>[ぁ-んァ-ンー])(?P=l){{6,}})|(?P<unit>(?P<u>[ぁ-んァ-ヶー一-鿿]{{2,8}}?)(?P=u){{2,}})|(?P<mark>(?<![^\W_])x{{5,}}(?:\s+x{{3,}})*(?![^\W_])|[●○■□◆◇]{{5,}}(?:\s*[●○■□◆◇x]{{3,}})*)"
+_WORDS = r"(?P<word>(?<![^\W_])(?P<w>[^\W\d_]{2,12}+)(?:[\s,]+(?P=w)(?![^\W_])){3,}[.]?)"
+_KANA = r"(?P<letter>(?P<l>[ぁ-んァ-ンー])(?P=l){6,})|(?P<unit>(?P<u>[ぁ-んァ-ヶー一-鿿]{2,8}?)(?P=u){2,})"
+_MARKED = r"(?P<mark>(?<![^\W_])x{5,}(?:\s+x{3,})*(?![^\W_])|[●○■□◆◇]{5,}(?:\s*[●○■□◆◇x]{3,})*)"
+_MOCKS = (
+    r"(?P<foo>(?:\bfoo[\s,]+bar[\s,]+baz\b[\s,]*){2,}[.]?)|(?P<keys>(?:\b(?:asdf|qwer|zxcv|hjkl|qwerty|uiop|asdfgh|zxcvbn)\b[\s,]*){3,}[.]?)"
+    rf"|(?P<mock>(?:\b(?:{_MOCK})\b[\s,]*){{5,}}[.]?)"
 )
+_MARKS = ("xxxxx", *(c * 5 for c in "●○■□◆◇"))
+#: The parts of one pattern that a text can need: its Japanese, its marks, its mock words.
+_RUNS = {(j, x, m): re.compile("|".join([_WORDS, *[_KANA] * j, *[_MARKED] * x, *[_MOCKS] * m])) for j in (False, True) for x in (False, True) for m in (False, True)}
 #: Machine-made replies, which are passages of their own wherever they stand.
 _REPLY = re.compile(r"(<noscript\b.*?</noscript>|<!doctype html.*?</html>|<html\b.*?</html>|\{\s*\"error\"\s*:.*?\}\s*\})", re.S)
 
@@ -205,27 +237,34 @@ def residue(text: str | None) -> tuple[list[str], float]:
     if not text:
         return [], 0.0
     kinds: set[str] = {"slot"} if unfilled_slots(text) else set()
-    total = covered = 0
     folded = fold(text)
-    parts, at = [], 0
-    for m in _RUNS.finditer(folded):
+    telling = mock = False
+    for last, (size, is_mock) in _tells().iter(folded):
+        if _whole(folded, last - size + 1, last):
+            mock |= is_mock
+            telling |= not is_mock
+    parts, at, covered = [], 0, 0
+    marks = any(x in folded for x in _MARKS)
+    for m in _RUNS[not folded.isascii(), marks, mock].finditer(folded):
         kinds.add("filler")
-        n = sum(c.isalpha() for c in m.group(0))
-        total, covered = total + n, covered + n
+        covered += sum(c.isalpha() for c in m.group(0))
         parts.append(folded[at : m.start()])
         at = m.end()
     parts.append(folded[at:])
-    for line in _LINE.split("\n".join(parts)):
-        for p in _passages(line):
-            n = sum(c.isalpha() for c in p)
-            total += n
-            if n < 3:
-                continue
-            share, tells = _covered(p)
-            if tells and share >= MIN_COVERAGE:
-                kinds |= tells
-                covered += n
-    return sorted(kinds), covered / total if total else float(bool(kinds))
+    if telling or mock:  # passages of a text without a telling phrase need no look
+        for line in _LINE.split("\n".join(parts)):
+            for p in _passages(line):
+                n = sum(c.isalpha() for c in p)
+                if n < 3:
+                    continue
+                share, tells = _covered(p)
+                if tells and share >= MIN_COVERAGE:
+                    kinds |= tells
+                    covered += n
+    if not kinds:
+        return [], 0.0
+    total = sum(c.isalpha() for c in folded)
+    return sorted(kinds), covered / total if total else 1.0
 
 
 def find_residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -234,7 +273,7 @@ def find_residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     ``coverage`` is the share of the document's letters that lie in residue passages (slots add
     none). Null, empty, blank and short texts as such are no residue. One row a document row,
     repeated ones included; rows with a null id come out with it; texts are read whole. One pass
-    without a shuffle, in Arrow batches beside the scan.
+    in Arrow batches beside the scan, without a shuffle unless the table has fewer partitions than cores.
     """
     ship(docs.sparkSession)
 
@@ -250,4 +289,4 @@ def find_residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(kinds, pa.list_(pa.string())), pa.array(shares, pa.float64())], names=["doc_id", "kinds", "coverage"])
 
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, kinds array<string>, coverage double").withColumnRenamed("doc_id", doc_id)
+    return spread(src).mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, kinds array<string>, coverage double").withColumnRenamed("doc_id", doc_id)

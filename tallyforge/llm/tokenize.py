@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.session import cut, ship
+from tallyforge.session import cut, ship, spread
 
 #: Where the public vocabularies lie; a parameter, never a copy.
 TOKENIZERS = os.environ.get("TALLYFORGE_TOKENIZERS", "/opt/tokenizers")
@@ -152,7 +152,7 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, folder: str = TOKENIZ
     """
     spark = docs.sparkSession
     ship(spark)
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    src = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     table = cut(word_table(src, "text", folder), "words")
     hot = _hot(table, spark)
     rows = src.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", words(F.col("text"), folder).alias("words"))
