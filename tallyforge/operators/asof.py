@@ -8,11 +8,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.session import ship
+from tallyforge.session import cut, ship
 
 #: Events of an entity that go to one salt of its own; a hotter entity is spread over several.
 EVENTS_PER_SALT = 100_000
 
+#: Hot entities of which a list is broadcast; more are joined by shuffle.
+MAX_HOT = 100_000
+
 #: Groups a shuffle partition's entities are packed into, so that a group stays a few MB.
 BUCKETS_PER_PARTITION = 4
 
@@ -46,7 +49,15 @@ def _latest(events: pa.Table, versions: pa.Table) -> pa.Array:
     return pa.array(np.where(hit, best[np.clip(pos, 0, max(nv - 1, 0))], 0) if nv else np.zeros(len(at), np.int64), mask=~hit)
 
 
-def as_known(events: DataFrame, versions: DataFrame, entity: str, at: str, valid_from: str, attributes: list[str], valid_to: str | None = None, recorded: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def _hot_entities(events: DataFrame) -> DataFrame | None:
+    """(entity, salts) of entities with more than EVENTS_PER_SALT events; None where there are none."""
+    counts = events.where(F.col("entity").isNotNull()).groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > EVENTS_PER_SALT)
+    hot = cut(counts.select("entity", F.ceil(F.col("n") / EVENTS_PER_SALT).cast("int").alias("salts")), "hot-entities")
+    n = hot.count()
+    return F.broadcast(hot) if 0 < n <= MAX_HOT else hot if n else None
+
+
+def as_known(events: DataFrame, versions: DataFrame, entity: str, at: str, valid_from: str, attributes: list[str], valid_to: str | None = None, recorded: str | None = None, keep: list[str] | None = None, bounded: bool = False) -> DataFrame:
     """Every event with ``attributes`` of the latest version valid and recorded by its time.
 
     Columns of the result: the event's ``entity``, ``at`` and ``keep``, then ``attributes``
@@ -60,7 +71,8 @@ def as_known(events: DataFrame, versions: DataFrame, entity: str, at: str, valid
     Events and versions are co-grouped by entity, entities packed into buckets; an entity with
     more than ``EVENTS_PER_SALT`` events is spread over salts and its versions are sent to each,
     so no group is unbounded in its events. Hot entities are found by a count that combines on
-    the map side; there are at most all events / EVENTS_PER_SALT of them.
+    the map side and written once; the list is broadcast after its rows were counted. A caller
+    who knows that no entity has many events (one a month, say) leaves that out with ``bounded``.
     """
     keep = keep or []
     spark = events.sparkSession
@@ -79,10 +91,13 @@ def as_known(events: DataFrame, versions: DataFrame, entity: str, at: str, valid
         *[F.col(a).alias(f"a_{i}") for i, a in enumerate(attributes)],
     ).where(F.col("entity").isNotNull() & F.col("start").isNotNull() & F.col("known").isNotNull())
 
-    salts = ev.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > EVENTS_PER_SALT).select("entity", F.ceil(F.col("n") / EVENTS_PER_SALT).cast("int").alias("salts"))
-    spread = F.pmod(F.xxhash64(*[f"e_{i}" for i in range(len(names))], F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int")
-    ev = ev.join(salts, "entity", "left").withColumn("salt", spread).drop("salts")
-    ve = ve.join(salts, "entity", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    hot = None if bounded else _hot_entities(ev)
+    if hot is None:
+        ev, ve = ev.withColumn("salt", F.lit(0)), ve.withColumn("salt", F.lit(0))
+    else:
+        spread = F.pmod(F.xxhash64(*[f"e_{i}" for i in range(len(names))], F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int")
+        ev = ev.join(hot, "entity", "left").withColumn("salt", spread).drop("salts")
+        ve = ve.join(hot, "entity", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
     bucket = F.pmod(F.xxhash64("entity", "salt"), F.lit(buckets)).cast("int")
     ev, ve = ev.withColumn("bucket", bucket).drop("salt"), ve.withColumn("bucket", bucket).drop("salt")

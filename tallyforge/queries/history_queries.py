@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.normalize import iso, month_from_no, month_no
+from tallyforge.functions.normalize import account_key, iso, month_from_no, month_no
 from tallyforge.operators import late, orphans
 from tallyforge.operators.asof import as_known
 from tallyforge.operators.dedupe import keep_last
@@ -47,8 +47,7 @@ def p1_rolling(spark: SparkSession, d: str) -> DataFrame:
         {"yen": F.col("yen"), "messages": F.col("message_count")},
     )
     months = records.groupBy("account_id", month_no(F.col("revenue_month")).alias("period")).agg(F.count("*").alias("n"), F.sum("yen").cast("bigint").alias("yen"), F.sum("messages").alias("messages"))
-    listed = history(spark, d).select("account_id").distinct()
-    months = months.join(listed, "account_id", "left_semi")
+    months = months.join(_listed(spark, d), "account_id", "left_semi")
     out = trailing_totals(months, "account_id", "period", ["yen", "messages"], [3, 12], rows="n")
     return out.select("account_id", month_from_no(F.col("period")).alias("revenue_month"), F.col("n_rows").alias("n_records"), *[f"{m}_{a}_{w}" for m in ("yen", "messages") for a in ("total", "avg") for w in (3, 12)])
 
@@ -66,8 +65,6 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, d: str) -> DataFrame:
-    from tallyforge.functions.normalize import account_key
-
     return table(spark, d, "account_master").where(F.col("as_of_date").isNotNull()).select(account_key(F.col("account_id")).alias("account_id")).distinct()
 
 
@@ -80,15 +77,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _months_with_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Account-months with the plan_type known on the first of the month, and the newest one beside it."""
+    """Account-months with the plan_type known on the first of the month, and the newest one beside it.
+
+    Rows are first added up to account-months, so the account that holds a tenth of them has no more events than others.
+    """
     months = revenue_rows(spark, d).where(F.col("revenue_month").isNotNull()).groupBy("account_id", "revenue_month").agg(F.count("*").alias("n_rows"))
     versions = history(spark, d)
     # a version's plan and the newest plan of its account travel together
-    from pyspark.sql import Window
-
     newest = F.max(F.when(F.col("newest"), F.struct("plan_type"))).over(Window.partitionBy("account_id"))
     versions = versions.select("account_id", "valid_from", "valid_to", "plan_type", newest.alias("newest"), F.lit(True).alias("known"))
-    return as_known(months, versions, "account_id", "revenue_month", "valid_from", ["plan_type", "newest", "known"], valid_to="valid_to", keep=["n_rows"])
+    return as_known(months, versions, "account_id", "revenue_month", "valid_from", ["plan_type", "newest", "known"], valid_to="valid_to", keep=["n_rows"], bounded=True)  # a row a month at most
 
 
 def p3_asof(spark: SparkSession, d: str) -> DataFrame:
@@ -156,8 +154,6 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
         [F.col("loaded_at")],
         {"yen": F.col("yen"), "is_finalized": F.col("is_finalized")},
     )
-    from pyspark.sql import Window
-
     # the calendar has a row a delivery; its neighbours tell which months both cover in full
     days = calendar.select("snap_date", "snap_no", "next_date").withColumn("prev_date", F.lag("snap_date").over(Window.partitionBy(F.lit(0)).orderBy("snap_no")))
     rows = rows.join(F.broadcast(days), rows["snapshot_date"] == days["snap_date"])
