@@ -40,7 +40,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _doubles(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in df.columns if c not in keys])
+    return _days(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in df.columns if c not in keys]))
+
+
+def _days(df: DataFrame) -> DataFrame:
+    """Period keys as text."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in df.columns if c.startswith("metric_time__")})
+
+
+def _days_sql(sql: str, grain: str | None) -> str:
+    return f"SELECT * REPLACE (strftime(metric_time__{grain}, '%Y-%m-%d') AS metric_time__{grain}) FROM ({sql})" if grain else sql
 
 
 def metric(name: str, names: list[str], scope: Scope, sql: str, order: bool = False) -> None:
@@ -50,7 +59,7 @@ def metric(name: str, names: list[str], scope: Scope, sql: str, order: bool = Fa
         out = _doubles(Compiler(_REGISTRY, spark, d).query(names, scope), scope.keys)
         return out.orderBy(*scope.keys) if order else out
 
-    QUERIES[name], ORACLE[name] = run, sql
+    QUERIES[name], ORACLE[name] = run, _days_sql(sql, scope.grain)
 
 
 TOTAL, MONTH, DAY, YEAR = Scope(), Scope("month"), Scope("day"), Scope("year")
@@ -144,10 +153,10 @@ def _place(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("s1_generated_source", "SELECT 'regions' AS source, r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 'nations', n_nationkey, n_name FROM nation")
+@query("s1_generated_source", "SELECT 'regions' AS source, CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region UNION ALL SELECT 'nations', n_nationkey, n_name FROM nation")
 def _(spark, d):
     made = files.generated(spark, lambda: {n: table(spark, d, t).toPandas() for n, t in (("regions", "region"), ("nations", "nation"))})
-    return made["regions"].select(F.lit("regions").alias("source"), F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")).union(made["nations"].select(F.lit("nations"), "n_nationkey", "n_name"))
+    return made["regions"].select(F.lit("regions").alias("source"), F.col("r_regionkey").cast("bigint").alias("k"), F.col("r_name").alias("name")).union(made["nations"].select(F.lit("nations"), F.col("n_nationkey").cast("bigint"), "n_name"))
 
 
 @query("s2_registered_view", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
@@ -334,7 +343,7 @@ def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.format_string('RAW."%s"', F.upper(F.trim("n_name"))).alias("label"))
 
 
-@query("sel16_constant", "SELECT o_orderstatus, sum(1) AS n FROM orders GROUP BY 1")
+@query("sel16_constant", "SELECT o_orderstatus, CAST(sum(1) AS BIGINT) AS n FROM orders GROUP BY 1")
 def _(spark, d):
     return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.sum(F.lit(1)).alias("n"))
 
@@ -437,12 +446,12 @@ def _(spark, d):
 
 # --- comparison of a pair of metrics
 def _report(m1: str, m2: str, scope: Scope) -> Query:
-    return lambda spark, d: compare.compare(Compiler(_REGISTRY, spark, d), m1, m2, scope)
+    return lambda spark, d: _days(compare.compare(Compiler(_REGISTRY, spark, d), m1, m2, scope))
 
 
 _PAIR = f"a AS (SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS v FROM {_O} GROUP BY 1), b AS (SELECT {_m('first_order')}, CAST(sum(lifetime_value) AS DOUBLE) AS v FROM {_C} GROUP BY 1), r AS (SELECT coalesce(a.metric_time__month, b.metric_time__month) AS metric_time__month, a.v AS v1, b.v AS v2, a.v - b.v AS delta, CASE WHEN a.metric_time__month IS NULL THEN 'right_only' WHEN b.metric_time__month IS NULL THEN 'left_only' ELSE 'both' END AS presence, coalesce(a.v <> b.v, true) AS differs FROM a FULL JOIN b ON a.metric_time__month = b.metric_time__month)"
-QUERIES["c3_value_difference"], ORACLE["c3_value_difference"] = _report("order_value", "lifetime_value", MONTH), f"WITH {_PAIR} SELECT * FROM r"
-QUERIES["c2_same_way"], ORACLE["c2_same_way"] = _report("order_value", "month_value", MONTH), f"SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS v1, CAST(sum(value) AS DOUBLE) AS v2, CAST(0 AS DOUBLE) AS delta, 'both' AS presence, false AS differs FROM {_O} GROUP BY 1"
+QUERIES["c3_value_difference"], ORACLE["c3_value_difference"] = _report("order_value", "lifetime_value", MONTH), _days_sql(f"WITH {_PAIR} SELECT * FROM r", "month")
+QUERIES["c2_same_way"], ORACLE["c2_same_way"] = _report("order_value", "month_value", MONTH), _days_sql(f"SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS v1, CAST(sum(value) AS DOUBLE) AS v2, CAST(0 AS DOUBLE) AS delta, 'both' AS presence, false AS differs FROM {_O} GROUP BY 1", "month")
 
 
 @query("c1_scope_enforced", "SELECT compare_at, count(*) AS n, count(*) FILTER (lower(trim(compare_at)) IN ('ungrouped total', 'overall', 'overall total', 'metric_time__month')) AS n_declared FROM worksheet GROUP BY 1")
@@ -456,15 +465,15 @@ def _(spark, d):
     return compare.compare_scopes(Compiler(_REGISTRY, spark, d), "order_value", "lifetime_value", ["ungrouped total"])
 
 
-@query("c5_missing_groups", f"WITH {_PAIR} SELECT metric_time__month, presence FROM r WHERE presence <> 'both'")
+@query("c5_missing_groups", _days_sql(f"WITH {_PAIR} SELECT metric_time__month, presence FROM r WHERE presence <> 'both'", "month"))
 def _(spark, d):
     return _report("order_value", "lifetime_value", MONTH)(spark, d).where("presence <> 'both'").select("metric_time__month", "presence")
 
 
-@query("c6_cross_grain", f"SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS v1, CAST(sum(value) AS DOUBLE) AS v2, CAST(0 AS DOUBLE) AS delta, 'both' AS presence, false AS differs FROM {_O} GROUP BY 1")
+@query("c6_cross_grain", _days_sql(f"SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS v1, CAST(sum(value) AS DOUBLE) AS v2, CAST(0 AS DOUBLE) AS delta, 'both' AS presence, false AS differs FROM {_O} GROUP BY 1", "month"))
 def _(spark, d):
     fine = shop.customer_months(spark, d).withColumn("metric_time__month", F.col("order_month").cast("date"))
-    return compare.cross_grain(fine, Compiler(_REGISTRY, spark, d).query("order_value", MONTH), ["metric_time__month"], "month_value", "order_value")
+    return _days(compare.cross_grain(fine, Compiler(_REGISTRY, spark, d).query("order_value", MONTH), ["metric_time__month"], "month_value", "order_value"))
 
 
 @query("c7_partial_scopes", f"WITH {_PAIR} SELECT 'metric_time__month' AS scope, count(*) AS n_groups, count(*) FILTER (differs) AS n_differ, count(*) FILTER (presence = 'left_only') AS n_left_only, count(*) FILTER (presence = 'right_only') AS n_right_only, count(*) FILTER (differs) = 0 AS agrees_on_sample FROM r UNION ALL SELECT 'ungrouped total', 1, 0, 0, 0, true")
@@ -544,7 +553,7 @@ def _(spark, d):
     return annotate.effort(_sheet(spark, d))
 
 
-@query("u1_sql_macro", "SELECT o_orderkey, year(CAST(strftime(o_orderdate, '%Y-%m-%d') AS DATE)) AS y FROM orders")
+@query("u1_sql_macro", "SELECT o_orderkey, CAST(year(CAST(strftime(o_orderdate, '%Y-%m-%d') AS DATE)) AS INTEGER) AS y FROM orders")
 def _(spark, d):
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION year_of_text(s STRING) RETURNS INT RETURN year(to_date(s))")
     files.register(table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")), "orders_as_text")
