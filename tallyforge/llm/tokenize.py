@@ -168,21 +168,49 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, folder: str = TOKENIZ
     return out.withColumnRenamed("doc_id", doc_id)
 
 
-def piece_table(spark: SparkSession, folder: str = TOKENIZERS) -> DataFrame:
-    """(id, piece): the bytes of every token id, in hex; as many rows as the vocabulary has."""
-    return spark.createDataFrame([(i, b.hex()) for b, i in ranks(folder).items()], "id int, piece string")
+@lru_cache(maxsize=4)
+def piece_table(folder: str, name: str = RANKS) -> pa.Array:
+    """The bytes of every token id by position, and no bytes at the end for ids that don't exist; a fixed size."""
+    by_id = {i: b for b, i in ranks(folder, name).items()}
+    return pa.array([by_id.get(i, b"") for i in range(max(by_id) + 2)], pa.binary())
+
+
+#: Bytes of text beyond which a batch is decoded in halves.
+_BATCH_BYTES = 1 << 30
+
+
+def _decode_batch(batch: pa.RecordBatch, pieces: pa.Array) -> Iterator[pa.RecordBatch]:
+    lists = batch.column("ids")
+    flat = lists.flatten()
+    none = len(pieces) - 1
+    known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, none)), False)
+    joined = pieces.take(pc.if_else(known, flat, none))
+    upto = np.concatenate([[0], np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False).astype(np.int64))])
+    if upto[-1] > _BATCH_BYTES and batch.num_rows > 1:
+        half = batch.num_rows // 2
+        yield from _decode_batch(batch.slice(0, half), pieces)
+        yield from _decode_batch(batch.slice(half), pieces)
+        return
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    # pieces taken in order lie one behind the other: the texts are slices of their bytes
+    data = joined.buffers()[2] if len(joined) and joined.buffers()[2] is not None else pa.py_buffer(b"")
+    text = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(upto[ends].astype(np.int32)), data])
+    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text], names=["doc_id", "text"])
 
 
 def decode_corpus(encoded: DataFrame, doc_id: str, ids: str, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, text): the texts that lists of ids stand for; an empty or null list is an empty text.
 
-    One row a row; ids that the vocabulary doesn't have add nothing, and bytes that are no UTF-8 become U+FFFD. Rows are exploded to ids,
-    joined with the vocabulary's pieces (a fixed table, broadcast) and gathered again, which
-    combines on the map side as the ids of a row lie together.
+    One row a row; ids that the vocabulary doesn't have, and null ones, add nothing, and bytes that
+    are no UTF-8 become U+FFFD. The ids of a batch are joined with the pieces by position, as the
+    vocabulary is a table of fixed size; rows stay where they are, without explode or shuffle.
     """
-    pieces = F.broadcast(piece_table(encoded.sparkSession, folder))
-    rows = encoded.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"))
-    rows = rows.select("row_no", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
-    rows = rows.join(pieces, "id", "left").groupBy("row_no", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("parts"))
-    text = F.make_valid_utf8(F.unhex(F.array_join(F.col("parts.piece"), "")).cast("string"))
-    return rows.select(F.col("doc_id").alias(doc_id), text.alias("text"))
+    ship(encoded.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _decode_batch(b, piece_table(folder))
+
+    rows = encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
+    text = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text binary")
+    return text.select(F.col("doc_id").alias(doc_id), F.make_valid_utf8(F.col("text").cast("string")).alias("text"))
