@@ -216,8 +216,27 @@ _MOCKS = (
     rf"|(?P<mock>(?:\b(?:{_MOCK})\b[\s,]*){{5,}}[.]?)"
 )
 _MARKS = ("xxxxx", *(c * 5 for c in "●○■□◆◇"))
-#: The parts of one pattern that a text can need: its Japanese, its marks, its mock words.
-_RUNS = {(j, x, m): re.compile("|".join([_WORDS, *[_KANA] * j, *[_MARKED] * x, *[_MOCKS] * m])) for j in (False, True) for x in (False, True) for m in (False, True)}
+#: Any other sign or a digit over and over. Rules, dividers, leaders, fences, underlinings and stressed
+#: marks are none, nor is a single run of asterisks, which is a divider too.
+_SIGN = r"[^\w\s\-=.~+/\\#|:;,!<>^%'\"`·・‐-―─-╿]"
+_GAP = r"[^\S\n\r]"
+_REPEATED = (
+    rf"(?P<signs>(?<!\S)(?:(?P<a>{_SIGN})(?P=a){{4,}}+(?:{_GAP}+(?P<b>{_SIGN}|[\dx])(?P=b){{4,}}+)+|(?P<c>\d)(?P=c){{4,}}+(?:{_GAP}+(?P<d>{_SIGN})(?P=d){{4,}}+)+)(?!\S))"
+    rf"|(?P<whole>(?:(?<![^\n\r]){_GAP}*|(?<=[.!?]\s){_GAP}*|(?<=[。！？]){_GAP}*)(?:(?P<e>(?!\*){_SIGN}|\d)(?P=e){{4,}}+|(?P<f>{_SIGN}|\d)(?P=f){{4,}}+(?:{_GAP}+(?P<g>{_SIGN}|\d)(?P=g){{4,}}+)+)(?={_GAP}*(?:[\n\r]|\Z)))"
+)
+
+
+def _repeats(s: str) -> bool:
+    """Whether some sign or digit of :data:`_SIGN` stands five times in a row; cheaper than to try the pattern."""
+    cp = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    pairs = cp[1:] == cp[:-1]
+    fours = pairs[:-1] & pairs[1:]
+    fives = np.flatnonzero(fours[:-2] & fours[2:])
+    return any(re.match(rf"{_SIGN}|\d", chr(c)) for c in set(cp[fives].tolist())) if len(fives) else False
+
+
+#: The parts of one pattern that a text can need: its Japanese, its marks, its repeated signs, its mock words.
+_RUNS = {n: re.compile("|".join([_WORDS, *(part for part, has in zip((_KANA, _MARKED, _REPEATED, _MOCKS), n) if has)])) for n in product((False, True), repeat=4)}
 #: Machine-made replies, which are passages of their own wherever they stand.
 _REPLY = re.compile(r"(<noscript\b.*?</noscript>|<!doctype html.*?</html>|<html\b.*?</html>|\{\s*\"error\"\s*:.*?\}\s*\})", re.S)
 
@@ -245,7 +264,7 @@ def residue(text: str | None) -> tuple[list[str], float]:
             telling |= not is_mock
     parts, at, covered = [], 0, 0
     marks = any(x in folded for x in _MARKS)
-    for m in _RUNS[not folded.isascii(), marks, mock].finditer(folded):
+    for m in _RUNS[not folded.isascii(), marks, _repeats(folded), mock].finditer(folded):
         kinds.add("filler")
         covered += sum(c.isalpha() for c in m.group(0))
         parts.append(folded[at : m.start()])

@@ -42,3 +42,13 @@ def test_operator(spark):
     assert shares[5001] < 0.001 and shares[HOLDS.index(("error", "404 Not Found"))] == 1.0
     assert find_residue(df.limit(0), "doc_id", "text").count() == 0
     assert unfilled_slots("no slots") == []
+
+
+@pytest.mark.parametrize("text", ["it was sent.\n\n*************** 0000000", NOTE + " ********* 00000000000 time behaviour differs", "0000000 *****", "***** *******", "0000000000", "集計は済んだ。 ********* 000000", "?????\n"])
+def test_repeated_signs_are_filler(text):
+    assert residue(text)[0] == ["filler"]
+
+
+@pytest.mark.parametrize("text", ["-----", "===== =====", "| ----- | ----- |", "*****\nlate rows", "MP-00000205 moved by 100000", "......", "| MP-1 | 00000 | kept |", "the codes 00000 11111 were used", "a /***** note *****/ b"])
+def test_dividers_and_values_are_kept(text):
+    assert residue(text)[0] == []
