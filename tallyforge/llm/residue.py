@@ -163,33 +163,49 @@ def _covered(passage: str) -> tuple[float, set[str]]:
     return int((hit & letters).sum()) / total, kinds
 
 
+#: Of any length, as the brackets excluded bound them; texts are given with one line end at most.
 _SLOT = re.compile(
-    r"(?P<jinja>\{\{\s*[^{}()'\"|]{1,40}?\s*\}\})|(?P<dollar>\$\{\s*[^{}\s]{1,40}\s*\})|(?P<printf>%\([^()\s]{1,40}\)s)|(?P<hash>#\{\s*[^{}]{1,40}\s*\})|(?P<square>\[\[\s*[^\[\]]{1,40}\s*\]\])|(?P<angle><<\s*[^<>]{1,40}\s*>>)"
-    r"|(?P<erb><%=\s*[^<>%]{1,40}\s*%>)|(?P<at>@@[^@\s]{1,40}@@)|(?P<percent>%[A-Z一-鿿ぁ-ヿ][A-Z0-9_一-鿿ぁ-ヿ]{1,40}%)|(?P<brace>(?<![A-Za-z0-9_$#%{\\])\{\s*[^\W\d][\w ]{0,40}\s*\}(?!\}))"
-    r"|(?P<ask>[\[<](?:insert|your|enter|add|fill in|fill|type|put|select|choose|replace)\b[^\[\]<>\n]{0,60}[\]>])|(?P<blank>_{4,}|(?<![A-Za-z])X{4}(?![A-Za-z])|[〇○◯]{3,}|\?\?\?-\?\?\?|(?<![A-Za-z])TBD-TBD(?![A-Za-z]))"
-    r"|(?P<japanese>[(（【\[［][^()（）【】\[\]［］\n]{0,24}(?:に記入|を記入|要記入|未記入|に入力|を入力|要入力)[^()（）【】\[\]［］\n]{0,12}[)）】\]］])",
+    r"(?P<jinja>\{\{[^{}()'\"|]+\}\})|(?P<dollar>\$\{\s*+[^{}\s]+\s*+\})|(?P<printf>%\([^()\s]+\)s)|(?P<hash>#\{[^{}]+\})|(?P<square>\[\[[^\[\]]+\]\])|(?P<angle><<[^<>]+>>)"
+    r"|(?P<erb><%=[^<>%]+%>)|(?P<at>@@[^@\s]+@@)|(?P<percent>%[A-Z一-鿿ぁ-ヿ][A-Z0-9_一-鿿ぁ-ヿ]+%)|(?P<brace>(?<![A-Za-z0-9_$#%{\\])\{[^\S\n]*+[^\W\d_](?:[\w ]|\n(?=[^\S\n]*\w))*+[^\S\n]*+\}(?!\}))"
+    r"|(?P<ask>[\[<](?:insert|your|enter|add|fill in|fill|type|put|select|choose|replace)\b[^\[\]<>]*[\]>])|(?P<blank>_{4,}|(?<![A-Za-z])X{4}(?![A-Za-z])|[〇○◯]{3,}|\?\?\?-\?\?\?|(?<![A-Za-z])TBD-TBD(?![A-Za-z]))"
+    r"|(?P<japanese>[(（【\[［][^()（）【】\[\]［］]*(?:[にを要未]\n?記入|[にを要]\n?入力)[^()（）【】\[\]［］]{0,12}[)）】\]］])",
     re.I,
 )
 #: What any slot has somewhere; lines without it are passed over.
 _OPENING = re.compile(r"\{(?!%)|%[(A-Za-zぁ-鿿]|\[\[|<<|<%|@@|____|XXXX|xxxx|[〇○◯]{3}|\?\?\?|TBD-|tbd-|記入|入力|[\[<](?:insert|your|enter|add|fill|type|put|select|choose|replace)", re.I)
+_BRACKET = re.compile(r"[{<(（【\[［]")
 #: Record fields of common loggers, which stand in formats and not in templates.
 _LOGGING = {"asctime", "levelname", "message", "name", "lineno", "filename", "module", "funcname", "process", "thread", "pathname", "msecs", "created", "levelno"}
 _COMMAND = re.compile(r"^\s*(?:\d+\.\s*)?(?:\$\s|export\s|cd\s|set\s|echo\s|cp\s|mv\s|source\s|alias\s|sudo\s|[A-Z_][A-Z0-9_]*=)")
 
 
+def _lines(text: str) -> Iterator[tuple[str, bool]]:
+    """Every line, and every two lines with one line end between them in which a slot may be broken (marked by True)."""
+    at, last, end = 0, "", ""
+    for m in [*_LINE.finditer(text), None]:
+        line = text[at : m.start() if m else len(text)]
+        yield line, False
+        if end in ("\n", "\r", "\r\n") and _BRACKET.search(last):
+            yield f"{last}\n{line}", True
+        if m:
+            at, last, end = m.end(), line, m.group(0)
+
+
 def unfilled_slots(text: str) -> list[str]:
     """Slots of a form or template left unfilled; those of code, commands and settings aside."""
     found: list[str] = []
     cleaned = _clean(text)
     if not _OPENING.search(cleaned):
         return found
-    for line in _LINE.split(cleaned):
+    for line, broken in _lines(cleaned):
         if not _OPENING.search(line):
             continue
         ticks = [m.start() for m in re.finditer("`", line)]
         command = bool(_COMMAND.match(line))
         for m in _SLOT.finditer(line):
             kind, s = m.lastgroup, m.group(0)
+            if broken and "\n" not in s:
+                continue  # found in its own line
             if sum(t < m.start() for t in ticks) % 2 and sum(t >= m.end() for t in ticks):
                 continue  # quoted as code
             if kind == "percent" and not re.fullmatch(r"%[A-Z0-9_぀-ヿ一-鿿]+%", s):

@@ -52,3 +52,16 @@ def test_repeated_signs_are_filler(text):
 @pytest.mark.parametrize("text", ["-----", "===== =====", "| ----- | ----- |", "*****\nlate rows", "MP-00000205 moved by 100000", "......", "| MP-1 | 00000 | kept |", "the codes 00000 11111 were used", "a /***** note *****/ b"])
 def test_dividers_and_values_are_kept(text):
     assert residue(text)[0] == []
+
+
+LONG = "the name of the reviewer who kept the last evidence line of the packet"
+
+
+@pytest.mark.parametrize("text", [f"{{{{ {LONG} }}}}", f"[[{LONG}]]", f"<<{LONG}>>", f"{{{LONG}}}", f"#{{{LONG}}}", f"[insert {LONG}]", "(判定を変えた場合はその理由と根拠にした行の番号も含めてこの欄に入力してください)", "Dear {{ first\nname }}, hello.", "by [insert\r\ndue date].", "{first\n name} 様", "（理由を\n入力してください）"])
+def test_long_and_broken_slots(text):
+    assert residue(text)[0] == ["slot"] and len(unfilled_slots(text)) == 1
+
+
+@pytest.mark.parametrize("text", ["by [insert\n\ndue date].", "{{ first\n\nname }}", "else {\n  leave\n}", "see `{{ a\nb }}` here", "[[" + "a" * 50, "{" + " " * 50_000 + "\n", "#{" + " " * 50_000, "({" * 20_000 + "\n" + "[<" * 20_000])
+def test_no_slot_over_paragraphs(text):
+    assert unfilled_slots(text) == []
