@@ -106,3 +106,14 @@ def test_stream_equals_table(spark, rows, tmp_path):
     q = windowed_counts(event_stream(spark, str(tmp_path / "e"))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("counts")) == rows(windowed_counts(spark.read.parquet(str(tmp_path / "e"))))
+
+
+def test_many_files(spark, tmp_path):
+    texts = {f"d{n % 7}/e{n % 3}/f{n:03}.sql": f"select {n}\nfrom t" for n in range(300)}
+    for name, body in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    got = files.text_tree(spark, str(tmp_path)).collect()
+    assert [r.text for r in got] == [texts[k] for k in sorted(texts)]
+    manifest = spark.createDataFrame([(k.rsplit("/", 1)[1], "0" * 64 if k.endswith("5.sql") else files.digest(v)) for k, v in texts.items()], "file string, expected string")
+    assert {r.file: r.ok for r in files.verify_manifest(spark, str(tmp_path), manifest).collect()} == {k.rsplit("/", 1)[1]: not k.endswith("5.sql") for k in texts}
