@@ -1,11 +1,14 @@
 """Quantities recorded in different units: read the unit out of free text, convert to one unit.
 
 A unit text is segmented by dynamic programming over tries of scale prefixes, unit roots,
-exponents, cue words and words that only look like units. Every segment carries a weight; the
-best segmentation wins, and where several decompositions are possible the prior of the field
-decides: the currency field is expected to be a unit and nothing else, a remark is prose in
-which a unit counts only where a cue states it for the amount, and a field of money takes no
-root of another dimension (`1,000 rows`, `千件`).
+exponents, cue words and words that only look like units. Every segment carries a weight, a
+root also the prior of its dimension in the field at hand, and the best segmentation wins: a
+root with several readings (`$`, `¥`, `pound`) takes the one that the field makes likeliest.
+A phrase is the field's unit if its prior, with what a cue adds to it, is positive: the
+currency field is expected to be a unit and nothing else, a remark is prose in which a unit
+counts only where a cue states it for the amount, and a field of money takes no root of
+another dimension (`1,000 rows`, `千件`). What a currency field names and the grammar cannot
+read is unknown, never single yen.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,22 +27,51 @@ from pyspark.sql import types as T
 
 from tallyforge.session import ship
 
-#: Fixed vocabulary. Prefix: power of ten. Root: (dimension, power of ten). Exponent: power of ten.
+#: Fixed vocabulary. Prefix: power of ten. Root: its readings, (dimension, power of ten) each. Exponent: power of ten.
 PREFIXES = {
-    "k": 3, "thousand": 3, "thousands": 3, "thousand of": 3, "thousands of": 3, "千": 3,
-    "ten thousand": 4, "ten thousands of": 4, "tens of thousands of": 4, "10k": 4, "万": 4, "十万": 5, "百万": 6, "千万": 7, "億": 8,
+    "k": 3, "thousand": 3, "thousands": 3, "thousand of": 3, "thousands of": 3, "十": 1, "百": 2, "千": 3, "万": 4, "億": 8, "兆": 12,
+    "ten thousand": 4, "ten thousands of": 4, "tens of thousands of": 4, "10k": 4, "lakh": 5, "lakhs": 5, "crore": 7, "crores": 7,
     "hundred thousand": 5, "million": 6, "millions": 6, "millions of": 6, "mn": 6, "mm": 6, "mio": 6, "m": 6,
-    "billion": 9, "billions of": 9, "bn": 9, "hundred": 2, "hundreds of": 2, "百": 2, "whole": 0, "single": 0, "full": 0,
+    "billion": 9, "billions": 9, "billions of": 9, "bn": 9, "b": 9, "trillion": 12, "trillions": 12, "trillions of": 12, "tn": 12, "hundred": 2, "hundreds of": 2, "whole": 0, "single": 0, "full": 0,
 }
-ROOTS = {
-    "jpy": ("JPY", 0), "yen": ("JPY", 0), "円": ("JPY", 0), "¥": ("JPY", 0), "圓": ("JPY", 0), "japanese yen": ("JPY", 0), "日本円": ("JPY", 0), "jp¥": ("JPY", 0),
-    "usd": ("USD", 0), "us$": ("USD", 0), "$": ("USD", 0), "dollar": ("USD", 0), "dollars": ("USD", 0), "us dollar": ("USD", 0), "us dollars": ("USD", 0),
-    "u.s. dollar": ("USD", 0), "u.s. dollars": ("USD", 0), "u.s.$": ("USD", 0), "ドル": ("USD", 0), "米ドル": ("USD", 0), "米国ドル": ("USD", 0), "アメリカドル": ("USD", 0), "弗": ("USD", 0),
-    "cent": ("USD", -2), "cents": ("USD", -2), "¢": ("USD", -2), "us cent": ("USD", -2), "us cents": ("USD", -2), "u.s. cents": ("USD", -2), "usd cent": ("USD", -2), "usd cents": ("USD", -2),
-    "dollar cents": ("USD", -2), "us¢": ("USD", -2), "セント": ("USD", -2), "米セント": ("USD", -2), "usc": ("USD", -2),
-    "row": ("COUNT", 0), "rows": ("COUNT", 0), "message": ("COUNT", 0), "messages": ("COUNT", 0), "account": ("COUNT", 0), "accounts": ("COUNT", 0), "件": ("COUNT", 0), "通": ("COUNT", 0),
-    "人": ("COUNT", 0), "名": ("COUNT", 0), "行": ("COUNT", 0), "回": ("COUNT", 0), "社": ("COUNT", 0), "口座": ("COUNT", 0), "percent": ("SHARE", -2), "%": ("SHARE", -2),
+#: Currencies called dollar: what stands before the word or its sign.
+_DOLLARS = {"USD": ("us", "u.s.", "american"), "CAD": ("c", "ca", "can", "cad", "canadian"), "AUD": ("a", "au", "aus", "aud", "australian"), "HKD": ("hk", "hkd", "hong kong"), "NZD": ("nz", "nzd", "new zealand"), "SGD": ("s", "sg", "sgd", "singapore"), "TWD": ("nt", "twd", "taiwan", "new taiwan")}
+_NAMES = {
+    "JPY": "jpy|yen|円|¥|圓|japanese yen|日本円|jp¥|j¥", "USD": "usd|ドル|米ドル|米国ドル|アメリカドル|弗", "EUR": "eur|euro|euros|€|ユーロ|欧州ユーロ", "GBP": "gbp|£|pound sterling|pounds sterling|british pound|british pounds|英ポンド|ポンド",
+    "CNY": "cny|rmb|cnh|yuan|renminbi|人民元|元|中国元|cn¥", "KRW": "krw|won|₩|ウォン|韓国ウォン", "CHF": "chf|swiss franc|swiss francs|スイスフラン", "CAD": "cad|カナダドル|加ドル", "AUD": "aud|豪ドル|オーストラリアドル", "HKD": "hkd|香港ドル", "NZD": "nzd|ニュージーランドドル",
+    "SGD": "sgd|シンガポールドル", "TWD": "twd|台湾ドル|新台湾ドル", "INR": "inr|rupee|rupees|₹|インドルピー|ルピー", "THB": "thb|baht|฿|バーツ", "SEK": "sek|スウェーデンクローナ", "NOK": "nok|ノルウェークローネ", "DKK": "dkk|デンマーククローネ", "BRL": "brl|r$|レアル", "MXN": "mxn|mex$",
+    "RUB": "rub|₽|ルーブル", "TRY": "try|₺|トルコリラ", "ZAR": "zar|南アランド", "PHP": "php|₱|フィリピンペソ", "IDR": "idr|rupiah|ルピア", "VND": "vnd|₫|ドン", "PLN": "pln|zloty", "CZK": "czk", "HUF": "huf", "ILS": "ils|₪", "MYR": "myr|ringgit|リンギット", "AED": "aed", "SAR": "sar",
+    "COUNT": "row|rows|message|messages|account|accounts|件|通|人|名|行|回|社|口座|枚|個", "MASS": "kg|kilogram|kilograms|ton|tons|gram|grams|トン|グラム", "TIME": "second|seconds|minute|minutes|hour|hours|day|days|秒|分|時間|日",
 }
+_HUNDREDTHS = {"USD": "usc|us¢|us cent|us cents|u.s. cents|usd cent|usd cents|dollar cents|セント|米セント", "EUR": "euro cent|euro cents|eurocent|eurocents|eur cent|eur cents|ユーロセント", "GBP": "pence|penny|gbp pence|ペンス", "SHARE": "percent|%"}
+
+
+def _roots() -> dict[str, tuple[tuple[str, int], ...]]:
+    out: dict[str, list[tuple[str, int]]] = {}
+    for power, names in ((0, _NAMES), (-2, _HUNDREDTHS)):
+        for dim, words in names.items():
+            for w in words.split("|"):
+                out.setdefault(w, []).append((dim, power))
+    for dim, marks in _DOLLARS.items():
+        for power, words in ((0, ("dollar", "dollars", "$")), (-2, ("cent", "cents", "¢"))):
+            for w in words:
+                out.setdefault(w, []).append((dim, power))  # by itself it may be any of them
+                for m in marks:
+                    out.setdefault(f"{m}{w}" if w in "$¢" else f"{m} {w}", []).append((dim, power))
+    for w, dim, power in (("¥", "CNY", 0), ("cent", "EUR", -2), ("cents", "EUR", -2), ("pound", "GBP", 0), ("pounds", "GBP", 0), ("pound", "MASS", 0), ("pounds", "MASS", 0)):
+        out.setdefault(w, []).append((dim, power))
+    return {w: tuple(dict.fromkeys(v)) for w, v in out.items()}
+
+
+ROOTS = _roots()
+#: The prior of a field of money: how likely each dimension is in it. What is not named is money of another kind.
+MONEY_PRIOR = {"JPY": 2.0, "USD": 1.5, "EUR": 0.8, "COUNT": -4.0, "SHARE": -4.0, "MASS": -4.0, "TIME": -4.0}
+OTHER_MONEY = 0.5
+#: The dimension of a currency field that names a unit which the grammar cannot read.
+UNKNOWN = "UNKNOWN"
+#: Words that may stand beside a unit in a currency field, and those that state that it is not known.
+_FILLERS = frozenset("the of a an per each net gross incl excl including excluding tax vat only currency amount amounts 税込 税抜".split())
+_NOTHING = frozenset("n/a na none null nil nan - -- unknown unspecified tbd なし 不明 未定".split())
 EXPONENTS = {
     "x1000": 3, "x1,000": 3, "×1000": 3, "×1,000": 3, "x10000": 4, "x10,000": 4, "x1000000": 6, "x1,000,000": 6, "(000)": 3, "(000s)": 3, "000": 3, "000s": 3, "'000": 3, "'000s": 3, "(千)": 3, "(万)": 4, "(百万)": 6,
     "1,000s": 3, "1000s": 3, "10,000s": 4, "10000s": 4, "1,000,000s": 6, "(000,000)": 6, "/100": -2, "1/100": -2, "/1000": -3, "x100": 2, "/ 100": -2, "in 1000": 3, "in 1,000": 3,
@@ -53,7 +86,15 @@ CUES_AFTER = ("単位", "建て", "表示", "換算", "denominated")
 #: Words that take the unit after them away from the amount.
 BLOCKERS = ("no", "not in", "not", "was in", "were in", "rounded to", "rounded to whole", "free", "top", "first", "over", "above", "stopped at", "converted from", "instead of", "元は", "formerly in")
 
-_WEIGHT = {"root": 4.0, "prefix": 2.0, "exponent": 3.0, "cue": 3.5, "blocker": 3.5, "number": 0.0, "blank": 0.0, "text": -1.0}
+#: What a cue beside a phrase adds to its prior.
+_CUED = 3.5
+#: How far a prior moves a segmentation: it decides between readings of a root, hardly between roots of other lengths.
+_PRIOR_SHARE = 0.1
+#: A root right after a root says the same once more (`usd cents`), so that the two don't outweigh one longer root.
+_SECOND_ROOT = -1.0
+_WEIGHT = {"root": 1.0, "prefix": 0.5, "exponent": 0.8, "cue": 0.9, "blocker": 0.9, "number": 0.0, "blank": 0.0, "text": -1.0}
+#: What each character that is understood adds, so that one long word outweighs the short ones in it.
+_CHARACTER = 1.0
 
 
 @dataclass(frozen=True)
@@ -83,18 +124,25 @@ class _Trie:
 
 @dataclass(frozen=True)
 class UnitGrammar:
-    """The tries and the field's prior; ``dimension`` is what the field measures."""
+    """The tries and the field's prior over dimensions; ``other`` is the prior of those not in it."""
 
     prefixes: dict = field(default_factory=lambda: PREFIXES)
     roots: dict = field(default_factory=lambda: ROOTS)
     exponents: dict = field(default_factory=lambda: EXPONENTS)
-    money: frozenset = frozenset({"JPY", "USD"})
+    prior: dict = field(default_factory=lambda: MONEY_PRIOR)
+    other: float = OTHER_MONEY
+
+    def weight(self, dimension: str) -> float:
+        return self.prior.get(dimension, self.other)
 
     def tries(self) -> _Trie:
         trie = _Trie()
-        for kind, words in (("prefix", self.prefixes), ("root", self.roots), ("exponent", self.exponents)):
+        for kind, words in (("prefix", self.prefixes), ("exponent", self.exponents)):
             for text, value in words.items():
                 trie.add(text, kind, value)
+        for text, readings in self.roots.items():
+            for value in readings:
+                trie.add(text, "root", value)
         for text in CUES_BEFORE:
             trie.add(text, "cue", "before")
         for text in CUES_AFTER:
@@ -114,8 +162,8 @@ class UnitParser:
     def __init__(self, grammar: UnitGrammar | None = None) -> None:
         self.grammar = grammar or UnitGrammar()
         self.trie = self.grammar.tries()
-        money = sorted({w for w, (dim, _) in self.grammar.roots.items() if dim in self.grammar.money}, key=len, reverse=True)
-        self.mentions = re.compile("|".join(map(re.escape, money)))
+        likely = sorted({w for w, readings in self.grammar.roots.items() if any(self.grammar.weight(dim) > -_CUED for dim, _ in readings)}, key=len, reverse=True)
+        self.mentions = re.compile("|".join(map(re.escape, likely)))
 
     @staticmethod
     def clean(text: str) -> str:
@@ -124,13 +172,13 @@ class UnitParser:
     def segments(self, s: str) -> list[Segment]:
         """The best segmentation of ``s``; cost is linear in its length."""
         n = len(s)
-        best: list[tuple[float, int, Segment | None]] = [(-math.inf, 0, None)] * (n + 1)
-        best[0] = (0.0, 0, None)
+        best: list[tuple[float, int, Segment | None, str]] = [(-math.inf, 0, None, "")] * (n + 1)
+        best[0] = (0.0, 0, None, "")
 
         def offer(i: int, j: int, seg: Segment, weight: float) -> None:
             score = best[i][0] + weight
             if score > best[j][0]:
-                best[j] = (score, i, seg)
+                best[j] = (score, i, seg, best[i][3] if seg.kind == "blank" else seg.kind)
 
         for i in range(n):
             if best[i][0] == -math.inf:
@@ -163,10 +211,11 @@ class UnitParser:
                     continue
                 if kind == "prefix" and _latin(s[j - 1]) and j < n and _latin(s[j]) and not any(k == "root" for _, k, _ in self.trie.matches(s, j)):
                     continue
-                offer(i, j, Segment(kind, s[i:j], value), _WEIGHT[kind] + 0.1 * (j - i))
+                weight = _SECOND_ROOT if kind == best[i][3] == "root" else _WEIGHT[kind]
+                offer(i, j, Segment(kind, s[i:j], value), weight + _CHARACTER * (j - i) + (_PRIOR_SHARE * self.grammar.weight(value[0]) if kind == "root" else 0.0))
         out, at = [], n
         while at > 0:
-            _, i, seg = best[at]
+            _, i, seg, _ = best[at]
             out.append(seg)
             at = i
         return out[::-1]
@@ -207,13 +256,15 @@ class UnitParser:
             i = max(i, start + 1)
 
     def currency(self, text: str | None) -> tuple[str, int] | None:
-        """The unit a currency field names: its first phrase of money. None where it names none."""
-        if not text:
+        """The unit a currency field names: its likeliest phrase. None where it names none, unknown where it names what can't be read."""
+        text = self.clean(text or "")
+        if not any(c.isalnum() or unicodedata.category(c) == "Sc" for c in text) or text in _NOTHING:
             return None
-        for _, _, dim, power, _ in self._phrases(self.segments(self.clean(text))):
-            if dim in self.grammar.money:
-                return dim, power
-        return None
+        segs = self.segments(text)
+        words = re.findall(r"[^\W\d_]+|[^\w\s]", "".join(x.text if x.kind == "text" else " " for x in segs))
+        left = [w for w in words if w not in _FILLERS and (w.isalpha() or unicodedata.category(w) == "Sc")]
+        likely = [(self.grammar.weight(dim), -at, dim, power) for at, _, dim, power, _ in self._phrases(segs) if self.grammar.weight(dim) > 0]
+        return (UNKNOWN, 0) if left or not likely else max(likely)[2:]
 
     def remark(self, text: str | None) -> tuple[str, int] | None:
         """The unit a remark states for the amount; None where it states none.
@@ -229,7 +280,7 @@ class UnitParser:
             return None
         segs, found = self.segments(text), None
         for start, end, dim, power, counted in self._phrases(segs):
-            if dim not in self.grammar.money:
+            if self.grammar.weight(dim) + _CUED <= 0:  # not even a cue makes it this field's unit
                 continue
             lead = [s for s in segs[:start] if s.kind != "blank" and not (s.kind == "text" and s.text in "(:")]
             tail = next((s for s in segs[end:] if s.kind != "blank"), None)
@@ -253,48 +304,47 @@ class UnitParser:
         return 0, True
 
 
-@lru_cache(maxsize=1)
-def _parser() -> UnitParser:
-    return UnitParser()
-
-
-#: Entries of a worker's memo of texts already read; it only saves time.
-_MEMO = 1 << 16
-
-
-@lru_cache(maxsize=_MEMO)
-def _read(text: str, is_remark: bool) -> tuple[str, int] | None:
-    return _parser().remark(text) if is_remark else _parser().currency(text)
+@lru_cache(maxsize=8)
+def _parser(prior: tuple[tuple[str, float], ...]) -> UnitParser:
+    return UnitParser(UnitGrammar(prior=dict(prior)))
 
 
-def unit_of(currency: str | None, remark: str | None) -> tuple[str, int] | None:
+def unit_of(currency: str | None, remark: str | None, prior: dict[str, float] | None = None) -> tuple[str, int] | None:
     """What the remark states goes before the currency; None where neither names a unit."""
-    return (_read(remark, True) if remark else None) or (_read(currency, False) if currency else None)
+    parser = _parser(tuple(sorted((prior or MONEY_PRIOR).items())))
+    return (parser.remark(remark) if remark else None) or (parser.currency(currency) if currency else None)
 
 
 UNIT_TYPE = T.StructType([T.StructField("dimension", T.StringType()), T.StructField("power", T.IntegerType())])
 
 
-@F.pandas_udf(UNIT_TYPE)
-def _unit_udf(currency: pd.Series, remark: pd.Series) -> pd.DataFrame:
-    default = ("JPY", 0)
-    rows = [unit_of(c, r) or default for c, r in zip(currency.where(currency.notna(), None), remark.where(remark.notna(), None))]
-    return pd.DataFrame(rows, columns=["dimension", "power"])
-
-
-def unit(currency: Column, remark: Column) -> Column:
+def unit(currency: Column, remark: Column, prior: dict[str, float] | None = None) -> Column:
     """The unit of each row as struct(dimension, power); single yen where none is named.
 
     Runs in Arrow batches beside the rows, without a shuffle: only the two texts leave the JVM.
+    Every distinct pair of texts of a batch is read once, its unit goes to all its rows by position.
     """
-    return _unit_udf(currency.cast("string"), remark.cast("string"))
+    prior = prior or MONEY_PRIOR
+
+    def read(currency: pd.Series, remark: pd.Series) -> pd.DataFrame:
+        (c, c_texts), (r, r_texts) = pd.factorize(currency), pd.factorize(remark)
+        pairs, of = np.unique((c + 1) * (len(r_texts) + 1) + r + 1, return_inverse=True)
+        found = []
+        for pair in pairs.tolist():
+            i, j = divmod(pair, len(r_texts) + 1)
+            found.append(unit_of(c_texts[i - 1] if i else None, r_texts[j - 1] if j else None, prior) or ("JPY", 0))
+        dims, powers = np.array([d for d, _ in found], object), np.array([p for _, p in found], np.int32)
+        return pd.DataFrame({"dimension": dims[of], "power": powers[of]})
+
+    return F.pandas_udf(read, UNIT_TYPE)(currency.cast("string"), remark.cast("string"))
 
 
 def unit_code(dimension: Column, power: Column) -> Column:
     """A short name of the unit, `JPY_E8` and the like where it has none of its own."""
     jpy = F.when(power == 0, "JPY").when(power == 3, "JPY_K").when(power == 4, "JPY_10K").when(power == 6, "JPY_M")
     usd = F.when(power == 0, "USD").when(power == -2, "USD_CENT")
-    return F.coalesce(F.when(dimension == "JPY", jpy), F.when(dimension == "USD", usd), F.concat(dimension, F.lit("_E"), power.cast("string")))
+    plain = F.when((power == 0) & (dimension != "JPY"), dimension)
+    return F.coalesce(F.when(dimension == "JPY", jpy), F.when(dimension == "USD", usd), plain, F.concat(dimension, F.lit("_E"), power.cast("string")))
 
 
 def rate_table(rates: DataFrame, month: str = "rate_month", currency: str = "currency", rate: str = "jpy_per_unit") -> DataFrame:
@@ -309,29 +359,26 @@ def rate_table(rates: DataFrame, month: str = "rate_month", currency: str = "cur
     )
 
 
-#: A rate table has a row a month and currency: not even a thousand years of months reach this.
-MAX_RATE_ROWS = 100_000
-
-
-def to_yen(df: DataFrame, rates: DataFrame, amount: str, currency: str, remark: str, month: Column, keep: dict[str, Column]) -> DataFrame:
+def to_yen(df: DataFrame, rates: DataFrame, amount: str, currency: str, remark: str, month: Column, keep: dict[str, Column], prior: dict[str, float] | None = None) -> DataFrame:
     """Every amount in whole yen.
 
     The result has the columns named in ``keep`` (expressions over ``df``) and
-    ``unit`` (code), ``yen`` (decimal(38,0), rounded half up; null for a null amount and for a
-    month without a rate). Yen needs no rate. Foreign columns of ``df`` are left out, so none
-    can clash. The rate table is broadcast only after its rows were counted; beyond
-    ``MAX_RATE_ROWS`` the join is left to the planner.
+    ``unit`` (code), ``yen`` (decimal(38,0), rounded half up; null for a null amount, for a month
+    without a rate of the currency, for a unit that is named but not known, and for a sum of
+    more than 38 digits). Yen needs no rate; any power of ten is taken. ``prior`` weighs the
+    dimensions of the field (:data:`MONEY_PRIOR`). Foreign columns of ``df`` are left out, so none
+    can clash. The rate table has a row a month and currency; the planner broadcasts it by its size.
     """
     ship(df.sparkSession)
     u = F.col("__unit")
-    rows = df.select(*[c.alias(n) for n, c in keep.items()], F.col(amount).cast("bigint").alias("__amount"), month.alias("__month"), unit(F.col(currency), F.col(remark)).alias("__unit"))
+    rows = df.select(*[c.alias(n) for n, c in keep.items()], F.col(amount).cast("bigint").alias("__amount"), month.alias("__month"), unit(F.col(currency), F.col(remark), prior).alias("__unit"))
     table = rate_table(rates).where(F.col("rate_currency") != "JPY")
-    if table.limit(MAX_RATE_ROWS + 1).count() <= MAX_RATE_ROWS:
-        table = F.broadcast(table)
     rows = rows.join(table, (F.col("__month") == F.col("rate_month")) & (u["dimension"] == F.col("rate_currency")), "left")
     per_unit = F.when(u["dimension"] == "JPY", F.lit(1).cast("decimal(12,4)")).otherwise(F.col("rate"))
-    # a power of ten times a rate: exact in decimal(18,6) from cents to millions
-    scale = F.coalesce(*[F.when(u["power"] == p, F.lit(f"{10**p:.2f}" if p < 0 else str(10**p)).cast("decimal(15,2)")) for p in range(-2, 10)])
-    factor = (per_unit * scale).cast("decimal(18,6)")
-    yen = F.round(F.col("__amount").cast("decimal(19,0)") * factor, 0).cast("decimal(38,0)")
+    whole, ten = F.col("__amount").cast("decimal(19,0)"), F.concat(F.lit("1e"), u["power"].cast("string"))
+    # exact down to millionths: a rate has four places, and 19 digits times 18 are 38 at most
+    small = F.try_multiply(whole, (per_unit * ten.try_cast("decimal(20,18)")).cast("decimal(18,10)"))
+    large = F.try_multiply(F.try_multiply(whole, per_unit), ten.try_cast("decimal(20,0)"))
+    in_yen = [F.round(x, 0).cast("decimal(38,0)") for x in (F.try_multiply(whole, per_unit), small, large)]
+    yen = F.when(u["power"] == 0, in_yen[0]).when(u["power"] < 0, in_yen[1]).otherwise(in_yen[2])
     return rows.select(*keep, unit_code(u["dimension"], u["power"]).alias("unit"), yen.alias("yen"))
