@@ -12,20 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 _CLASSIFIED = """
-WITH arrived AS (
-  SELECT record, event_no, arrival, amount, arrival_no - event_no AS lag
+WITH cells AS (  -- the finest triangle: one record's arrivals by period; of equal ones the one loaded last
+  SELECT record, event_no, arrival, arrival_no - event_no AS lag, max(struct(loaded, amount)).amount AS amount
   FROM {arrivals}
   WHERE record IS NOT NULL AND event_no IS NOT NULL AND arrival IS NOT NULL AND arrival_no IS NOT NULL
+  GROUP BY record, event_no, arrival, arrival_no
 ),
-firsts AS (
-  SELECT *, min(arrival) OVER (PARTITION BY record) AS first_arrival FROM arrived
+steps AS (
+  SELECT *, coalesce(amount, 0) - coalesce(lag(amount) OVER w, 0) AS delta, count(*) OVER w - 1 AS n_before
+  FROM cells WINDOW w AS (PARTITION BY record ORDER BY arrival)
 )
-SELECT record, event_no, arrival, amount, lag,
+SELECT record, event_no, arrival, amount, lag, delta,
+       sum(CASE WHEN lag <= {cutoff} THEN delta END) OVER (PARTITION BY record ORDER BY arrival) AS revised,
        CASE WHEN lag > {cutoff} THEN 'rejected'
-            WHEN arrival > first_arrival THEN 'restated'
+            WHEN n_before > 0 THEN 'restated'
             WHEN lag > {on_time} THEN 'accepted'
             ELSE 'on_time' END AS outcome
-FROM firsts
+FROM steps
 """
 
 _TRIANGLE = """
@@ -62,13 +65,16 @@ FROM cells
 
 
 def classify_arrivals(arrivals: DataFrame, on_time: int, cutoff: int) -> DataFrame:
-    """Every arrival with its lag and outcome: (record, event_no, arrival, amount, lag, outcome).
+    """Every arrival with its lag, what it adds and its outcome: (record, event_no, arrival, amount, lag, delta, revised, outcome).
 
-    ``arrivals`` has (record, event_no, arrival_no, arrival, amount): period numbers are integers,
-    ``arrival`` is the instant they come from. ``rejected`` came with a lag beyond ``cutoff``; of
-    the rest a record's earliest arrival is ``on_time`` up to lag ``on_time`` and ``accepted``
-    (late) beyond it, and later ones are ``restated``. Rows with a null record or period take part
-    nowhere; a null amount counts as none but its row arrives. Repeated rows all come out.
+    ``arrivals`` has (record, event_no, arrival_no, arrival, loaded, amount): period numbers are
+    integers, ``arrival`` is the instant they come from. Each record has its own small triangle:
+    cells by arrival, their deltas, and ``revised``, the record's amount cumulated over the
+    arrivals within the cut-off. ``rejected`` came with a lag beyond ``cutoff``; of the rest a
+    record's first arrival is ``on_time`` up to lag ``on_time`` and ``accepted`` (late) beyond
+    it, and later ones are ``restated``. Rows with a null record or period take part nowhere; a
+    null amount counts as none but its row arrives. Of rows that repeat an arrival of a record
+    the one loaded last counts (ties by the greatest amount), so each arrival comes out once.
     """
     return arrivals.sparkSession.sql(_CLASSIFIED, arrivals=arrivals, on_time=int(on_time), cutoff=int(cutoff))
 
@@ -78,7 +84,6 @@ def revision_triangle(classified: DataFrame, cutoff: int, full_deliveries: bool)
 
     With ``full_deliveries`` an arrival period brings all records of the event period again, so
     that a record missing from the next delivered one is withdrawn from it (and may return);
-    otherwise what arrived once stays. Repeated arrivals in one arrival period count by the last
-    (ties by the greatest amount). Periods without accepted arrivals have no row.
+    otherwise what arrived once stays. Several arrivals in one arrival period count by the last. Periods without accepted arrivals have no row.
     """
     return classified.sparkSession.sql(_TRIANGLE, classified=classified, cutoff=int(cutoff), full=bool(full_deliveries))

@@ -322,19 +322,19 @@ def unit(currency: Column, remark: Column, prior: dict[str, float] | None = None
     """The unit of each row as struct(dimension, power); single yen where none is named.
 
     Runs in Arrow batches beside the rows, without a shuffle: only the two texts leave the JVM.
-    Every distinct pair of texts of a batch is read once, its unit goes to all its rows by position.
+    Every distinct text of a batch is read once, its unit goes to all its rows by position.
     """
     prior = prior or MONEY_PRIOR
 
     def read(currency: pd.Series, remark: pd.Series) -> pd.DataFrame:
+        parser = _parser(tuple(sorted(prior.items())))
         (c, c_texts), (r, r_texts) = pd.factorize(currency), pd.factorize(remark)
-        pairs, of = np.unique((c + 1) * (len(r_texts) + 1) + r + 1, return_inverse=True)
-        found = []
-        for pair in pairs.tolist():
-            i, j = divmod(pair, len(r_texts) + 1)
-            found.append(unit_of(c_texts[i - 1] if i else None, r_texts[j - 1] if j else None, prior) or ("JPY", 0))
-        dims, powers = np.array([d for d, _ in found], object), np.array([p for _, p in found], np.int32)
-        return pd.DataFrame({"dimension": dims[of], "power": powers[of]})
+        named = [parser.currency(t) or ("JPY", 0) for t in c_texts] + [("JPY", 0)]
+        stated = [parser.remark(t) for t in r_texts] + [None]  # position -1 is that of a null
+        found = np.array([x is not None for x in stated])
+        dim, power = (np.array([x[k] for x in named], (object, np.int32)[k]) for k in (0, 1))
+        its_dim, its_power = (np.array([x[k] if x else (None, 0)[k] for x in stated], (object, np.int32)[k]) for k in (0, 1))
+        return pd.DataFrame({"dimension": np.where(found[r], its_dim[r], dim[c]), "power": np.where(found[r], its_power[r], power[c])})
 
     return F.pandas_udf(read, UNIT_TYPE)(currency.cast("string"), remark.cast("string"))
 

@@ -13,7 +13,7 @@ from tallyforge.operators import late, orphans
 from tallyforge.operators.asof import as_known
 from tallyforge.operators.dedupe import keep_last
 from tallyforge.operators.history import snapshot_calendar
-from tallyforge.operators.rolling import trailing_totals
+from tallyforge.operators.rolling import borne_out, trailing_totals
 from tallyforge.operators.snapshot_diff import diff_pairs
 from tallyforge.operators.units import to_yen
 from tallyforge.plans.accounts import history, revenue_rows
@@ -36,8 +36,8 @@ def _yen_rows(spark: SparkSession, d: str, keep: dict) -> DataFrame:
     return to_yen(revenue_rows(spark, d), table(spark, d, "fx_rate"), "revenue_amount", "currency", "remark", F.col("revenue_month"), keep)
 
 
-def p1_rolling(spark: SparkSession, d: str) -> DataFrame:
-    """Trailing 3 and 12 month totals of every listed account; a month's total takes each record's newest delivery."""
+def _trailing_months(spark: SparkSession, d: str, windows: list[int]) -> DataFrame:
+    """Trailing totals of every listed account; a month's total takes each record's newest delivery."""
     rows = _yen_rows(spark, d, {**_key(), "message_count": F.col("message_count"), "loaded_at": F.col("loaded_at")})
     rows = rows.where(F.col("revenue_month").isNotNull())
     records = keep_last(
@@ -48,19 +48,23 @@ def p1_rolling(spark: SparkSession, d: str) -> DataFrame:
     )
     months = records.groupBy("account_id", month_no(F.col("revenue_month")).alias("period")).agg(F.count("*").alias("n"), F.sum("yen").cast("bigint").alias("yen"), F.sum("messages").alias("messages"))
     months = months.join(_listed(spark, d), "account_id", "left_semi")
-    out = trailing_totals(months, "account_id", "period", ["yen", "messages"], [3, 12], rows="n")
-    return out.select("account_id", month_from_no(F.col("period")).alias("revenue_month"), F.col("n_rows").alias("n_records"), *[f"{m}_{a}_{w}" for m in ("yen", "messages") for a in ("total", "avg") for w in (3, 12)])
+    return trailing_totals(months, "account_id", "period", ["yen", "messages"], windows, rows="n")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return p1_rolling(spark, d).withColumn("revenue_month", iso(F.col("revenue_month")))
+    """Trailing 3 and 12 month totals and averages of every listed account and month."""
+    out = _trailing_months(spark, d, [3, 12])
+    return out.select("account_id", iso(month_from_no(F.col("period"))).alias("revenue_month"), F.col("n_rows").alias("n_records"), *[f"{m}_{a}_{w}" for m in ("yen", "messages") for a in ("total", "avg") for w in (3, 12)])
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Months without any row strictly between an account's first and last: what the calendar join fills with zeros."""
-    rows = revenue_rows(spark, d).where(F.col("revenue_month").isNotNull()).groupBy("account_id", month_no(F.col("revenue_month")).alias("period")).agg(F.count("*").alias("n"))
-    months = rows.join(_listed(spark, d), "account_id", "left_semi")
-    out = trailing_totals(months, "account_id", "period", ["n"], [3, 12], rows="n")
+    """Silent months: rows of the trailing totals to which the month itself adds nothing.
+
+    The totals over 3 and 12 months are worked out as in ``p1_rolling`` and held against the
+    months' own contributions; a total that doesn't add up is an error.
+    """
+    windows = [1, 3, 12]
+    out = borne_out(_trailing_months(spark, d, windows), "account_id", "period", ["yen", "messages"], windows)
     return out.where(F.col("n_rows") == 0).select("account_id", iso(month_from_no(F.col("period"))).alias("revenue_month"))
 
 
@@ -98,28 +102,35 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("account_id", iso(F.col("revenue_month")).alias("revenue_month"), "plan_type")
 
 
-def _arrivals(rows: DataFrame, amount) -> DataFrame:
-    return rows.select(
+def _arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Every arrival of every record in yen, with its lag, what it adds to its record's total, and its outcome."""
+    rows = _yen_rows(spark, d, {**_key(), "loaded_at": F.col("loaded_at")})
+    rows = rows.select(
         F.struct("account_id", "revenue_month", "line_no").alias("record"),
         month_no(F.col("revenue_month")).alias("event_no"),
         month_no(F.col("snapshot_date")).alias("arrival_no"),
         F.col("snapshot_date").alias("arrival"),
-        amount.alias("amount"),
+        F.col("loaded_at").alias("loaded"),
+        F.col("yen").cast("bigint").alias("amount"),
     )
+    return late.classify_arrivals(rows, on_time=1, cutoff=COVERING)
 
 
 def p4_triangle(spark: SparkSession, d: str) -> DataFrame:
     """Every revision of every month's total, corrected up to the third covering delivery."""
-    rows = keep_last(_yen_rows(spark, d, {**_key(), "loaded_at": F.col("loaded_at")}), _key(), [F.col("loaded_at")], {"yen": F.col("yen")})
-    seen = late.classify_arrivals(_arrivals(rows, F.col("yen").cast("bigint")), on_time=1, cutoff=COVERING)
-    out = late.revision_triangle(seen, cutoff=COVERING, full_deliveries=True)
+    out = late.revision_triangle(_arrivals(spark, d), cutoff=COVERING, full_deliveries=True)
     return out.select(iso(month_from_no(F.col("event_no"))).alias("revenue_month"), F.col("lag").cast("bigint").alias("delivery"), "n_new", "n_restated", "n_returned", "n_withdrawn", F.col("delta").cast("bigint").alias("delta_yen"), F.col("total").cast("bigint").alias("total_yen"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = revenue_rows(spark, d).groupBy(*_KEY).agg(F.lit(0).cast("bigint").alias("none"))
-    seen = late.classify_arrivals(_arrivals(rows, F.lit(0).cast("bigint")), on_time=1, cutoff=COVERING).where(F.col("outcome").isin("accepted", "rejected"))
-    return seen.select(F.col("record.account_id").alias("account_id"), iso(F.col("record.revenue_month")).alias("revenue_month"), F.col("record.line_no").alias("line_no"), iso(F.col("arrival")).alias("snapshot_date"), "outcome")
+    """Late records by outcome, from the records' own triangles of amounts.
+
+    An accepted arrival must leave its record's total at the amount it states, a rejected one must
+    leave it untouched; a total that doesn't add up is an error.
+    """
+    seen = _arrivals(spark, d).where(F.col("outcome").isin("accepted", "rejected"))
+    adds_up = F.assert_true((F.col("outcome") == "rejected") | (F.col("revised") == F.coalesce("amount", F.lit(0))), F.lit("revisions of a record do not add up")).isNull()
+    return seen.where(adds_up).select(F.col("record.account_id").alias("account_id"), iso(F.col("record.revenue_month")).alias("revenue_month"), F.col("record.line_no").alias("line_no"), iso(F.col("arrival")).alias("snapshot_date"), "outcome")
 
 
 def _orphan_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +167,7 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
     )
     # the calendar has a row a delivery; its neighbours tell which months both cover in full
     days = calendar.select("snap_date", "snap_no", "next_date").withColumn("prev_date", F.lag("snap_date").over(Window.partitionBy(F.lit(0)).orderBy("snap_no")))
-    rows = rows.join(F.broadcast(days), rows["snapshot_date"] == days["snap_date"])
+    rows = rows.join(days, rows["snapshot_date"] == days["snap_date"])
     covers = lambda delivery: (month_no(delivery) - month_no(F.col("revenue_month"))).between(1, COVERING)
     here = covers(F.col("snapshot_date"))
     side = lambda no, sign: F.struct(no.cast("int").alias("pair"), F.lit(sign).alias("sign"))
@@ -169,7 +180,7 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
     )
     buckets = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
     out = diff_pairs(rows, {n: F.col(n) for n in ("account_id", "revenue_month", "line_no")}, {"yen": F.col("yen"), "is_finalized": F.col("is_finalized")}, pairs, buckets)
-    return out.join(F.broadcast(calendar), out["pair"] == calendar["snap_no"])
+    return out.join(calendar, out["pair"] == calendar["snap_no"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

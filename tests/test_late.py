@@ -5,18 +5,19 @@ from pyspark.sql import functions as F
 from tallyforge.operators.late import classify_arrivals, revision_triangle
 from tallyforge.operators.orphans import current_orphans, existence_deltas, orphan_instants, reference_deltas
 
-SCHEMA = "record string, event_no int, arrival_no int, arrival int, amount bigint"
+SCHEMA = "record string, event_no int, arrival_no int, arrival int, loaded int, amount bigint"
 
 
 def test_outcomes_and_revisions(spark, rows):
     data = [
-        ("a", 1, 2, 20, 10), ("a", 1, 3, 30, 15), ("a", 1, 5, 50, 99),  # restated, then beyond the cut-off
-        ("b", 1, 3, 30, 7),  # late; gone from the third delivery
-        ("c", 1, 2, 20, 1), ("c", 1, 4, 40, 2),  # away once, then back
-        ("d", 1, 5, 50, 5), ("e", 1, 4, 40, None), (None, 1, 2, 20, 1), ("f", None, 2, 20, 1),
+        ("a", 1, 2, 20, 1, 10), ("a", 1, 2, 20, 0, 77), ("a", 1, 2, 20, 1, 10), ("a", 1, 3, 30, None, 15), ("a", 1, 5, 50, 1, 99),  # restated, then beyond the cut-off
+        ("b", 1, 3, 30, 1, 7),  # late; gone from the third delivery
+        ("c", 1, 2, 20, 1, 1), ("c", 1, 4, 40, 1, 2),  # away once, then back
+        ("d", 1, 5, 50, 1, 5), ("e", 1, 4, 40, 1, None), (None, 1, 2, 20, 1, 1), ("f", None, 2, 20, 1, 1),
     ]
     seen = classify_arrivals(spark.createDataFrame(data, SCHEMA), on_time=1, cutoff=3)
     assert rows(seen, "record", "lag", "outcome") == [("a", 1, "on_time"), ("a", 2, "restated"), ("a", 4, "rejected"), ("b", 2, "accepted"), ("c", 1, "on_time"), ("c", 3, "restated"), ("d", 4, "rejected"), ("e", 3, "accepted")]
+    assert rows(seen.where("record = 'a'"), "lag", "delta", "revised") == [(1, 10, 10), (2, 5, 15), (4, 84, 15)]  # what came too late leaves the total untouched
     full = revision_triangle(seen, cutoff=3, full_deliveries=True)
     assert rows(full, "lag", "n_new", "n_restated", "n_returned", "n_withdrawn", "delta", "total") == [(1, 2, 0, 0, 0, 11, 11), (2, 1, 1, 0, 1, 11, 22), (3, 1, 0, 1, 2, -20, 2)]
     kept = revision_triangle(seen, cutoff=3, full_deliveries=False)
@@ -27,9 +28,9 @@ def test_outcomes_and_revisions(spark, rows):
 
 def test_full_deliveries_end_in_each_delivery_s_total(spark):
     r = random.Random(2)
-    data = list({(k, lag): (k, 1, 1 + lag, 10 * lag, r.randint(0, 9)) for k in "abcdefgh" for lag in (1, 2, 3) if r.random() < 0.6}.values())
+    data = list({(k, lag): (k, 1, 1 + lag, 10 * lag, 1, r.randint(0, 9)) for k in "abcdefgh" for lag in (1, 2, 3) if r.random() < 0.6}.values())
     got = {x.lag: x.total for x in revision_triangle(classify_arrivals(spark.createDataFrame(data, SCHEMA), 1, 3), 3, True).collect()}
-    assert got == {lag: sum(x[4] for x in data if x[2] == lag + 1) for lag in got}
+    assert got == {lag: sum(x[5] for x in data if x[2] == lag + 1) for lag in got}
 
 
 def test_orphans(spark, rows):

@@ -1,6 +1,9 @@
 import random
 
-from tallyforge.operators.rolling import trailing_totals
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.operators.rolling import borne_out, trailing_totals
 
 
 def test_against_brute_force(spark, rows):
@@ -22,3 +25,12 @@ def test_against_brute_force(spark, rows):
                 assert abs(row[f"m_avg_{w}"] - total / min(w, p - min(ps) + 1)) < 1e-9
     assert len(got) == want
     assert trailing_totals(df.limit(0), "e", "p", ["m"], [3]).count() == 0
+
+
+def test_totals_are_borne_out(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 4, 7), ("a", 9, None), ("b", 2, 1)], "e string, p int, m bigint")
+    out = trailing_totals(df, "e", "p", ["m"], [1, 3, 7])
+    assert borne_out(out, "e", "p", ["m"], [1, 3, 7]).count() == out.count() == 10
+    wrong = out.withColumn("m_total_3", F.col("m_total_3") + (F.col("p") == 6).cast("int"))
+    with pytest.raises(Exception, match="do not add up"):
+        borne_out(wrong, "e", "p", ["m"], [1, 3, 7]).collect()
