@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,13 +13,13 @@ from pyspark.sql import functions as F
 from tallyforge.session import cut, ship
 
 #: Events of an entity that go to one salt of its own; a hotter entity is spread over several.
-EVENTS_PER_SALT = 100_000
+EVENTS_PER_SALT = 20_000
 
 #: Hot entities of which a list is broadcast; more are joined by shuffle.
 MAX_HOT = 100_000
 
-#: Groups a shuffle partition's entities are packed into, so that a group stays a few MB.
-BUCKETS_PER_PARTITION = 4
+#: Rows of both sides to a bucket of entities, so that a group stays a few MB however much data there is.
+ROWS_PER_BUCKET = 20_000
 
 
 def _latest(events: pa.Table, versions: pa.Table) -> pa.Array:
@@ -31,7 +33,7 @@ def _latest(events: pa.Table, versions: pa.Table) -> pa.Array:
     known = versions["known"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
     start = versions["start"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
     at = events["at"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.lexsort((start, known, ids[:nv]))
+    order = np.lexsort((versions["tie"].combine_chunks().to_numpy(zero_copy_only=False), start, known, ids[:nv]))
     # of the versions known by then the one that starts last is in force: carry it forward
     ent = ids[:nv][order]
     instants = np.unique(start[order], return_inverse=True)[1].astype(np.int64)
@@ -57,14 +59,15 @@ def _hot_entities(events: DataFrame) -> DataFrame | None:
     return F.broadcast(hot) if 0 < n <= MAX_HOT else hot if n else None
 
 
-def as_known(events: DataFrame, versions: DataFrame, entity: str, at: str, valid_from: str, attributes: list[str], valid_to: str | None = None, recorded: str | None = None, keep: list[str] | None = None, bounded: bool = False) -> DataFrame:
+def as_known(events: DataFrame, versions: DataFrame, entity: str, at: str, valid_from: str, attributes: list[str], valid_to: str | None = None, recorded: str | None = None, keep: list[str] | None = None, bounded: bool = False, rows: int | None = None) -> DataFrame:
     """Every event with ``attributes`` of the latest version valid and recorded by its time.
 
     Columns of the result: the event's ``entity``, ``at`` and ``keep``, then ``attributes``
     (suffixed ``_then`` where a name clashes with an event column) and ``known_from``, null where no
     version applied. A version applies from the later of ``valid_from`` and ``recorded`` (where
     given) and, with ``valid_to``, only before it; a version that became known later is never
-    seen. Of versions known at an instant the one that starts last wins. Times are dates or
+    seen. Of versions known at an instant the one that starts last wins, of those with one start
+    the one recorded last, then the one whose attributes hash highest, whatever the order of rows. Times are dates or
     timestamps of one type on both sides. Events with a null entity or time come out with null
     attributes; versions with a null entity or start are never seen. Repeated events all come out.
 
@@ -73,6 +76,8 @@ def as_known(events: DataFrame, versions: DataFrame, entity: str, at: str, valid
     so no group is unbounded in its events. Hot entities are found by a count that combines on
     the map side and written once; the list is broadcast after its rows were counted. A caller
     who knows that no entity has many events (one a month, say) leaves that out with ``bounded``.
+    Buckets hold about ``ROWS_PER_BUCKET`` rows: their number follows ``rows``, which a caller may
+    give as an upper bound; else both sides are counted.
     """
     keep = keep or []
     spark = events.sparkSession
@@ -89,6 +94,7 @@ def as_known(events: DataFrame, versions: DataFrame, entity: str, at: str, valid
         (micros(valid_to) if valid_to else F.lit(None).cast("bigint")).alias("until"),
         F.col(valid_from).alias("known_from"),
         *[F.col(a).alias(f"a_{i}") for i, a in enumerate(attributes)],
+        F.xxhash64(*attributes).alias("tie"),
     ).where(F.col("entity").isNotNull() & F.col("start").isNotNull() & F.col("known").isNotNull())
 
     hot = None if bounded else _hot_entities(ev)
@@ -98,7 +104,8 @@ def as_known(events: DataFrame, versions: DataFrame, entity: str, at: str, valid
         spread = F.pmod(F.xxhash64(*[f"e_{i}" for i in range(len(names))], F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int")
         ev = ev.join(hot, "entity", "left").withColumn("salt", spread).drop("salts")
         ve = ve.join(hot, "entity", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
+    n = rows if rows is not None else events.count() + versions.count()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / ROWS_PER_BUCKET))
     bucket = F.pmod(F.xxhash64("entity", "salt"), F.lit(buckets)).cast("int")
     ev, ve = ev.withColumn("bucket", bucket).drop("salt"), ve.withColumn("bucket", bucket).drop("salt")
 

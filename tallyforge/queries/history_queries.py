@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.normalize import account_key, iso, month_from_no, month_no
+from tallyforge.functions.normalize import account_key, iso, month_from_no, month_no, word
 from tallyforge.operators import late, orphans
 from tallyforge.operators.asof import as_known
 from tallyforge.operators.dedupe import keep_last
@@ -18,6 +18,7 @@ from tallyforge.operators.snapshot_diff import diff_pairs
 from tallyforge.operators.units import to_yen
 from tallyforge.plans.accounts import history, revenue_rows
 from tallyforge.queries.dirty_sql import REVENUE, VERSIONS, day
+from tallyforge.session import cut
 from tallyforge.sources.tables import table
 
 #: Deliveries that bring a revenue month in full: those of the three months after it.
@@ -90,13 +91,32 @@ def _months_with_plan(spark: SparkSession, d: str) -> DataFrame:
     # a version's plan and the newest plan of its account travel together
     newest = F.max(F.when(F.col("newest"), F.struct("plan_type"))).over(Window.partitionBy("account_id"))
     versions = versions.select("account_id", "valid_from", "valid_to", "plan_type", newest.alias("newest"), F.lit(True).alias("known"))
-    return as_known(months, versions, "account_id", "revenue_month", "valid_from", ["plan_type", "newest", "known"], valid_to="valid_to", keep=["n_rows"], bounded=True)  # a row a month at most
+    return as_known(months, versions, "account_id", "revenue_month", "valid_from", ["plan_type", "newest", "known"], valid_to="valid_to", keep=["n_rows"], bounded=True, rows=_n_rows(spark, d))  # a row a month at most
+
+
+def _n_rows(spark: SparkSession, d: str) -> int:
+    """Rows of both tables, from their files' footers."""
+    return table(spark, d, "revenue_monthly").count() + table(spark, d, "account_master").count()
 
 
 def p3_asof(spark: SparkSession, d: str) -> DataFrame:
     return _months_with_plan(spark, d).select("account_id", iso(F.col("revenue_month")).alias("revenue_month"), "n_rows", "plan_type", iso(F.col("known_from")).alias("known_from"))
 
 
+def p3_recorded(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of revenue_monthly with the plan_type stated and loaded by the time the row itself was loaded.
+
+    A snapshot's row counts from the later of as_of_date and its loaded_at; a correction loaded after
+    the event is not seen. Rows are taken one by one, so the account with the most of them is salted.
+    """
+    events = revenue_rows(spark, d).where(F.col("loaded_at").isNotNull()).select(*_KEY, "loaded_at").distinct()
+    stated = table(spark, d, "account_master").where(F.col("account_id").isNotNull())
+    stated = keep_last(stated, {"account_id": account_key(F.col("account_id")), "as_of_date": F.col("as_of_date"), "recorded": F.col("loaded_at")}, [word(F.col("plan_type"))], {"plan_type": word(F.col("plan_type"))})
+    seen = as_known(events, stated, "account_id", "loaded_at", "as_of_date", ["plan_type"], recorded="recorded", keep=["revenue_month", "line_no", "snapshot_date"], rows=_n_rows(spark, d))
+    instant = F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss")
+    return seen.select("account_id", iso(F.col("revenue_month")).alias("revenue_month"), "line_no", iso(F.col("snapshot_date")).alias("snapshot_date"), instant.alias("loaded_at"), "plan_type", iso(F.col("known_from")).alias("known_from"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _months_with_plan(spark, d).where(F.col("known") & ~F.col("plan_type").eqNullSafe(F.col("newest.plan_type")))
     return rows.select("account_id", iso(F.col("revenue_month")).alias("revenue_month"), "plan_type")
@@ -133,11 +153,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.where(adds_up).select(F.col("record.account_id").alias("account_id"), iso(F.col("record.revenue_month")).alias("revenue_month"), F.col("record.line_no").alias("line_no"), iso(F.col("arrival")).alias("snapshot_date"), "outcome")
 
 
-def _orphan_rows(spark: SparkSession, d: str) -> DataFrame:
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of revenue_monthly with its deliveries, and the next delivery that has to repeat it."""
     rows = revenue_rows(spark, d).select(*_KEY).where(F.col("snapshot_date").isNotNull())
-    gone = orphans.orphan_instants(orphans.reference_deltas(rows, "account_id", "snapshot_date"), orphans.existence_deltas(history(spark, d), "account_id", "valid_from", "valid_to"))
-    gone = gone.select(F.col("key").alias("account_id"), F.col("at").alias("snapshot_date"), "reason")
-    return rows.join(gone, ["account_id", "snapshot_date"]).groupBy(*_KEY, "reason").agg(F.count("*").alias("copies"))
+    calendar = snapshot_calendar(rows, "snapshot_date")[0].select(F.col("snap_date").alias("snapshot_date"), "next_date")
+    due = F.when((month_no(F.col("next_date")) - month_no(F.col("revenue_month"))).between(1, COVERING), F.col("next_date"))
+    return orphans.record_series(rows.join(calendar, "snapshot_date").withColumn("due", due), "account_id", ["revenue_month", "line_no"], "snapshot_date", "due")
+
+
+def _existence(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.existence_deltas(history(spark, d), "account_id", "valid_from", "valid_to")
+
+
+def _orphan_rows(spark: SparkSession, d: str) -> DataFrame:
+    series = _series(spark, d)  # rows and deltas both come out of it, by one exchange
+    gone = orphans.orphan_instants(orphans.reference_deltas(series), _existence(spark, d)).select("key", F.col("at").alias("snapshot_date"), "reason")
+    rows = series.select("key", "revenue_month", "line_no", F.explode("seen.at").alias("snapshot_date"))
+    return rows.join(gone, ["key", "snapshot_date"]).withColumnRenamed("key", "account_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -150,11 +182,17 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_current(spark: SparkSession, d: str) -> DataFrame:
-    """Accounts that rows refer to and that the newest snapshot doesn't list."""
-    rows = revenue_rows(spark, d).select(*_KEY).distinct()
-    refs = orphans.reference_deltas(rows, "account_id", "snapshot_date")
-    out = orphans.current_orphans(refs, orphans.existence_deltas(history(spark, d), "account_id", "valid_from", "valid_to"))
-    return out.select(F.col("key").alias("account_id"), F.col("n_references").cast("bigint").alias("n_references"), "reason")
+    """Accounts that records still refer to and that the newest snapshot doesn't list.
+
+    The counts up to the delivery before the newest are stored, as an earlier run would have left
+    them; the deltas since then are added.
+    """
+    references, existence = orphans.reference_deltas(_series(spark, d)), _existence(spark, d)
+    newest = table(spark, d, "revenue_monthly").agg(F.coalesce(F.max("snapshot_date"), F.lit("0001-01-01").cast("date"))).first()[0]
+    before, since = F.col("at") < F.lit(newest), F.col("at") >= F.lit(newest)
+    stored = cut(orphans.add_deltas(None, references.where(before), existence.where(before)), "orphan-counts")
+    counts = orphans.add_deltas(stored, references.where(since), existence.where(since))
+    return orphans.current_orphans(counts).select(F.col("key").alias("account_id"), "n_references", "reason")
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +237,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_rolling": p1_report, "p1_found": p1_found, "p2_history": p2_history, "p2_found": p2_found, "p3_asof": p3_asof, "p3_found": p3_found, "p4_triangle": p4_triangle, "p4_found": p4_found,
+    "p1_rolling": p1_report, "p1_found": p1_found, "p2_history": p2_history, "p2_found": p2_found, "p3_asof": p3_asof, "p3_found": p3_found, "p3_recorded": p3_recorded, "p4_triangle": p4_triangle, "p4_found": p4_found,
     "p5_report": p5_report, "p5_found": p5_found, "p5_current": p5_current, "p6_found": p6_found, "p7_amounts": p7_amounts, "p7_found": p7_found,
 }
 
@@ -238,6 +276,10 @@ ORACLE: dict[str, str] = {
     "p2_found": f"WITH {VERSIONS} SELECT account_id, {day('valid_from')} AS valid_from, {day('valid_to')} AS valid_to FROM versions",
     "p3_asof": f"WITH {REVENUE}, {VERSIONS}, m AS (SELECT account_id, CAST(date_trunc('month', revenue_month) AS DATE) AS revenue_month, count(*) AS n_rows FROM rev0 GROUP BY 1, 2) SELECT m.account_id, {day('m.revenue_month')} AS revenue_month, n_rows, plan_type, {day('valid_from')} AS known_from FROM m LEFT JOIN versions v ON m.account_id = v.account_id AND m.revenue_month >= valid_from AND m.revenue_month < valid_to",
     "p3_found": f"WITH {REVENUE}, {VERSIONS}, m AS (SELECT DISTINCT account_id, revenue_month FROM rev) SELECT m.account_id, {day('m.revenue_month')} AS revenue_month, v.plan_type FROM m JOIN versions v ON m.account_id = v.account_id AND m.revenue_month >= v.valid_from AND m.revenue_month < v.valid_to JOIN versions z ON z.account_id = m.account_id AND z.newest WHERE v.plan_type IS DISTINCT FROM z.plan_type",
+    "p3_recorded": f"""WITH {REVENUE}, {VERSIONS}, e AS (SELECT DISTINCT account_id, revenue_month, line_no, snapshot_date, loaded_at FROM rev0 WHERE loaded_at IS NOT NULL),
+      j AS (SELECT e.*, a.plan_type, a.as_of_date FROM e LEFT JOIN acc0 a ON a.account_id = e.account_id AND a.as_of_date <= e.loaded_at AND a.loaded_at <= e.loaded_at
+            QUALIFY row_number() OVER (PARTITION BY e.account_id, e.revenue_month, e.line_no, e.snapshot_date, e.loaded_at ORDER BY a.as_of_date DESC NULLS LAST, a.loaded_at DESC NULLS LAST, a.plan_type DESC NULLS LAST) = 1)
+      SELECT {_ROW}, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS loaded_at, plan_type, {day('as_of_date')} AS known_from FROM j""",
     "p4_triangle": f"""WITH {REVENUE}, k AS (SELECT account_id, revenue_month, line_no, lag, coalesce(yen, 0) AS yen FROM rev WHERE lag BETWEEN 1 AND 3),
       dl AS (SELECT DISTINCT revenue_month, lag FROM k),
       base AS (SELECT DISTINCT account_id, revenue_month, line_no FROM k),
@@ -253,7 +295,10 @@ ORACLE: dict[str, str] = {
     "p4_found": f"WITH {REVENUE}, f AS (SELECT *, min(snapshot_date) OVER (PARTITION BY account_id, revenue_month, line_no) AS first FROM rev) SELECT {_ROW}, CASE WHEN lag > 3 THEN 'rejected' ELSE 'accepted' END AS outcome FROM f WHERE lag > 3 OR (snapshot_date = first AND lag IN (2, 3))",
     "p5_report": f"WITH {REVENUE}, {VERSIONS}, o AS (SELECT rev.*, CASE WHEN (SELECT count(*) FROM versions v WHERE v.account_id = rev.account_id) = 0 THEN 'missing' WHEN (SELECT min(valid_from) FROM versions v WHERE v.account_id = rev.account_id) > snapshot_date THEN 'later' ELSE 'gone' END AS reason FROM rev WHERE NOT EXISTS (SELECT 1 FROM versions v WHERE v.account_id = rev.account_id AND v.valid_from <= rev.snapshot_date AND v.valid_to > rev.snapshot_date)) SELECT 'revenue_monthly' AS table_name, {day('revenue_month')} AS revenue_month, reason, count(*) AS n_rows FROM o GROUP BY ALL",
     "p5_found": f"WITH {REVENUE}, {VERSIONS} SELECT {_ROW}, CASE WHEN (SELECT count(*) FROM versions v WHERE v.account_id = rev.account_id) = 0 THEN 'missing' WHEN (SELECT min(valid_from) FROM versions v WHERE v.account_id = rev.account_id) > snapshot_date THEN 'later' ELSE 'gone' END AS reason FROM rev WHERE NOT EXISTS (SELECT 1 FROM versions v WHERE v.account_id = rev.account_id AND v.valid_from <= rev.snapshot_date AND v.valid_to > rev.snapshot_date)",
-    "p5_current": f"WITH {REVENUE}, {VERSIONS} SELECT account_id, count(*) AS n_references, CASE WHEN account_id IN (SELECT account_id FROM versions) THEN 'gone' ELSE 'missing' END AS reason FROM rev WHERE account_id NOT IN (SELECT account_id FROM versions WHERE valid_to = DATE '9999-12-31') GROUP BY ALL",
+    "p5_current": f"""WITH {REVENUE}, {VERSIONS}, days AS (SELECT snapshot_date, lead(snapshot_date) OVER (ORDER BY snapshot_date) AS next_date FROM (SELECT DISTINCT snapshot_date FROM rev WHERE snapshot_date IS NOT NULL)),
+      last AS (SELECT account_id, revenue_month, line_no, max(snapshot_date) AS snapshot_date FROM rev GROUP BY ALL),
+      alive AS (SELECT account_id FROM last JOIN days USING (snapshot_date) WHERE NOT coalesce((year(next_date) * 12 + month(next_date)) - (year(revenue_month) * 12 + month(revenue_month)) BETWEEN 1 AND 3, false))
+      SELECT account_id, count(*) AS n_references, CASE WHEN account_id IN (SELECT account_id FROM versions) THEN 'gone' ELSE 'missing' END AS reason FROM alive WHERE account_id NOT IN (SELECT account_id FROM versions WHERE valid_to = DATE '9999-12-31') GROUP BY ALL""",
     "p6_found": f"WITH {REVENUE}, {_CHANGES}, j AS (SELECT coalesce(o.account_id, n.account_id) AS account_id, coalesce(o.revenue_month, n.revenue_month) AS revenue_month, coalesce(o.line_no, n.line_no) AS line_no, coalesce(o.snapshot_date, n.snapshot_date) AS snapshot_date, CASE WHEN o.account_id IS NULL THEN 'added' WHEN n.account_id IS NULL THEN 'removed' WHEN o.yen IS DISTINCT FROM n.yen OR o.is_finalized IS DISTINCT FROM n.is_finalized THEN 'changed' END AS change_type FROM olds o FULL JOIN news n ON o.account_id = n.account_id AND o.revenue_month = n.revenue_month AND o.line_no = n.line_no AND o.snapshot_date = n.snapshot_date) SELECT {_ROW}, change_type FROM j WHERE change_type IS NOT NULL",
     "p7_amounts": f"WITH {REVENUE} SELECT {day('revenue_month')} AS revenue_month, unit, count(*) AS n_rows, CAST(sum(yen) AS BIGINT) AS yen FROM rev GROUP BY 1, 2",
     "p7_found": f"WITH {REVENUE} SELECT {_ROW}, unit FROM rev WHERE unit <> 'JPY'",

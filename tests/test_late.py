@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyforge.operators.late import classify_arrivals, revision_triangle
-from tallyforge.operators.orphans import current_orphans, existence_deltas, orphan_instants, reference_deltas
+from tallyforge.operators.orphans import add_deltas, current_orphans, existence_deltas, orphan_instants, record_series, reference_deltas, signed_counts
 
 SCHEMA = "record string, event_no int, arrival_no int, arrival int, loaded int, amount bigint"
 
@@ -35,13 +35,39 @@ def test_full_deliveries_end_in_each_delivery_s_total(spark):
 
 def test_orphans(spark, rows):
     versions = spark.createDataFrame([("a", 5, 8), ("a", 10, None), ("b", 20, 30), (None, 1, 2)], "k string, lo int, hi int")
-    refs = spark.createDataFrame([("a", 4), ("a", 5), ("a", 8), ("a", 8), ("a", 10), ("b", 1), ("b", 30), ("x", 3), (None, 3), ("a", None)], "k string, at int")
-    got = orphan_instants(reference_deltas(refs, "k", "at"), existence_deltas(versions, "k", "lo", "hi"))
-    assert rows(got) == [("a", 4, 1, "later"), ("a", 8, 2, "gone"), ("b", 1, 1, "later"), ("b", 30, 1, "gone"), ("x", 3, 1, "missing")]
-    assert orphan_instants(reference_deltas(refs.limit(0), "k", "at"), existence_deltas(versions, "k", "lo", "hi")).count() == 0
-    alone = orphan_instants(reference_deltas(refs, "k", "at"), existence_deltas(versions.limit(0), "k", "lo", "hi"))
-    assert {r.reason for r in alone.collect()} == {"missing"}
-    dated = versions.select("k", F.date_add(F.lit("2024-01-01").cast("date"), F.col("lo")).alias("lo"), F.coalesce(F.date_add(F.lit("2024-01-01").cast("date"), F.col("hi")), F.lit("9999-12-31").cast("date")).alias("hi"))
-    refs_d = refs.where("at is not null").select("k", F.date_add(F.lit("2024-01-01").cast("date"), F.col("at")).alias("at"))
-    now = current_orphans(reference_deltas(refs_d, "k", "at"), existence_deltas(dated, "k", "lo", "hi"))
-    assert rows(now) == [("b", 2, "gone"), ("x", 1, "missing")]
+    refs = spark.createDataFrame([("a", 1, 4), ("a", 2, 5), ("a", 3, 8), ("a", 4, 8), ("a", 4, 8), ("a", 5, 10), ("b", 1, 1), ("b", 2, 30), ("x", None, 3), (None, 1, 3), ("a", 1, None)], "k string, r int, at int")
+    deltas = reference_deltas(record_series(refs, "k", ["r"], "at"))
+    exist = existence_deltas(versions, "k", "lo", "hi")
+    assert rows(orphan_instants(deltas, exist)) == [("a", 4, 1, 1, "later"), ("a", 8, 2, 4, "gone"), ("b", 1, 1, 1, "later"), ("b", 30, 1, 2, "gone"), ("x", 3, 1, 1, "missing")]
+    assert orphan_instants(deltas.limit(0), exist).count() == 0
+    assert {r.reason for r in orphan_instants(deltas, exist.limit(0)).collect()} == {"missing"}
+    assert rows(current_orphans(add_deltas(None, deltas, exist))) == [("b", 2, "gone"), ("x", 1, "missing")]
+
+
+def test_references_are_taken_back(spark, rows):
+    """Records come, are left out of the delivery due, and come back: the counts follow, at once or bit by bit."""
+    r = random.Random(4)
+    days = list(range(1, 9))
+    came = {(k, n): sorted(r.sample(days, r.randint(1, 6))) for k in "abc" for n in range(6)}
+    due = lambda n, t: t + 1 if t < 8 and (t + n) % 3 else None
+    data = [(k, n, t, due(n, t)) for (k, n), ts in came.items() for t in ts]
+    df = spark.createDataFrame([*data, *data[:5], (None, 1, 1, None)], "k string, n int, at int, due int").withColumn("key", F.lit("clash"))
+    deltas = reference_deltas(record_series(df, "k", ["n"], "at", "due"))
+
+    def alive(k, upto):
+        out = 0
+        for (key, n), ts in came.items():
+            seen = [t for t in ts if t <= upto]
+            if key == k and seen:
+                out += due(n, seen[-1]) is None or due(n, seen[-1]) > upto
+        return out
+
+    none = spark.createDataFrame([], "key string, at int, delta int")
+    counts = {(x.key, x.at): x.references for x in signed_counts(deltas, none).collect()}
+    assert counts and all(n == alive(*k) for k, n in counts.items())
+    whole = rows(add_deltas(None, deltas, none))
+    assert [x[:2] for x in whole] == [(k, alive(k, 9)) for k in "abc"]
+    steps = None
+    for t in range(1, 10):
+        steps = add_deltas(steps, deltas.where(F.col("at") == t), none)
+    assert rows(steps) == whole
