@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,11 +42,19 @@ class Compiler:
     def rows(self, model: SemanticModel) -> DataFrame:
         return model.build(self.spark, self.folder)
 
+    def _one_each(self, side: DataFrame, key: str, model: SemanticModel) -> DataFrame:
+        """``side``, asserted to hold its key once: a repeated one would double sums without a word.
+
+        The count needs the rows of a key together, as the join does unless the side is small.
+        """
+        counted = side.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+        return counted.where(F.assert_true(F.col(key).isNull() | (F.col("__n") == 1), F.lit(f"{model.name}: {model.primary} does not identify a row")).isNull()).drop("__n")
+
     def _with_paths(self, df: DataFrame, model: SemanticModel, paths: tuple[str, ...]) -> DataFrame:
         """Dimension columns reached over entities, by left joins N:1 from the model's side.
 
-        A provider of an entity has its key unique, so no row is repeated; a prefix shared by paths
-        is joined once.
+        The provider of an entity must have its key unique (:meth:`_one_each`), so no row is
+        repeated; a prefix shared by paths is joined once.
         """
         done: dict[str, tuple[DataFrame, SemanticModel, str]] = {}
         for path in paths:
@@ -55,86 +64,116 @@ class Compiler:
                 step = f"{prefix}{hop}__"
                 if step not in done:
                     target = self.registry.provider(hop)
-                    side = self.rows(target)
+                    side = self._one_each(self.rows(target), target.entities[hop], target)
                     side = side.select(*[F.col(c).alias(f"{step}{c}") for c in side.columns])
                     df = df.join(side, df[f"{here}{at.entities[hop]}"] == side[f"{step}{target.entities[hop]}"], "left")
                     done[step] = (side, target, step)
                 at, here, prefix = done[step][1], step, step
-            if not hops:
-                df = df.withColumn(path, F.col(column)) if path not in df.columns else df
         return df
 
     def leaf(self, metrics: list[Metric], scope: Scope) -> DataFrame:
-        """Simple metrics of one model and filter in one aggregation over one scan."""
-        first = self.registry.measures[metrics[0].measure]
-        model = self.registry.models[first.model]
+        """Simple metrics of one model in one aggregation over one scan, with ``has_<metric>`` telling which have rows in a group.
+
+        A filter that all of them share goes to the scan, others become conditions of their
+        aggregates; rows that no metric wants are left out first.
+        """
+        model = self.registry.models[self.registry.measures[metrics[0].measure].model]
+        wheres = {m.where for m in metrics}
         df = self.rows(model)
-        if metrics[0].where:
-            df = df.where(metrics[0].where)
+        if None not in wheres:
+            df = df.where(" OR ".join(f"({w})" for w in sorted(wheres)))
         df = self._with_paths(df, model, scope.dimensions)
         keys = ([time_key(model.time, scope.grain)] if scope.grain else []) + [F.col(d) for d in scope.dimensions]
         aggs = []
         for m in metrics:
             measure = self.registry.measures[m.measure]
-            x = F.expr(measure.expr)
-            aggs.append((F.count(x) if measure.agg == "count" else F.sum(x)).alias(m.name))
+            own = F.expr(m.where) if len(wheres) > 1 and m.where else None
+            x = F.expr(measure.expr) if own is None else F.when(own, F.expr(measure.expr))
+            total = F.count(x) if measure.agg == "count" else F.sum(x)
+            has = F.lit(True) if own is None else F.count_if(own) > 0
+            aggs += [(total if own is None else F.when(has, total)).alias(m.name), has.alias(f"has_{m.name}")]
         return df.groupBy(*keys).agg(*aggs)
 
     def query(self, names: list[str] | str, scope: Scope) -> DataFrame:
-        """One row a group of the scope with a column a metric; groups and values as the data have them, nulls kept."""
+        """One row a group of the scope with a column a metric; groups and values as the data have them, nulls kept.
+
+        Every model is scanned and aggregated once, whatever the metrics made of it: bases of moving
+        metrics, numerators and filtered ones share the pass. What moves over time is then worked
+        out by windows over the aggregated periods.
+        """
         names = [names] if isinstance(names, str) else list(names)
-        leaves: dict[tuple, dict[str, Metric]] = {}
-        whole = [n for n in names if self.registry.metrics[n].kind in ("cumulative", "offset")]
+        models: dict[str, dict[str, Metric]] = {}
         for n in names:
-            if n in whole:
-                continue
             for m in self.registry.leaves(n):
-                leaves.setdefault((self.registry.measures[m.measure].model, m.where), {})[m.name] = m
-        frames = [self.leaf(list(ms.values()), scope) for ms in leaves.values()]
-        frames += [self._moving(self.registry.metrics[n], scope) for n in whole]
+                models.setdefault(self.registry.measures[m.measure].model, {})[m.name] = m
+        frames = [self.leaf(list(ms.values()), scope) for ms in models.values()]
         df = frames[0] if len(frames) == 1 else align(frames, scope.keys)
-        for n in names:
-            if n not in whole:
-                df = df.withColumn(n, self._value(n))
-        return df.select(*scope.keys, *names)
+        moving = list(dict.fromkeys(x for n in names for x in self.registry.moving(n)))
+        if moving and scope.grain:
+            df, stands = self._move(df, moving, scope)
+            df = df.where(reduce(Column.__or__, [self._stands(n, stands) for n in names]))
+        return df.select(*scope.keys, *[self._value(n, scope).alias(n) for n in names])
+
+    def _stands(self, name: str, moving: dict[str, Column]) -> Column:
+        """Whether a metric has a value's place in a group: where any of its parts has rows, or ``moving`` says so."""
+        m = self.registry.metrics[name]
+        if name in moving:
+            return moving[name]
+        if m.kind == "simple":
+            return F.coalesce(F.col(f"has_{name}"), F.lit(False))
+        return reduce(Column.__or__, [self._stands(b, moving) for b in self.registry.parts(name)])
+
+    def _move(self, df: DataFrame, moving: list[str], scope: Scope) -> tuple[DataFrame, dict[str, Column]]:
+        """The frame over a gapless calendar with a column for each moving metric, and the rows in which each stands.
 
-    def _value(self, name: str) -> Column:
+        A cumulative metric stands from the first to the last period of its base, a shifted one where
+        its base has rows; without the period it was shifted from it is null.
+        """
+        t = f"metric_time__{scope.grain}"
+        df = self.spine(df, scope, keep_undated=True)
+        group = Window.partitionBy(*scope.dimensions)  # a row a period, aggregated before
+        order = group.orderBy(t)
+        dated = F.col(t).isNotNull()
+        stands: dict[str, Column] = {}
+        for n in moving:
+            m = self.registry.metrics[n]
+            has = self._stands(m.base, stands)
+            value = F.when(dated, self._value(m.base, scope))
+            if m.kind == "offset":
+                df, stands[n] = df.withColumn(n, F.when(has, F.lag(value, m.shift).over(order))), has & dated
+                continue
+            frame = order.rowsBetween(Window.unboundedPreceding if m.window is None else 1 - m.window, 0)
+            ends = [f(F.when(has & dated, F.col(t))).over(group).alias(f"{n}_{e}") for f, e in ((F.min, "lo"), (F.max, "hi"))]
+            df = df.select("*", F.sum(value).over(frame).alias(f"{n}_sum"), *ends)
+            stands[n] = F.coalesce(F.col(t).between(F.col(f"{n}_lo"), F.col(f"{n}_hi")), F.lit(False))
+            df = df.withColumn(n, F.when(stands[n], F.col(f"{n}_sum")))
+        return df, stands
+
+    def _value(self, name: str, scope: Scope) -> Column:
         m = self.registry.metrics[name]
         if m.kind == "simple":
             return F.col(name)
         if m.kind == "ratio":  # of the two totals, never a mean of row ratios
-            return self._value(m.numerator).cast("double") / F.nullif(self._value(m.denominator).cast("double"), F.lit(0.0))
+            return self._value(m.numerator, scope).cast("double") / F.nullif(self._value(m.denominator, scope).cast("double"), F.lit(0.0))
         if m.kind == "derived":
-            if any(self.registry.metrics[b].kind in ("cumulative", "offset") for _, b in m.inputs):
-                raise ValueError(f"{m.name}: derive from moving metrics by querying them side by side")
-            return arithmetic(m.expr, {a: self._value(b) for a, b in m.inputs})
-        raise ValueError(m.kind)
-
-    def _moving(self, m: Metric, scope: Scope) -> DataFrame:
-        """Cumulative and shifted metrics over the aggregated frame; a cumulative total without a time is the total."""
-        base = self.query(m.base, scope)
-        if not scope.grain:
-            return base.withColumnRenamed(m.base, m.name)
-        t = f"metric_time__{scope.grain}"
-        months = {"month": 1, "year": 12}.get(scope.grain)
-        if m.kind == "offset":
-            moved = F.add_months(F.col(t), m.shift * months) if months else F.date_add(F.col(t), m.shift)
-            # groups that have a row here get the value of the earlier period, null where there was none
-            then = base.select(moved.alias(t), *scope.dimensions, F.col(m.base).alias(m.name))
-            now = base.select(*scope.keys, F.lit(True).alias("here"))
-            return align([now, then], scope.keys).where("here").select(*scope.keys, m.name)
-        spine = self.spine(base, scope)
-        w = Window.partitionBy(*scope.dimensions).orderBy(t)  # a row a period, aggregated before
-        frame = w.rowsBetween(Window.unboundedPreceding if m.window is None else 1 - m.window, 0)
-        return spine.select(*scope.keys, F.sum(m.base).over(frame).alias(m.name))
-
-    def spine(self, df: DataFrame, scope: Scope) -> DataFrame:
-        """Every period from the first to the last of each dimension group; values of missing ones stay null."""
+            return arithmetic(m.expr, {a: self._value(b, scope) for a, b in m.inputs})
+        # without a time nothing moves: a running total is the total
+        return F.col(name) if scope.grain else self._value(m.base, scope)
+
+    def spine(self, df: DataFrame, scope: Scope, keep_undated: bool = False) -> DataFrame:
+        """Every period from the first to the last of each dimension group; values of missing ones stay null.
+
+        ``df`` has a row a period and group. Each row is repeated, emptied, over the gap up to the
+        next one, so the frame is passed over once; undated rows are left out unless ``keep_undated``.
+        """
         t = f"metric_time__{scope.grain}"
         step = F.expr(f"interval 1 {scope.grain}")
-        ends = df.groupBy(*scope.dimensions).agg(F.min(t).alias("lo"), F.max(t).alias("hi")).where("lo is not null")
-        days = ends.select(*scope.dimensions, F.explode(F.sequence("lo", "hi", step)).alias(t), F.lit(True).alias("in_spine"))
-        return align([days, df], scope.keys).where("in_spine").drop("in_spine", "in_0", "in_1")
+        gap_end = F.coalesce((F.lead(t).over(Window.partitionBy(*scope.dimensions).orderBy(t)) - step).cast("date"), F.col(t))
+        days = F.when(F.col(t).isNotNull(), F.sequence(t, F.greatest(gap_end, F.col(t)), step))
+        days = F.coalesce(days, F.array(F.lit(None).cast("date"))) if keep_undated else days
+        rest = [c for c in df.columns if c not in scope.keys]
+        wide = df.withColumn("__days", days).select(*scope.dimensions, F.col(t).alias("__own"), F.explode("__days").alias(t), *rest)
+        return wide.select(*scope.keys, *[F.when(F.col("__own").eqNullSafe(F.col(t)), F.col(c)).alias(c) for c in rest])
 
 
 def arithmetic(expr: str, values: dict[str, Column]) -> Column:

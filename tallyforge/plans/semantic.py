@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,7 +17,8 @@ class SemanticModel:
     """A relation with a grain: ``build`` gives its rows, ``grain`` the columns unique in them.
 
     ``entities`` maps an entity to its key column here; the ``primary`` one identifies a row, the
-    others lead to the model of which they are primary. ``time`` is the default time column.
+    others lead to the model of which they are primary. ``time`` is the default time column and
+    ``sql`` the same relation as SQL text.
     """
 
     name: str
@@ -80,7 +82,7 @@ class Scope:
     @staticmethod
     def parse(text: str) -> Scope:
         """`ungrouped total`, `overall` or `metric_time__<grain>`; anything else is no declared scope."""
-        t = " ".join(text.lower().split())
+        t = " ".join(unicodedata.normalize("NFKC", text).lower().split())
         if t in ("ungrouped total", "overall", "overall total"):
             return Scope()
         if t.startswith("metric_time__"):
@@ -106,11 +108,20 @@ class Registry:
             kind[t.name] = t
         return self
 
+    def parts(self, metric: str) -> list[str]:
+        """The metrics that a metric is directly made of."""
+        m = self.metrics[metric]
+        return {"simple": [], "ratio": [m.numerator, m.denominator], "derived": [b for _, b in m.inputs]}.get(m.kind, [m.base])
+
     def leaves(self, metric: str) -> list[Metric]:
         """The simple metrics that a metric is made of, in order."""
         m = self.metrics[metric]
-        below = {"simple": [], "ratio": [m.numerator, m.denominator], "derived": [b for _, b in m.inputs], "cumulative": [m.base], "offset": [m.base]}[m.kind]
-        return [m] if m.kind == "simple" else list({x.name: x for b in below for x in self.leaves(b)}.values())
+        return [m] if m.kind == "simple" else list({x.name: x for b in self.parts(metric) for x in self.leaves(b)}.values())
+
+    def moving(self, metric: str) -> list[str]:
+        """The cumulative and shifted metrics that a metric is or is made of, those first that others build on."""
+        own = [metric] if self.metrics[metric].kind in ("cumulative", "offset") else []
+        return list(dict.fromkeys([x for b in self.parts(metric) for x in self.moving(b)] + own))
 
     def provider(self, entity: str) -> SemanticModel:
         """The model in which an entity identifies a row."""

@@ -32,6 +32,10 @@ def customer_months(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).groupBy("o_custkey", F.date_trunc("month", "o_orderdate").alias("order_month")).agg(F.sum("value").alias("month_value"))
 
 
+_ORDERS = "(SELECT *, CAST(o_totalprice AS DECIMAL(12, 2)) AS value FROM orders)"
+_ITEMS = "(SELECT *, CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(12, 2))) AS revenue, CASE WHEN l_shipdate < '1998-01-01' AND l_quantity <= 25 THEN 1 ELSE 0 END AS prompt_flag FROM lineitem)"
+
+
 def _plain(name: str):
     return lambda spark, d: table(spark, d, name)
 
@@ -39,16 +43,16 @@ def _plain(name: str):
 def shop() -> Registry:
     r = Registry()
     r.add(
-        SemanticModel("orders", orders, ("o_orderkey",), "order", {"order": "o_orderkey", "customer": "o_custkey"}, "o_orderdate", ("o_orderstatus", "o_orderpriority"), "(SELECT *, CAST(o_totalprice AS DECIMAL(12, 2)) AS value FROM orders)"),
-        SemanticModel("items", items, ("l_orderkey", "l_linenumber"), "item", {"order": "l_orderkey", "part": "l_partkey", "supplier": "l_suppkey"}, "l_shipdate", ("l_returnflag", "l_linestatus")),
-        SemanticModel("customers", _plain("customer"), ("c_custkey",), "customer", {"customer": "c_custkey", "nation": "c_nationkey"}, None, ("c_mktsegment",)),
-        SemanticModel("nations", _plain("nation"), ("n_nationkey",), "nation", {"nation": "n_nationkey", "region": "n_regionkey"}, None, ("n_name",)),
-        SemanticModel("regions", _plain("region"), ("r_regionkey",), "region", {"region": "r_regionkey"}, None, ("r_name",)),
-        SemanticModel("parts", _plain("part"), ("p_partkey",), "part", {"part": "p_partkey"}, None, ("p_brand", "p_type")),
-        SemanticModel("suppliers", _plain("supplier"), ("s_suppkey",), "supplier", {"supplier": "s_suppkey", "nation": "s_nationkey"}, None, ()),
-        SemanticModel("customer_orders", customer_orders, ("o_custkey",), "customer_life", {"customer_life": "o_custkey", "customer": "o_custkey"}, "first_order", ()),
-        SemanticModel("customer_months", customer_months, ("o_custkey", "order_month"), "customer_month", {"customer": "o_custkey"}, "order_month", ()),
-        SemanticModel("events", _plain("events"), ("event_id",), "event", {"event": "event_id"}, "ts", ("event_type",)),
+        SemanticModel("orders", orders, ("o_orderkey",), "order", {"order": "o_orderkey", "customer": "o_custkey"}, "o_orderdate", ("o_orderstatus", "o_orderpriority"), _ORDERS),
+        SemanticModel("items", items, ("l_orderkey", "l_linenumber"), "item", {"order": "l_orderkey", "part": "l_partkey", "supplier": "l_suppkey"}, "l_shipdate", ("l_returnflag", "l_linestatus"), _ITEMS),
+        SemanticModel("customers", _plain("customer"), ("c_custkey",), "customer", {"customer": "c_custkey", "nation": "c_nationkey"}, None, ("c_mktsegment",), "customer"),
+        SemanticModel("nations", _plain("nation"), ("n_nationkey",), "nation", {"nation": "n_nationkey", "region": "n_regionkey"}, None, ("n_name",), "nation"),
+        SemanticModel("regions", _plain("region"), ("r_regionkey",), "region", {"region": "r_regionkey"}, None, ("r_name",), "region"),
+        SemanticModel("parts", _plain("part"), ("p_partkey",), "part", {"part": "p_partkey"}, None, ("p_brand", "p_type"), "part"),
+        SemanticModel("suppliers", _plain("supplier"), ("s_suppkey",), "supplier", {"supplier": "s_suppkey", "nation": "s_nationkey"}, None, (), "supplier"),
+        SemanticModel("customer_orders", customer_orders, ("o_custkey",), "customer_life", {"customer_life": "o_custkey", "customer": "o_custkey"}, "first_order", (), f"(SELECT o_custkey, sum(value) AS lifetime_value, min(o_orderdate) AS first_order FROM {_ORDERS} GROUP BY o_custkey)"),
+        SemanticModel("customer_months", customer_months, ("o_custkey", "order_month"), "customer_month", {"customer": "o_custkey"}, "order_month", (), f"(SELECT o_custkey, date_trunc('month', o_orderdate) AS order_month, sum(value) AS month_value FROM {_ORDERS} GROUP BY 1, 2)"),
+        SemanticModel("events", _plain("events"), ("event_id",), "event", {"event": "event_id"}, "ts", ("event_type",), "events"),
     )
     r.add(
         Measure("value", "orders", "sum", "value"),

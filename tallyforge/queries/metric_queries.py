@@ -6,18 +6,21 @@ operators, whose letter is taken by another family of queries.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as texts
+from tallyforge.functions.normalize import word
 from tallyforge.operators import annotate, compare
-from tallyforge.plans import catalog, shop
+from tallyforge.plans import build, catalog, shop
+from tallyforge.plans.accounts import history
 from tallyforge.plans.compiler import Compiler, align
 from tallyforge.plans.semantic import Scope
-from tallyforge.session import shared_dir
+from tallyforge.queries.dirty_sql import VERSIONS
+from tallyforge.session import cut, place
 from tallyforge.sources import files
 from tallyforge.sources.tables import table
 from tallyforge.streaming.events import windowed_counts
@@ -149,14 +152,14 @@ metric("o1_order_by_key", ["event_count"], DAY, f"SELECT {_m('ts', 'day')}, CAST
 
 
 # --- scans, sources, sinks
-def _place(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_CUSTOMERS = "SELECT i AS customer_id, printf('customer_%05d', i) AS name, CASE (i * 7919 + 104729 + 42) % 1000003 % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'light' ELSE 'standard' END AS plan FROM generate_series(1, 400) t(i)"
+_INVOICES = "SELECT i AS invoice_id, (i - 1) // 12 + 1 AS customer_id, strftime(DATE '2024-01-01' + INTERVAL 1 MONTH * ((i - 1) % 12), '%Y-%m-%d') AS invoice_month, (i * 7919 + 209458 + 42) % 1000003 % 100000 AS amount, CASE WHEN (i * 7919 + 314187 + 42) % 1000003 % 10 = 0 THEN 'open' ELSE 'paid' END AS status FROM generate_series(1, 4800) t(i)"
 
 
-@query("s1_generated_source", "SELECT 'regions' AS source, CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region UNION ALL SELECT 'nations', n_nationkey, n_name FROM nation")
+@query("s1_generated_source", f"SELECT i.*, c.name, c.plan FROM ({_INVOICES}) i JOIN ({_CUSTOMERS}) c ON i.customer_id = c.customer_id")
 def _(spark, d):
-    made = files.generated(spark, lambda: {n: table(spark, d, t).toPandas() for n, t in (("regions", "region"), ("nations", "nation"))})
-    return made["regions"].select(F.lit("regions").alias("source"), F.col("r_regionkey").cast("bigint").alias("k"), F.col("r_name").alias("name")).union(made["nations"].select(F.lit("nations"), F.col("n_nationkey").cast("bigint"), "n_name"))
+    made = files.generated(spark, files.invoices, n_customers=400, seed=42)
+    return made["invoices"].join(made["customers"], "customer_id").withColumn("invoice_month", F.date_format("invoice_month", "yyyy-MM-dd"))
 
 
 @query("s2_registered_view", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
@@ -184,17 +187,24 @@ def _(spark, d):
 @query("s5_create_table_as", "SELECT n_nationkey, n_name FROM nation")
 def _(spark, d):
     files.create_schema(spark, "raw")
-    return files.create_table_as(table(spark, d, "nation"), "raw", "nation", _place(spark, "raw-nation")).select("n_nationkey", "n_name")
+    return files.create_table_as(table(spark, d, "nation"), "raw", "nation", place(spark, "raw-nation")).select("n_nationkey", "n_name")
 
 
-@query("s6_session", "SELECT count(*) AS n_customers FROM customer")
+@query("s6_session", f"SELECT 'INVOICES' AS name, count(*) AS n_rows, true AS inside, true AS closed, false AS registered FROM ({_INVOICES}) UNION ALL SELECT 'CUSTOMERS', count(*), true, true, false FROM ({_CUSTOMERS})")
 def _(spark, d):
-    return table(spark, d, "customer").agg(F.count("*").alias("n_customers"))
+    """The loader in one piece: generate, open, register, create, unregister, close; then the tables are read by name."""
+    before = spark.catalog.currentDatabase()
+    with files.opened(spark, "loader") as db:
+        inside = spark.catalog.currentDatabase() == db
+        names = files.load(spark, files.generated(spark, files.invoices), "raw", lambda n: place(spark, f"raw-{n}"))
+    closed = spark.catalog.currentDatabase() == before
+    counts = [spark.table(n).agg(F.lit(n.split("`")[-2]).alias("name"), F.count("*").alias("n_rows")) for n in names]
+    return counts[0].unionByName(counts[1]).select("*", F.lit(inside).alias("inside"), F.lit(closed).alias("closed"), F.lit(spark.catalog.tableExists("df_in")).alias("registered"))
 
 
 @query("s7_csv_seed", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def _(spark, d):
-    path = _place(spark, "seed")
+    path = place(spark, "seed")
     src = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     src.write.option("header", True).csv(path)
     return files.csv(spark, path, src.schema)
@@ -202,7 +212,7 @@ def _(spark, d):
 
 @query("s8_csv_data", "SELECT account_id, strftime(revenue_month, '%Y-%m-%d') AS revenue_month, line_no, revenue_amount, is_finalized FROM revenue_monthly")
 def _(spark, d):
-    path = _place(spark, "data")
+    path = place(spark, "data")
     src = table(spark, d, "revenue_monthly").select("account_id", "revenue_month", "line_no", "revenue_amount", "is_finalized")
     src.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     read = files.csv(spark, path, src.schema)
@@ -213,7 +223,7 @@ _TREE = {"models/staging/stg_a.sql": "select cast(x as number(12,2)) as x\nfrom
 
 
 def _tree(spark) -> str:
-    path = _place(spark, "tree")
+    path = place(spark, "tree")
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for name, body in _TREE.items():
         out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
@@ -229,17 +239,58 @@ def _(spark, d):
 
 @query("s10_rewrite", r"SELECT doc_id, regexp_replace(text, '(?i)\bsum\s*\(', 'total(', 'g') AS patched FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
-    path = _place(spark, "patched")
+    path = place(spark, "patched")
     files.write_tree(_patched(spark, d).select("doc_id", "patched"), path)
     return spark.read.parquet(path)
 
 
-@query("s11_build_dag", f"SELECT r_name, CAST(sum(lifetime_value) AS DOUBLE) AS lifetime_value, count(*) AS n_customers FROM {_C} JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def _project(spark, d) -> list[build.Node]:
+    """Seeds as CSV, staging, an intermediate, a mart, a snapshot and tests of them."""
+    def seed(name, *columns):
+        def read(spark):
+            src, path = table(spark, d, name).select(*columns), place(spark, f"seed-{name}")
+            src.write.option("header", True).csv(path)
+            return files.csv(spark, path, src.schema)
+
+        return read
+
+    def mart(spark, int_customer_values, nation, region):
+        at = int_customer_values.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        return at.groupBy("r_name").agg(F.sum("lifetime_value").cast("double").alias("lifetime_value"), F.count("*").alias("n_customers"))
+
+    return [
+        build.Node("mart", "model", ("int_customer_values", "nation", "region"), mart),
+        build.Node("stg_orders", "model", (), lambda spark: shop.orders(spark, d)),
+        build.Node("stg_customers", "model", (), lambda spark: table(spark, d, "customer")),
+        build.Node("int_customer_values", "model", ("stg_orders", "stg_customers"), lambda spark, stg_orders, stg_customers: stg_orders.groupBy("o_custkey").agg(F.sum("value").alias("lifetime_value")).join(stg_customers, F.col("o_custkey") == F.col("c_custkey"))),
+        build.Node("nation", "seed", (), seed("nation", "n_nationkey", "n_name", "n_regionkey")),
+        build.Node("region", "seed", (), seed("region", "r_regionkey", "r_name")),
+        build.Node("account_versions", "snapshot", (), lambda spark: history(spark, d)),
+        build.Node("stg_accounts", "model", (), lambda spark: table(spark, d, "account_master").select(word(F.col("plan_type")).alias("plan_type"))),
+        build.Node("unique_customers", "test", ("int_customer_values",), build.unique("int_customer_values", ["o_custkey"])),
+        build.Node("unique_order_customers", "test", ("stg_orders",), build.unique("stg_orders", ["o_custkey"])),
+        build.Node("plans_stated", "test", ("stg_accounts",), build.not_null("stg_accounts", "plan_type")),
+        build.Node("plans_known", "test", ("stg_accounts",), build.accepted("stg_accounts", "plan_type", ("free", "light", "standard"))),
+        build.Node("nations_in_regions", "test", ("nation", "region"), build.related("nation", "n_regionkey", "region", "r_regionkey")),
+    ]
+
+
+_PLAN = "nullif(lower(trim(translate(plan_type, 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ　', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz '))), '')"
+
+
+@query("s11_build_dag", f"""WITH {VERSIONS}, r AS (
+  SELECT 'mart' AS node, 'model' AS kind, (SELECT count(DISTINCT n_regionkey) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) AS n_rows
+  UNION ALL SELECT 'stg_orders', 'model', (SELECT count(*) FROM orders) UNION ALL SELECT 'stg_customers', 'model', (SELECT count(*) FROM customer)
+  UNION ALL SELECT 'int_customer_values', 'model', (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
+  UNION ALL SELECT 'nation', 'seed', (SELECT count(*) FROM nation) UNION ALL SELECT 'region', 'seed', (SELECT count(*) FROM region) UNION ALL SELECT 'account_versions', 'snapshot', (SELECT count(*) FROM versions)
+  UNION ALL SELECT 'stg_accounts', 'model', (SELECT count(*) FROM account_master) UNION ALL SELECT 'unique_customers', 'test', 0
+  UNION ALL SELECT 'unique_order_customers', 'test', (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'plans_stated', 'test', (SELECT count(*) FROM account_master WHERE {_PLAN} IS NULL)
+  UNION ALL SELECT 'plans_known', 'test', (SELECT count(DISTINCT {_PLAN}) FROM account_master WHERE {_PLAN} NOT IN ('free', 'light', 'standard')) UNION ALL SELECT 'nations_in_regions', 'test', (SELECT count(DISTINCT n_regionkey) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)))
+  SELECT *, CASE WHEN kind <> 'test' THEN 'built' WHEN n_rows = 0 THEN 'pass' ELSE 'fail' END AS status FROM r""")
 def _(spark, d):
-    """Seeds, staging, intermediate and mart as functions; one lazy plan at the end."""
-    staging = shop.customer_orders(spark, d)
-    mart = staging.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return mart.groupBy("r_name").agg(F.sum("lifetime_value").cast("double").alias("lifetime_value"), F.count("*").alias("n_customers"))
+    """Every node of a project in the order of what it needs, with its rows; tests pass or fail."""
+    nodes = _project(spark, d)
+    return build.report(nodes, build.build(spark, nodes))
 
 
 _SHEET_SQL = "SELECT trim(pair) AS pair, CASE WHEN lower(trim(compare_at)) IN ('overall', 'overall total') THEN 'ungrouped total' ELSE lower(trim(compare_at)) END AS compare_at, nullif(lower(trim(label)), '') AS label, lower(trim(evidence_status)) AS evidence_status, nullif(trim(missing_evidence), '') AS missing_evidence, CAST(minutes AS BIGINT) AS minutes, reviewer FROM (SELECT * FROM worksheet QUALIFY row_number() OVER (PARTITION BY trim(pair), reviewer ORDER BY received_at DESC, compare_at DESC, label DESC NULLS LAST, evidence_status DESC) = 1)"
@@ -261,9 +312,10 @@ def _(spark, d):
     return files.verify_manifest(spark, _tree(spark), manifest).select("file", "ok")
 
 
-@query("s14_result_table", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+@query("s14_result_table", "WITH a AS (SELECT o_orderstatus, CAST(count(*) AS VARCHAR) AS n FROM orders GROUP BY 1), w AS (SELECT greatest(13, max(length(o_orderstatus))) AS w0, greatest(1, max(length(n))) AS w1 FROM a), r AS (SELECT 0 AS no, 'o_orderstatus' AS c0, 'n' AS c1, ' ' AS p UNION ALL SELECT 1, '-', '-', '-' UNION ALL SELECT row_number() OVER (ORDER BY o_orderstatus) + 1, o_orderstatus, n, ' ' FROM a) SELECT CAST(no AS INTEGER) AS no, rpad(c0, CAST(w0 AS INTEGER), p) || '  ' || rpad(c1, CAST(w1 AS INTEGER), p) AS line FROM r, w")
 def _(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    counts = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return files.table_lines(counts, ["o_orderstatus"])
 
 
 # --- projection, filter, scalar expressions
@@ -393,18 +445,17 @@ def _(spark, d):
     return annotate.classify_cases(_sheet(spark, d)).drop("case")
 
 
-@query("j6_manifest_join", "SELECT doc_id, sha256(text) AS expected, sha256(text) AS actual, true AS ok FROM documents WHERE text IS NOT NULL")
+@query("j6_manifest_join", "WITH m AS (SELECT doc_id, sha256(text) AS expected FROM documents WHERE text IS NOT NULL), a AS (SELECT doc_id, sha256(CASE WHEN lang IS NULL THEN text || ' ' ELSE text END) AS actual FROM documents WHERE text IS NOT NULL AND project IS NOT NULL) SELECT doc_id, expected, actual, CASE WHEN actual IS NULL THEN 'missing' WHEN expected = actual THEN 'ok' ELSE 'changed' END AS status FROM m LEFT JOIN a USING (doc_id)")
 def _(spark, d):
+    """A manifest of all texts against a later delivery, in which texts without lang have a blank more and those without project are gone."""
     docs = table(spark, d, "documents").where(F.col("text").isNotNull())
-    expected = docs.select("doc_id", F.sha2("text", 256).alias("expected"))
-    actual = docs.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("actual"))
-    return expected.join(actual, "doc_id", "left").select("doc_id", "expected", "actual", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)).alias("ok"))
+    manifest = docs.select("doc_id", F.sha2("text", 256).alias("expected"))
+    later = docs.where(F.col("project").isNotNull()).withColumn("text", F.when(F.col("lang").isNull(), F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    return files.check_manifest(manifest, later.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("actual")), "doc_id")
 
 
 @query("o2_sorted_files", "SELECT * FROM (VALUES (1, 'b.sql'), (2, 'stg_a.sql')) t(no, file)")
 def _(spark, d):
-    from pyspark.sql import Window
-
     paths = files.text_tree(spark, _tree(spark)).select("path")
     return paths.select(F.row_number().over(Window.orderBy("path")).alias("no"), F.element_at(F.split("path", "/"), -1).alias("file"))
 
@@ -418,20 +469,47 @@ def _(spark, d):
 
 
 # --- metadata
-@query("d1_list_metrics")
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_D1 = """order_value simple value|order_rows simple rows|order_count simple keys|urgent_value simple urgent|open_value simple value|item_revenue simple revenue|returned_revenue simple returned|prompt_items simple prompt|item_count simple item_rows
+lifetime_value simple lifetime|customer_count simple customers|month_value simple monthly|event_count simple events|click_count simple clicks|view_count simple views|urgent_share ratio|returned_share ratio|prompt_rate ratio|click_rate ratio|value_per_customer ratio
+order_value_annual derived|returned_to_urgent derived|order_value_running cumulative|order_value_last3 cumulative|order_value_before offset|click_count_before offset"""
+_D1 = [(*x.split(" "), "")[:3] for x in _D1.replace("\n", "|").split("|")]
+
+
+@query("d1_list_metrics", f"SELECT metric, kind, nullif(measure, '') AS measure, CASE metric WHEN 'open_value' THEN {_quoted("o_orderstatus = 'O'")} END AS filter, {len(_D1)} AS n_metrics FROM (VALUES {', '.join(map(str, _D1))}) t(metric, kind, measure)")
 def _(spark, d):
-    return catalog.list_metrics(spark, _REGISTRY)
+    found = catalog.list_metrics(spark, _REGISTRY)
+    return found.withColumn("n_metrics", F.lit(len(_REGISTRY.metrics)))
 
 
-@query("d2_list_dimensions")
+@query("d2_list_dimensions", """SELECT * FROM (VALUES ('order_value', 'customer__c_mktsegment'), ('order_value', 'customer__nation__n_name'), ('order_value', 'customer__nation__region__r_name'), ('order_value', 'o_orderpriority'), ('order_value', 'o_orderstatus'),
+  ('order_value', 'metric_time__day'), ('order_value', 'metric_time__month'), ('order_value', 'metric_time__year'), ('click_rate', 'event_type'), ('click_rate', 'metric_time__day'), ('click_rate', 'metric_time__month'), ('click_rate', 'metric_time__year'),
+  ('value_per_customer', 'customer__c_mktsegment'), ('value_per_customer', 'customer__nation__n_name'), ('value_per_customer', 'customer__nation__region__r_name'), ('value_per_customer', 'metric_time__day'), ('value_per_customer', 'metric_time__month'), ('value_per_customer', 'metric_time__year')) t(metric, dimension)""")
 def _(spark, d):
-    return catalog.list_dimensions(spark, _REGISTRY, "order_value")
+    """By what a simple metric, a ratio, and a ratio across models (what both can reach) can be grouped."""
+    return reduce(DataFrame.unionByName, [catalog.list_dimensions(spark, _REGISTRY, m).select(F.lit(m).alias("metric"), "dimension") for m in ("order_value", "click_rate", "value_per_customer")])
+
+
+_EXPLAINED = (("open_value", MONTH), ("click_rate", DAY), ("value_per_customer", MONTH), ("returned_to_urgent", YEAR), ("order_value_annual", YEAR), ("order_value_running", Scope("month", ("customer__c_mktsegment",))), ("order_value_last3", MONTH), ("click_count_before", DAY), ("item_revenue", Scope(None, ("order__customer__nation__n_name", "l_returnflag"))), ("urgent_share", TOTAL))
 
 
-@query("d3_explain")
+def _long_sql(name: str, scope: Scope) -> str:
+    keys = [f"strftime({k}, '%Y-%m-%d')" if k.startswith("metric_time__") else k for k in scope.keys]
+    group = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
+    return f"SELECT '{name}' AS metric, {group} AS group_key, round(CAST({name} AS DOUBLE), 6) AS value FROM ({catalog.render_sql(_REGISTRY, name, scope)})"
+
+
+@query("d3_explain", " UNION ALL ".join(_long_sql(*x) for x in _EXPLAINED))
 def _(spark, d):
-    plan = catalog.explain(Compiler(_REGISTRY, spark, d), "order_value", MONTH)
-    return spark.createDataFrame([(catalog.render_sql(_REGISTRY, "order_value", MONTH), plan)], "sql string, plan string")
+    """Values of metrics of every kind; the SQL that is shown for each of them gives the same on another engine (its twin)."""
+    def one(name, scope):
+        out = _days(Compiler(_REGISTRY, spark, d).query(name, scope))
+        return out.select(F.lit(name).alias("metric"), F.concat_ws("|", *scope.keys).alias("group_key") if scope.keys else F.lit("").alias("group_key"), F.round(F.col(name).cast("double"), 6).alias("value"))
+
+    return reduce(DataFrame.unionByName, [one(*x) for x in _EXPLAINED])
 
 
 @query("d4_inline_sql", "SELECT o_orderstatus, count(*) AS n_orders FROM orders GROUP BY 1")
@@ -439,7 +517,10 @@ def _(spark, d):
     return catalog.inline_sql(spark, d, "select o_orderstatus, count(*) as n_orders from {{ ref('orders') }} group by 1")
 
 
-@query("d5_lineage")
+_D5 = {"returned_revenue": ("returned", "case when l_returnflag = 'R' then revenue else 0 end", "items"), "item_revenue": ("revenue", "revenue", "items"), "urgent_value": ("urgent", "case when o_orderpriority = '1-URGENT' then value else 0 end", "orders"), "order_value": ("value", "value", "orders")}
+
+
+@query("d5_lineage", "SELECT 'returned_to_urgent' AS metric, t.*, 'sum' AS agg, CASE model WHEN 'items' THEN 'l_orderkey,l_linenumber' ELSE 'o_orderkey' END AS grain, CASE model WHEN 'items' THEN 'l_shipdate' ELSE 'o_orderdate' END AS time, CAST(NULL AS VARCHAR) AS filter FROM (VALUES " + ", ".join(f"('{k}', '{m}', {_quoted(x)}, '{model}', {_quoted(_I if model == 'items' else _O)})" for k, (m, x, model) in _D5.items()) + ") t(leaf, measure, expr, model, sql)")
 def _(spark, d):
     return catalog.trace(spark, _REGISTRY, "returned_to_urgent")
 
@@ -454,10 +535,11 @@ QUERIES["c3_value_difference"], ORACLE["c3_value_difference"] = _report("order_v
 QUERIES["c2_same_way"], ORACLE["c2_same_way"] = _report("order_value", "month_value", MONTH), _days_sql(f"SELECT {_m('o_orderdate')}, CAST(sum(value) AS DOUBLE) AS v1, CAST(sum(value) AS DOUBLE) AS v2, CAST(0 AS DOUBLE) AS delta, 'both' AS presence, false AS differs FROM {_O} GROUP BY 1", "month")
 
 
-@query("c1_scope_enforced", "SELECT compare_at, count(*) AS n, count(*) FILTER (lower(trim(compare_at)) IN ('ungrouped total', 'overall', 'overall total', 'metric_time__month')) AS n_declared FROM worksheet GROUP BY 1")
+@query("c1_scope_enforced", "WITH s AS (SELECT compare_at AS scope, lower(trim(compare_at)) AS w, count(*) AS n FROM worksheet GROUP BY ALL UNION ALL SELECT * FROM (VALUES ('metric_time__week', 'metric_time__week', 1), ('by branch', 'by branch', 1), ('ＯＶＥＲＡＬＬ', 'overall', 1))) SELECT scope, n, CASE WHEN w IN ('ungrouped total', 'overall', 'overall total') THEN 'ungrouped total' WHEN w IN ('metric_time__day', 'metric_time__month', 'metric_time__year') THEN w END AS declared FROM s")
 def _(spark, d):
-    ok = annotate.scope_word(F.col("compare_at")).rlike(r"^(ungrouped total|metric_time__(day|month|year))$")
-    return table(spark, d, "worksheet").groupBy("compare_at").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_declared"))
+    """What every spelling of a scope is read as; those that are no declared scope, three made-up ones among them, are rejected."""
+    other = spark.createDataFrame([("metric_time__week",), ("by branch",), ("ＯＶＥＲＡＬＬ",)], "compare_at string")
+    return annotate.scopes_in_use(table(spark, d, "worksheet").select("compare_at").unionByName(other), "compare_at")
 
 
 @query("c4_agrees_on_sample", f"SELECT 'ungrouped total' AS scope, CAST(1 AS BIGINT) AS n_groups, CAST(CASE WHEN (SELECT sum(value) FROM {_O}) = (SELECT sum(lifetime_value) FROM {_C}) THEN 0 ELSE 1 END AS BIGINT) AS n_differ, CAST(0 AS BIGINT) AS n_left_only, CAST(0 AS BIGINT) AS n_right_only, (SELECT sum(value) FROM {_O}) = (SELECT sum(lifetime_value) FROM {_C}) AS agrees_on_sample")
@@ -494,14 +576,28 @@ _RULES = f"""WITH s AS ({_SHEET_SQL}), p AS (SELECT trim(pair) AS pair, lower(tr
   UNION ALL SELECT pair, NULL, 'not reviewed' FROM p WHERE pair NOT IN (SELECT pair FROM s))"""
 
 
-@query("r1_worksheet_rules", f"{_RULES} SELECT * FROM v")
+_LINED = "(SELECT *, CASE WHEN minutes IS NULL THEN 8 ELSE 9 END AS cells, row_number() OVER (PARTITION BY reviewer ORDER BY received_at, pair) AS line_no FROM (SELECT trim(pair) AS pair, reviewer, minutes, received_at FROM worksheet WHERE pair IS NOT NULL AND reviewer IS NOT NULL))"
+
+
+@query("r1_worksheet_rules", f"""{_RULES}, o AS (SELECT trim(pair) AS pair, row_number() OVER (ORDER BY trim(pair)) AS ordinal FROM metric_pair), l AS (
+  SELECT w.pair, reviewer, cells, ordinal, max(ordinal) OVER (PARTITION BY reviewer ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM {_LINED} w LEFT JOIN o ON o.pair = w.pair)
+  SELECT * FROM v UNION ALL SELECT pair, reviewer, 'not nine cells' FROM l WHERE cells <> 9 UNION ALL SELECT pair, reviewer, 'out of packet order' FROM l WHERE ordinal < reached""")
 def _(spark, d):
-    return annotate.violations(_sheet(spark, d), table(spark, d, "metric_pair"))
+    """What the cells say, and how the sheets are laid out: their rows as markdown in the order received, a missing minute leaving its cell out."""
+    raw = table(spark, d, "worksheet").where(F.col("pair").isNotNull() & F.col("reviewer").isNotNull())
+    pairs = table(spark, d, "metric_pair")
+    shown = F.concat(F.lit("|"), F.concat_ws("|", *[F.coalesce(F.regexp_replace(c, r"\|", "/"), F.lit("")) for c in annotate.CELLS[:-1]], F.col("minutes").cast("string")), F.lit("|"))
+    lines = raw.select("reviewer", F.row_number().over(Window.partitionBy("reviewer").orderBy("received_at", F.trim("pair"))).alias("line_no"), F.trim("pair").alias("pair"), (F.size(F.split(shown, r"\|")) - 2).alias("cells"))
+    packet = pairs.select(F.trim("pair").alias("pair"), F.row_number().over(Window.orderBy(F.trim("pair"))).cast("bigint").alias("ordinal"))
+    return annotate.violations(_sheet(spark, d), pairs).unionByName(annotate.layout_violations(lines, packet))
 
 
-@query("c8_label_vocabulary", f"{_RULES} SELECT pair, reviewer FROM v WHERE problem = 'unknown label'")
+@query("c8_label_vocabulary", f"WITH s AS ({_SHEET_SQL}), t AS (SELECT pair, reviewer, CASE WHEN reviewer = 2 THEN replace(label, '_', '-') ELSE label END AS label FROM s) SELECT pair, reviewer, label, label IN ({_VOCAB}) AS known FROM t WHERE label IS NOT NULL")
 def _(spark, d):
-    return annotate.violations(_sheet(spark, d), table(spark, d, "metric_pair")).where("problem = 'unknown label'").select("pair", "reviewer")
+    """Labels in and out of the vocabulary; the second reviewer's are taken as typed with hyphens, which are none."""
+    typed = _sheet(spark, d).withColumn("label", F.when(F.col("reviewer") == 2, F.replace("label", F.lit("_"), F.lit("-"))).otherwise(F.col("label")))
+    wrong = annotate.violations(typed, table(spark, d, "metric_pair")).where("problem = 'unknown label'").select("pair", "reviewer", F.lit(True).alias("wrong"))
+    return typed.where("label is not null").join(wrong, ["pair", "reviewer"], "left").select("pair", "reviewer", "label", F.col("wrong").isNull().alias("known"))
 
 
 @query("c9_evidence_status", f"{_RULES} SELECT pair, reviewer, problem FROM v WHERE problem IN ('unknown status', 'blank label not under review', 'review without missing evidence')")
@@ -519,19 +615,25 @@ def _(spark, d):
     return annotate.summarize(annotate.classify_cases(_sheet(spark, d)))
 
 
-@query("r4_root_cause", f"{_BOTH_SQL} SELECT pair, 'root cause missing or unknown' AS problem FROM cases WHERE \"case\" = 'different'")
+_CAUSES = ", ".join(f"'{x}'" for x in annotate.ROOT_CAUSES)
+
+
+@query("r4_root_cause", f"{_BOTH_SQL}, said AS (SELECT trim(pair) AS pair, min(nullif(lower(regexp_extract(conditions, 'root cause of the split is (\\w+)', 1, 'i')), '')) AS cause FROM worksheet GROUP BY 1), r AS (SELECT trim(p.pair) AS pair, coalesce(\"case\" = 'different', false) AS needs, CASE WHEN cause = 'judgment' THEN 'taste' ELSE cause END AS cause FROM metric_pair p LEFT JOIN cases c ON c.pair = trim(p.pair) LEFT JOIN said s ON s.pair = trim(p.pair)) SELECT pair, CASE WHEN needs THEN 'root cause missing or unknown' ELSE 'root cause without disagreement' END AS problem FROM r WHERE CASE WHEN needs THEN cause IS NULL OR cause NOT IN ({_CAUSES}) ELSE cause IS NOT NULL END")
 def _(spark, d):
-    """A record whose final columns are still blank lacks the cause of every disagreement."""
-    return annotate.root_cause_violations(annotate.decision_record(table(spark, d, "metric_pair"), annotate.classify_cases(_sheet(spark, d))))
+    """The record with the causes that the sheets' conditions name (judgment put down as taste, which is no known cause), held against the cases."""
+    record = annotate.decision_record(table(spark, d, "metric_pair").withColumn("pair", F.trim("pair")), annotate.classify_cases(_sheet(spark, d)))
+    record = annotate.with_causes(record, table(spark, d, "worksheet").select("pair", F.col("conditions").alias("text")))
+    return annotate.root_cause_violations(record.withColumn("root_cause", F.when(F.col("root_cause") == "judgment", "taste").otherwise(F.col("root_cause"))))
 
 
-_NEUTRAL_SQL = r"regexp_replace(regexp_replace(regexp_replace(line, '[\w.+-]+@[\w-]+(\.[\w-]+)+', '<e-mail>', 'g'), '\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?', '<date>', 'g'), '(?i)\breviewer [A-Z0-9]+\b', 'Reviewer', 'g')"
+_PARTIES = ("copperleaf-supply", "ember-canteen", "Mara Quist")
+_NEUTRAL_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[\w.+-]+@[\w-]+(\.[\w-]+)+', '<e-mail>', 'g'), '\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?', '<date>', 'g'), '\b(Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+( [A-Z][a-z]+)?\b', '<name>', 'g'), '(?i)\breviewer [A-Z0-9]+\b', 'Reviewer', 'g'), '(?i)\b(copperleaf-supply|ember-canteen|Mara Quist)\b', '<name>', 'g')"
 
 
 @query("r5_redaction", r"WITH d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n') AS a FROM documents WHERE length(text) > 0), l AS (SELECT doc_id, CAST(unnest(generate_series(1, len(a))) AS INTEGER) AS line_no, unnest(a) AS line FROM d) SELECT doc_id, line_no, CASE WHEN starts_with(ltrim(line), '|') THEN line ELSE " + _NEUTRAL_SQL + " END AS neutral FROM l")
 def _(spark, d):
     lines = texts.numbered_lines(table(spark, d, "documents"), "doc_id", "text")
-    return lines.select(F.col("key").alias("doc_id"), "line_no", annotate.redact(F.col("line")).alias("neutral"))
+    return lines.select(F.col("key").alias("doc_id"), "line_no", annotate.redact(F.col("line"), _PARTIES).alias("neutral"))
 
 
 @query("r6_append_only", f"WITH s AS ({_SHEET_SQL}) SELECT pair, reviewer, CASE WHEN label IS NULL THEN 'related' ELSE label END AS label FROM s")
@@ -543,14 +645,26 @@ def _(spark, d):
     return annotate.latest(annotate.correct(log, fix)).select("pair", "reviewer", "label")
 
 
-@query("r7_hash_lock", "SELECT pair, sha256(pair || '|' || project || '|' || metric_1 || '|' || metric_2 || '|' || compare_at) AS digest FROM metric_pair")
+_LOCKED = "sha256(pair || '|' || project || '|' || metric_1 || '|' || metric_2 || '|' || {})"
+
+
+@query("r7_hash_lock", f"WITH a AS (SELECT pair, {_LOCKED.format('compare_at')} AS expected FROM metric_pair), b AS (SELECT pair, {_LOCKED.format(chr(39) + 'ungrouped total' + chr(39))} AS actual FROM metric_pair WHERE project <> 'ember-canteen' UNION ALL SELECT 'MP-new', sha256('MP-new')) SELECT pair, expected, actual, CASE WHEN expected IS NULL THEN 'unlisted' WHEN actual IS NULL THEN 'missing' WHEN expected = actual THEN 'ok' ELSE 'changed' END AS status FROM a FULL JOIN b USING (pair)")
 def _(spark, d):
-    return table(spark, d, "metric_pair").select("pair", F.sha2(F.concat_ws("|", "pair", "project", "metric_1", "metric_2", "compare_at"), 256).alias("digest"))
+    """Pairs locked by stored digests, held against a later packet: every scope made the total, one project left out, one pair new."""
+    pairs = table(spark, d, "metric_pair")
+    digest = lambda *c: F.sha2(F.concat_ws("|", *c), 256)
+    locked = cut(pairs.select("pair", digest("pair", "project", "metric_1", "metric_2", "compare_at").alias("expected")), "lock")
+    later = pairs.where("project <> 'ember-canteen'").select("pair", digest("pair", "project", "metric_1", "metric_2", F.lit("ungrouped total")).alias("actual"))
+    new = spark.range(1).select(F.lit("MP-new").alias("pair"), F.sha2(F.lit("MP-new"), 256).alias("actual"))
+    return files.check_manifest(locked, later.unionByName(new), "pair")
 
 
-@query("r8_effort", f"WITH s AS ({_SHEET_SQL}) SELECT reviewer, count(*) AS n_pairs, CAST(sum(minutes) AS BIGINT) AS minutes, count(*) FILTER (minutes IS NULL) AS n_without_minutes FROM s GROUP BY 1")
+@query("r8_effort", f"WITH s AS ({_SHEET_SQL}), e AS (SELECT reviewer, count(*) AS n_pairs, CAST(sum(minutes) AS BIGINT) AS minutes, count(*) FILTER (minutes IS NULL) AS n_without_minutes FROM s GROUP BY 1), a AS (SELECT reviewer, CAST(sum(minutes) FILTER (minutes IS NOT NULL) + CASE reviewer WHEN 1 THEN 32 ELSE 0 END AS BIGINT) AS active_minutes FROM s GROUP BY 1) SELECT e.*, active_minutes, minutes <> active_minutes OR n_without_minutes > 0 AS mismatch FROM e JOIN a USING (reviewer)")
 def _(spark, d):
-    return annotate.effort(_sheet(spark, d))
+    """Minutes of the pairs against the active minutes declared in the sheets' heads (here the first reviewer's are 32 more)."""
+    sheet = _sheet(spark, d)
+    active = sheet.groupBy("reviewer").agg((F.sum("minutes") + F.when(F.col("reviewer") == 1, 32).otherwise(0)).alias("active_minutes"))
+    return annotate.effort(sheet, active)
 
 
 @query("u1_sql_macro", "SELECT o_orderkey, CAST(year(CAST(strftime(o_orderdate, '%Y-%m-%d') AS DATE)) AS INTEGER) AS y FROM orders")

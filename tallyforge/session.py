@@ -46,15 +46,39 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when :func:`sweep` is called, or when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    _PLACES.append(path)
+    return path
+
+
+#: Paths given out by :func:`place` in this process.
+_PLACES: list[str] = []
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     The stages after it depend on files that outlive any executor, not on cached blocks.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this process wrote to the shared folder so far, and say how many tables that was.
+
+    For the end of a run, when the frames built on them are no longer needed.
+    """
+    for path in (done := _PLACES[:]):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _PLACES[: len(done)]
+    return len(done)
 
 
 def data_dir(default: str = "/root/testdata/sf0.1") -> str:

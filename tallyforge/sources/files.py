@@ -3,17 +3,50 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def generated(spark: SparkSession, generate: Callable[[], dict[str, pd.DataFrame]]) -> dict[str, DataFrame]:
-    """The tables a generator function makes, by name."""
-    return {name: spark.createDataFrame(frame) for name, frame in generate().items()}
+def generated(spark: SparkSession, generate: Callable[..., dict[str, DataFrame | pd.DataFrame]], **how) -> dict[str, DataFrame]:
+    """The tables a generator function makes, by name; frames of pandas come in as well."""
+    return {name: frame if isinstance(frame, DataFrame) else spark.createDataFrame(frame) for name, frame in generate(spark, **how).items()}
+
+
+def invoices(spark: SparkSession, n_customers: int = 400, seed: int = 42) -> dict[str, DataFrame]:
+    """A generator: customers and their invoices, twelve a customer, the same for the same seed; made on the executors."""
+    mix = lambda c, salt: (c * 7919 + salt * 104729 + seed) % 1000003
+    one = F.col("id")
+    customers = spark.range(1, n_customers + 1).select(one.alias("customer_id"), F.format_string("customer_%05d", one).alias("name"), F.element_at(F.array(*[F.lit(x) for x in ("free", "light", "standard")]), (mix(one, 1) % 3 + 1).cast("int")).alias("plan"))
+    bills = spark.range(n_customers * 12).select((one + 1).alias("invoice_id"), (F.floor(one / 12) + 1).alias("customer_id"), F.add_months(F.lit("2024-01-01").cast("date"), (one % 12).cast("int")).alias("invoice_month"), (mix(one + 1, 2) % 100000).alias("amount"), F.when(mix(one + 1, 3) % 10 == 0, "open").otherwise("paid").alias("status"))
+    return {"customers": customers, "invoices": bills}
+
+
+@contextmanager
+def opened(spark: SparkSession, name: str) -> Iterator[str]:
+    """A database opened, made where it isn't there, as the current one; closing it brings back the one before."""
+    before = spark.catalog.currentDatabase()
+    create_schema(spark, name)
+    spark.catalog.setCurrentDatabase(name)
+    try:
+        yield name
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
+def load(spark: SparkSession, tables: dict[str, DataFrame], schema: str, place: Callable[[str], str]) -> list[str]:
+    """Every table registered, created or replaced under the schema by its upper-case name, and unregistered; their full names."""
+    names = []
+    for name, df in tables.items():
+        register(df, "df_in")
+        create_table_as(spark.table("df_in"), schema, name, place(name))
+        unregister(spark, "df_in")
+        names.append(f"`{schema}`.`{name.upper()}`")
+    return names
 
 
 def register(df: DataFrame, name: str) -> None:
@@ -80,6 +113,30 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def print_table(df: DataFrame, n: int = 20) -> None:
-    """The first rows as a text table."""
-    df.show(n, truncate=False)
+def table_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """(no, line) of a text table: a header (0), a rule (1) and the rows by ``order``, columns as wide as their widest value.
+
+    For results to be read, which are small: rows are numbered in one partition. A null is an empty cell.
+    """
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    width = df.agg(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(x)), F.lit(0))).alias(f"w_{i}") for i, (c, x) in enumerate(zip(df.columns, cells))])
+    rows = df.select((F.row_number().over(Window.orderBy(*order)) + 1).alias("no"), *[x.alias(f"c_{i}") for i, x in enumerate(cells)])
+    head = df.sparkSession.createDataFrame([(0, *df.columns), (1, *["-"] * len(df.columns))], rows.schema)
+    pad = [F.rpad(F.col(f"c_{i}"), F.col(f"w_{i}"), F.when(F.col("no") == 1, "-").otherwise(" ")) for i in range(len(cells))]
+    return head.unionByName(rows).crossJoin(F.broadcast(width)).select("no", F.concat_ws("  ", *pad).alias("line"))  # one row of widths
+
+
+def print_table(df: DataFrame, order: list[str]) -> None:
+    """A small result as a text table."""
+    for r in table_lines(df, order).orderBy("no").collect():
+        print(r.line)
+
+
+def check_manifest(manifest: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """(key, expected, actual, status) of everything that a manifest of (key, expected) names, held against (key, actual).
+
+    ``ok``, ``changed``, or ``missing`` where there is nothing to hold against; what the manifest does not name is ``unlisted``.
+    """
+    both = manifest.select(key, "expected").join(actual.select(key, "actual"), key, "full")
+    status = F.when(F.col("expected").isNull(), "unlisted").when(F.col("actual").isNull(), "missing").when(F.lower("expected") == F.lower("actual"), "ok").otherwise("changed")
+    return both.select(key, "expected", "actual", status.alias("status"))

@@ -87,7 +87,7 @@ def test_csv_and_tables(spark, rows, tmp_path):
     assert spark.table("test_raw.people").count() == 2
     files.register(df, "here")
     assert files.unregister(spark, "here") and not files.unregister(spark, "here")
-    made = files.generated(spark, lambda: {"t": pd.DataFrame({"a": [1, 2]})})
+    made = files.generated(spark, lambda spark: {"t": pd.DataFrame({"a": [1, 2]})})
     assert made["t"].count() == 2
     tree = tmp_path / "m"
     (tree / "x").mkdir(parents=True)
@@ -117,3 +117,65 @@ def test_many_files(spark, tmp_path):
     assert [r.text for r in got] == [texts[k] for k in sorted(texts)]
     manifest = spark.createDataFrame([(k.rsplit("/", 1)[1], "0" * 64 if k.endswith("5.sql") else files.digest(v)) for k, v in texts.items()], "file string, expected string")
     assert {r.file: r.ok for r in files.verify_manifest(spark, str(tmp_path), manifest).collect()} == {k.rsplit("/", 1)[1]: not k.endswith("5.sql") for k in texts}
+
+
+def test_build_runs_in_order_and_tests_fail(spark, rows):
+    from tallyforge.plans import build as b
+
+    seed = lambda spark: spark.createDataFrame([(1, "x"), (1, None), (2, "y")], "k int, v string")
+    nodes = [
+        b.Node("twice", "test", ("double",), b.unique("double", ["k"])), b.Node("filled", "test", ("double",), b.not_null("double", "v")), b.Node("words", "test", ("double",), b.accepted("double", "v", ("x",))),
+        b.Node("kept", "test", ("double", "seed"), b.related("double", "k", "seed", "k")), b.Node("double", "model", ("seed",), lambda spark, seed: seed.withColumn("k", F.col("k") * 2)), b.Node("seed", "seed", (), seed),
+    ]
+    assert rows(b.report(nodes, b.build(spark, nodes)), "node", "n_rows", "status") == [("double", 3, "built"), ("filled", 1, "fail"), ("kept", 1, "fail"), ("seed", 3, "built"), ("twice", 1, "fail"), ("words", 1, "fail")]
+    with pytest.raises(ValueError):
+        b.build(spark, [b.Node("a", "model", ("nowhere",), seed)])
+    with pytest.raises(ValueError):  # a circle
+        b.build(spark, [b.Node("a", "model", ("c",), seed), b.Node("c", "model", ("a",), seed)])
+
+
+def test_layout_causes_effort_and_names(spark, rows):
+    lines = spark.createDataFrame([(1, 1, "a", 9), (1, 2, "c", 8), (1, 3, "b", 9), (2, 1, "zz", 9), (2, 2, "a", 9)], "reviewer int, line_no int, pair string, cells int")
+    packet = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "pair string, ordinal int")
+    assert rows(annotate.layout_violations(lines, packet)) == [("b", 1, "out of packet order"), ("c", 1, "not nine cells")]
+    record = spark.createDataFrame([("a", "different"), ("b", "different"), ("c", "agree"), ("d", "different")], "pair string, `case` string").withColumn("root_cause", F.lit(None).cast("string"))
+    said = spark.createDataFrame([("a", "Root cause of the split is Scope."), ("c", "root cause of the split is judgment"), ("d", "root cause of the split is weather"), ("b", None)], "pair string, text string")
+    got = annotate.root_cause_violations(annotate.with_causes(record, said))
+    assert rows(got) == [("b", "root cause missing or unknown"), ("c", "root cause without disagreement"), ("d", "root cause missing or unknown")]
+    sheet = spark.createDataFrame([(1, 5), (1, 7), (2, None), (3, 1)], "reviewer int, minutes bigint")
+    active = spark.createDataFrame([(1, 12), (2, 0)], "reviewer int, active_minutes bigint")
+    assert rows(annotate.effort(sheet, active), "reviewer", "mismatch") == [(1, False), (2, True), (3, None)]
+    text = spark.createDataFrame([("Dr. Ann Smith wrote to a.b@c.de on 2024-01-02, reviewer R2 and mara quist agreed; Maraquist did not",), ("| Dr. Ann Smith |",)], "t string")
+    assert [r[0] for r in text.select(annotate.redact(F.col("t"), ("Mara Quist",))).collect()] == ["<name> wrote to <e-mail> on <date>, Reviewer and <name> agreed; Maraquist did not", "| Dr. Ann Smith |"]
+
+
+def test_scopes_in_use_are_those_that_parse(spark):
+    from tallyforge.plans.semantic import Scope
+
+    texts = ["overall", " Overall  Total", "metric_time__month", "METRIC_TIME__DAY", "metric_time__hour", "by branch", "", None, "ｏｖｅｒａｌｌ"]
+    got = {r.scope: r.declared for r in annotate.scopes_in_use(spark.createDataFrame([(t,) for t in texts], "s string"), "s").collect()}
+    for t in texts:
+        try:
+            want = Scope.parse(t or "")
+            assert got[t] == (f"metric_time__{want.grain}" if want.grain else "ungrouped total")
+        except ValueError:
+            assert got[t] is None
+
+
+def test_manifest_statuses_and_table_lines(spark, rows):
+    want = spark.createDataFrame([("a", "F0"), ("b", "11"), ("c", "22")], "file string, expected string")
+    there = spark.createDataFrame([("a", "f0"), ("b", "12"), ("d", "33")], "file string, actual string")
+    assert rows(files.check_manifest(want, there, "file"), "file", "status") == [("a", "ok"), ("b", "changed"), ("c", "missing"), ("d", "unlisted")]
+    lines = files.table_lines(spark.createDataFrame([("b", 1), ("abc", None)], "name string, n int"), ["name"])
+    assert [r.line for r in lines.orderBy("no").collect()] == ["name  n", "----  -", "abc    ", "b     1"]
+
+
+def test_written_tables_are_swept(spark):
+    import os
+
+    from tallyforge import session
+
+    session.sweep(spark)
+    session.cut(spark.range(3), "kept")
+    path = session._PLACES[-1].removeprefix("file://")
+    assert os.path.isdir(path) and session.sweep(spark) == 1 and not os.path.exists(path)
