@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -188,7 +189,7 @@ def p5_current(spark: SparkSession, d: str) -> DataFrame:
     them; the deltas since then are added.
     """
     references, existence = orphans.reference_deltas(_series(spark, d)), _existence(spark, d)
-    newest = table(spark, d, "revenue_monthly").agg(F.coalesce(F.max("snapshot_date"), F.lit("0001-01-01").cast("date"))).first()[0]
+    newest = table(spark, d, "revenue_monthly").agg(F.max("snapshot_date")).first()[0] or date(1970, 1, 1)
     before, since = F.col("at") < F.lit(newest), F.col("at") >= F.lit(newest)
     stored = cut(orphans.add_deltas(None, references.where(before), existence.where(before)), "orphan-counts")
     counts = orphans.add_deltas(stored, references.where(since), existence.where(since))
