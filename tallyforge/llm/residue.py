@@ -3,8 +3,9 @@
 Phrases of such texts, in several languages, are matched by one multi-pattern automaton over the
 folded text. A phrase alone proves nothing, since notes report on error pages and templates in
 their own words. What counts is coverage: of the letters of a passage (a sentence, a line, a
-cell), matched phrases must make up nearly all, and one of them must be telling. Unfilled slots
-are matched by their shapes, outside code, commands and settings.
+cell), or of those of a whole document, matched phrases must make up nearly all, and one of them
+must be telling. Unfilled slots are matched by their shapes, outside code, commands and settings;
+the automaton finds what slots open with, so texts without need no further look.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from itertools import compress, product
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from tallyforge.session import ship, spread
 
 #: Share of a passage's letters that phrases must cover.
 MIN_COVERAGE = 0.8
+#: Share of a document's letters that phrases must cover where no single passage is covered enough, with so many telling ones.
+MIN_DOCUMENT_COVERAGE, MIN_TELLING = 0.7, 2
 
 # Fixed vocabulary. Telling phrases by kind, then words that only fill such passages.
 ERROR = """
@@ -56,6 +59,33 @@ wait moment while check checking cookie h1 h2 p div span br doctype lang charset
     "other": ["設定を変更してください", "有効にしてから再読み込みしてください", "再読み込みしてください", "トップへ戻る", "ホームへ戻る", "トップページへ", "エラーコード", "お手数ですが", "恐れ入りますが", "申し訳ございません", "申し訳ありません", "ご利用", "ください", "ブラウザ", "ブラウザー", "お使いの", "設定", "です", "ます", "ページ", "サイト", "javascript", "スクリプト", "テキスト", "ダミー", "サンプル", "文章", "または", "終了予定", "復旧", "まで", "お待ち", "ました", "あああ", "ああ", "あ", "が", "は", "を", "に", "の", "へ", "と", "で", "も", "削除", "移動", "された", "可能性", "があり", "管理者", "お問い合わせ", "画面", "表示", "できません", "する", "必要", "無効", "有効", "再度", "しばらく", "現在"],
 }
 
+#: Other languages: telling phrases by kind, and words that only fill such passages.
+OTHER_ERROR = """
+seite nicht gefunden|seite wurde nicht gefunden|seite konnte nicht gefunden werden|zugriff verweigert|sie haben keine berechtigung|fehler ist aufgetreten|interner serverfehler|dienst nicht verfügbar|sitzung ist abgelaufen|melden sie sich an|melden sie sich erneut an|wartungsarbeiten|vorübergehend nicht erreichbar|vorübergehend nicht verfügbar|etwas ist schiefgelaufen
+page non trouvée|page introuvable|page demandée est introuvable|page que vous recherchez|accès refusé|accès interdit|vous n'avez pas l'autorisation|une erreur est survenue|une erreur s'est produite|erreur interne du serveur|service indisponible|votre session a expiré|veuillez vous connecter|veuillez vous reconnecter|maintenance en cours|site est en maintenance|temporairement indisponible
+página no encontrada|no se encontró la página|página solicitada no existe|página que busca|acceso denegado|no tiene permiso|ha ocurrido un error|se ha producido un error|error interno del servidor|servicio no disponible|su sesión ha expirado|su sesión ha caducado|inicie sesión|sitio en mantenimiento|temporalmente no disponible|algo salió mal
+pagina non trovata|accesso negato|si è verificato un errore|errore interno del server|servizio non disponibile|sessione è scaduta|effettua l'accesso|sito in manutenzione|página não encontrada|acesso negado|ocorreu um erro|erro interno do servidor|serviço indisponível|sua sessão expirou|faça login|site em manutenção|pagina niet gevonden|toegang geweigerd|er is een fout opgetreden|sessie is verlopen
+страница не найдена|доступ запрещен|доступ запрещён|произошла ошибка|внутренняя ошибка сервера|сервис недоступен|время сеанса истекло|пожалуйста, войдите|технические работы
+页面不存在|找不到页面|页面未找到|頁面不存在|找不到網頁|拒绝访问|拒絕存取|没有权限|没有访问权限|服务器内部错误|服务器错误|服务不可用|会话已过期|登录已过期|请重新登录|请先登录|系统维护中|正在维护|网站维护|出错了|请稍后再试
+페이지를 찾을 수 없습니다|존재하지 않는 페이지입니다|접근이 거부되었습니다|권한이 없습니다|오류가 발생했습니다|서버 오류|세션이 만료되었습니다|다시 로그인해 주세요|로그인이 필요합니다|점검 중입니다|서비스를 이용할 수 없습니다|다시 시도해 주세요
+"""
+OTHER_SCRIPT = """
+aktivieren sie javascript|javascript ist deaktiviert|unterstützt kein javascript|javascript muss aktiviert sein|benötigt javascript|activez javascript|activer javascript|javascript est désactivé|ne prend pas en charge javascript|javascript doit être activé|nécessite javascript
+habilite javascript|active javascript|javascript está desactivado|no admite javascript|requiere javascript|necesita javascript|abilita javascript|attiva javascript|javascript è disabilitato|ative o javascript|habilite o javascript|javascript está desativado|schakel javascript in|javascript is uitgeschakeld
+включите javascript|javascript отключен|启用javascript|启用 javascript|开启javascript|开启 javascript|javascript已禁用|需要javascript|需要 javascript|javascript를 활성화|자바스크립트를 활성화|javascript를 사용|자바스크립트를 사용|자바스크립트가 비활성화
+"""
+OTHER_FILLER = """
+platzhaltertext|blindtext|beispieltext|texte de remplissage|texte fictif|faux texte|texte d'exemple|votre texte ici|texto de relleno|texto de ejemplo|texto de prueba|su texto aquí|tu texto aquí|testo segnaposto|testo di prova|texto de exemplo|texto fictício|seu texto aqui|voorbeeldtekst
+пример текста|текст-заполнитель|占位文字|占位文本|示例文本|测试文本|请在此处输入|예시 텍스트|더미 텍스트|샘플 텍스트|여기에 내용을 입력
+"""
+OTHER_WEAK = """
+dies das die der den dem des ein eine einen sie ihr ihre ihrer ihrem wir bitte und oder ist sind wird werden wurde kann konnte nicht keine kein auf zu zur zum von für mit im um es diese dieser dieses leider seite webseite versuchen später erneut einmal zurück startseite fehler dienst server derzeit angeforderte angeforderten gesuchte existiert mehr verschoben gelöscht anzuzeigen fortzufahren funktionen nutzen hier steht nur text
+la le les un une des du au aux et ou est sont ont été ne pas plus que qui vous votre vos nous ce cette ces pour sur dans en par avec site navigateur réessayer tard retour accueil l'accueil demandée recherchez n'existe déplacée supprimée ressource accéder afficher continuer fonctionner correctement erreur serveur désolé oups simple veuillez merci
+el los las una del al es son ha sido no se su sus este esta para por con que página sitio navegador favor intente inténtelo nuevo más tarde volver inicio solicitada existe movida eliminada acceder mostrar ver recurso correctamente servidor momento lo sentimos il lo di della per questo questa sito pagina riprova più tardi não em você este esta para tente novamente mais tarde
+de het een deze pagina probeer later opnieuw эта этот для на сайте попробуйте позже еще раз страница браузере работы ваш ведутся
+抱歉 对不起 很抱歉 您 你 访问 的 页面 请 返回 首页 稍后 再试 或 已 被 删除 移动 此 本 网站 浏览器 在 中 以 继续 浏览 查看 内容 죄송합니다 요청하신 페이지 이 사이트 브라우저에서 계속하려면 잠시 후 홈으로 돌아가기 해 주세요 를 을 이용하려면 보려면 하세요 현재 서비스
+""".split()
+
 _NOUNS = ("javascript", "js", "scripts", "scripting", "script")
 _VERBS = ("enable", "allow", "activate", "turn on", "switch on", "permit")
 _STATES = ("disabled", "blocked", "turned off", "switched off", "off", "not enabled")
@@ -68,7 +98,10 @@ def _phrases() -> dict[str, list[str]]:
     script = split(SCRIPT)
     script += [f"{v} {n}" for v, n in product(_VERBS, _NOUNS)] + [f"{n} {k} {s}" for n, k, s in product(_NOUNS, _LINKS, _STATES)]
     script += [f"{w} {n}" for w, n in product(_WANTS, _NOUNS)] + [f"has {n} {s}" for n, s in product(_NOUNS, _STATES)]
-    return {"error": split(ERROR), "filler": split(FILLER), "script": script}
+    script += [f"browser {k} support {n}" for k, n in product(("does not", "doesn't", "did not"), _NOUNS)]
+    more = split("whoops|looks like something went wrong")
+    found = {"error": split(ERROR) + more + split(OTHER_ERROR), "filler": split(FILLER) + split(OTHER_FILLER), "script": script + split(OTHER_SCRIPT)}
+    return {kind: [fold(p) for p in phrases] for kind, phrases in found.items()}
 
 
 @lru_cache(maxsize=1)
@@ -80,7 +113,7 @@ def _automaton():
     for kind, phrases in _phrases().items():
         for p in phrases:
             words.setdefault(p, set()).add(kind)
-    for p in (*WEAK["latin"], *WEAK["other"]):
+    for p in map(fold, (*WEAK["latin"], *WEAK["other"], *OTHER_WEAK)):
         words.setdefault(p, set())
     for p, kinds in words.items():
         a.add_word(p, (len(p), tuple(sorted(kinds))))
@@ -94,22 +127,36 @@ _LINE = re.compile("[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+")
 _PASSAGE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|\s\|\s?|\t+")
 
 
+#: What slots open with or hold, in folded text.
+_OPENERS = ("{", "%", "[[", "<<", "<%", "@@", "____", "xxxx", "〇〇〇", "○○○", "◯◯◯", "???", "tbd-", "記入", "入力", *(f"{b}{w}" for b in "[<" for w in ("insert", "your", "enter", "add", "fill", "type", "put", "select", "choose", "replace")))
+_TELLING, _MOCKING, _OPENING_SLOT = 1, 2, 4
+
+
 @lru_cache(maxsize=1)
 def _tells():
-    """Only what makes a passage worth a closer look: telling phrases, and words of mock text (marked by None)."""
+    """Only what makes a text worth a closer look: telling phrases, words of mock text, and openings of slots."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
+    found: dict[str, int] = {}
     for phrases in _phrases().values():
         for p in phrases:
-            a.add_word(p, (len(p), False))
+            found[p] = found.get(p, 0) | _TELLING
     for w in (*_MOCK.split("|"), "asdf", "qwer", "zxcv", "hjkl", "uiop", "foo bar"):
         if len(w) > 3:
-            a.add_word(w, (len(w), True))
+            found[w] = found.get(w, 0) | _MOCKING
+    for w in _OPENERS:
+        found[w] = found.get(w, 0) | _OPENING_SLOT
+    for w, what in found.items():
+        a.add_word(w, (len(w), what))
     a.make_automaton()
     return a
 
 
+#: A name in capitals and brackets (`[FIRST_NAME]`), which the automaton can't open on.
+_CAPITALS = re.compile(r"(?<![\w\])])\[[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\](?![\[(:])")
+
+
 class _Plain(dict):
     """Letters that look like Latin ones as these, accents off; worked out once a character."""
 
@@ -128,11 +175,15 @@ _KATAKANA_NO = re.compile("(?<![ァ-ヶー])ノ|ノ(?![ァ-ヶー])")
 
 
 def _clean(text: str) -> str:
+    if text.isascii():
+        return text
     return _HIDDEN.sub("", unicodedata.normalize("NFKC", re.sub("\u2028|\u2029|\x85", "\n", text)))
 
 
 def fold(text: str) -> str:
     """NFKC and lower case, look-alike letters as plain ones, nothing invisible; line ends stay."""
+    if text.isascii():
+        return text.lower()
     t = unicodedata.normalize("NFC", _clean(text).lower())
     return t if t.isascii() else _KATAKANA_NO.sub("の", t.translate(_plain_letters))
 
@@ -168,7 +219,7 @@ _SLOT = re.compile(
     r"(?P<jinja>\{\{[^{}()'\"|]+\}\})|(?P<dollar>\$\{\s*+[^{}\s]+\s*+\})|(?P<printf>%\([^()\s]+\)s)|(?P<hash>#\{[^{}]+\})|(?P<square>\[\[[^\[\]]+\]\])|(?P<angle><<[^<>]+>>)"
     r"|(?P<erb><%=[^<>%]+%>)|(?P<at>@@[^@\s]+@@)|(?P<percent>%[A-Z一-鿿ぁ-ヿ][A-Z0-9_一-鿿ぁ-ヿ]+%)|(?P<brace>(?<![A-Za-z0-9_$#%{\\])\{[^\S\n]*+[^\W\d_](?:[\w ]|\n(?=[^\S\n]*\w))*+[^\S\n]*+\}(?!\}))"
     r"|(?P<ask>[\[<](?:insert|your|enter|add|fill in|fill|type|put|select|choose|replace)\b[^\[\]<>]*[\]>])|(?P<blank>_{4,}|(?<![A-Za-z])X{4}(?![A-Za-z])|[〇○◯]{3,}|\?\?\?-\?\?\?|(?<![A-Za-z])TBD-TBD(?![A-Za-z]))"
-    r"|(?P<japanese>[(（【\[［][^()（）【】\[\]［］]*(?:[にを要未]\n?記入|[にを要]\n?入力)[^()（）【】\[\]［］]{0,12}[)）】\]］])",
+    r"|(?P<japanese>[(（【\[［][^()（）【】\[\]［］]*(?:[にを要未]\n?記入|[にを要]\n?入力)[^()（）【】\[\]［］]*[)）】\]］])",
     re.I,
 )
 #: What any slot has somewhere; lines without it are passed over.
@@ -224,7 +275,7 @@ def unfilled_slots(text: str) -> list[str]:
 
 #: Filler that needs no words around it: one unit over and over, keyboard rows, mock Latin.
 _MOCK = "lorem|ipsum|dolor|amet|arcu|velit|quis|porta|nunc|magna|tellus|eros|sit|elit|consectetur|adipiscing|sed|eiusmod|tempor|incididunt|labore|dolore|aliqua|vestibulum|curabitur|enim|minim|veniam|nisi|fusce|donec|viverra"
-_WORDS = r"(?P<word>(?<![^\W_])(?P<w>[^\W\d_]{2,12}+)(?:[\s,]+(?P=w)(?![^\W_])){3,}[.]?)"
+_WORDS = r"(?P<word>(?<![^\W_])(?P<w>[^\W\d_]{2,}+)(?:[\s,]+(?P=w)(?![^\W_])){3,}[.]?)"
 _KANA = r"(?P<letter>(?P<l>[ぁ-んァ-ンー])(?P=l){6,})|(?P<unit>(?P<u>[ぁ-んァ-ヶー一-鿿]{2,8}?)(?P=u){2,})"
 _MARKED = r"(?P<mark>(?<![^\W_])x{5,}(?:\s+x{3,})*(?![^\W_])|[●○■□◆◇]{5,}(?:\s*[●○■□◆◇x]{3,})*)"
 _MOCKS = (
@@ -251,8 +302,24 @@ def _repeats(s: str) -> bool:
     return any(re.match(rf"{_SIGN}|\d", chr(c)) for c in set(cp[fives].tolist())) if len(fives) else False
 
 
-#: The parts of one pattern that a text can need: its Japanese, its marks, its repeated signs, its mock words.
-_RUNS = {n: re.compile("|".join([_WORDS, *(part for part, has in zip((_KANA, _MARKED, _REPEATED, _MOCKS), n) if has)])) for n in product((False, True), repeat=4)}
+#: The parts of one pattern that a text can need: its repeated words, its Japanese, its marks, its repeated signs, its mock words.
+@lru_cache(maxsize=None)
+def _runs(*has: bool) -> re.Pattern | None:
+    parts = [part for part, h in zip((_WORDS, _KANA, _MARKED, _REPEATED, _MOCKS), has) if h]
+    return re.compile("|".join(parts)) if parts else None
+
+
+def _periodic(line: str) -> bool:
+    """Whether a line is one unit with letters at least three times over, whatever the unit's length. A sentence said again is none."""
+    line = line.strip()
+    if len(line) < 27 or line[: len(line) // 3] not in line[len(line) // 3 :]:
+        return False
+    if line[0] == line[(len(line) + 1) // 3] and " " in line:
+        line += " "  # units with blanks between them
+    at = (line + line).find(line, 1)
+    return 8 < at <= len(line) // 3 and sum(c.isalpha() for c in line[:at]) > 4 and not re.search("[.!?。！？]", line)
+
+
 #: Machine-made replies, which are passages of their own wherever they stand.
 _REPLY = re.compile(r"(<noscript\b.*?</noscript>|<!doctype html.*?</html>|<html\b.*?</html>|\{\s*\"error\"\s*:.*?\}\s*\})", re.S)
 
@@ -271,23 +338,34 @@ def residue(text: str | None) -> tuple[list[str], float]:
     """The kinds of residue in a text (slot, filler, error, script) and the share of its letters in such passages."""
     if not text:
         return [], 0.0
-    kinds: set[str] = {"slot"} if unfilled_slots(text) else set()
     folded = fold(text)
-    telling = mock = False
-    for last, (size, is_mock) in _tells().iter(folded):
-        if _whole(folded, last - size + 1, last):
-            mock |= is_mock
-            telling |= not is_mock
+    kinds: set[str] = set()
+    what = n_telling = 0
+    for last, (size, signs) in _tells().iter(folded):
+        if signs == _OPENING_SLOT:
+            what |= signs
+        elif _whole(folded, last - size + 1, last):
+            what |= signs
+            n_telling += signs & _TELLING
+    telling, mock = what & _TELLING, bool(what & _MOCKING)
+    if what & _OPENING_SLOT and unfilled_slots(text) or "[" in text and "_" in text and _CAPITALS.search(_clean(text)):
+        kinds.add("slot")
     parts, at, covered = [], 0, 0
-    marks = any(x in folded for x in _MARKS)
-    for m in _RUNS[not folded.isascii(), marks, _repeats(folded), mock].finditer(folded):
+    words = folded.replace(",", " ").split()
+    again = any(len(w) > 1 and w.isalpha() for w in compress(words, map(str.__eq__, words, words[1:])))
+    pattern = _runs(again, not folded.isascii(), any(x in folded for x in _MARKS), _repeats(folded), mock)
+    for m in pattern.finditer(folded) if pattern else ():
         kinds.add("filler")
         covered += sum(c.isalpha() for c in m.group(0))
         parts.append(folded[at : m.start()])
         at = m.end()
     parts.append(folded[at:])
-    if telling or mock:  # passages of a text without a telling phrase need no look
-        for line in _LINE.split("\n".join(parts)):
+    rest = "\n".join(parts)
+    for line in _LINE.split(rest):
+        if _periodic(line):
+            kinds.add("filler")
+            covered += sum(c.isalpha() for c in line)
+        elif telling or mock:  # passages of a text without a telling phrase need no look
             for p in _passages(line):
                 n = sum(c.isalpha() for c in p)
                 if n < 3:
@@ -296,6 +374,11 @@ def residue(text: str | None) -> tuple[list[str], float]:
                 if tells and share >= MIN_COVERAGE:
                     kinds |= tells
                     covered += n
+    if n_telling >= MIN_TELLING and not kinds:
+        share, tells = _covered(rest)
+        if share >= MIN_DOCUMENT_COVERAGE:
+            kinds |= tells
+            covered = int(share * sum(c.isalpha() for c in folded))
     if not kinds:
         return [], 0.0
     total = sum(c.isalpha() for c in folded)

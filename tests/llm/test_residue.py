@@ -65,3 +65,33 @@ def test_long_and_broken_slots(text):
 @pytest.mark.parametrize("text", ["by [insert\n\ndue date].", "{{ first\n\nname }}", "else {\n  leave\n}", "see `{{ a\nb }}` here", "[[" + "a" * 50, "{" + " " * 50_000 + "\n", "#{" + " " * 50_000, "({" * 20_000 + "\n" + "[<" * 20_000])
 def test_no_slot_over_paragraphs(text):
     assert unfilled_slots(text) == []
+
+
+LANGUAGES = [
+    ("error", "Seite nicht gefunden. Die angeforderte Seite konnte nicht gefunden werden."), ("error", "Zugriff verweigert. Sie haben keine Berechtigung für diese Seite."), ("error", "Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an."), ("script", "Bitte aktivieren Sie JavaScript, um fortzufahren."), ("filler", "Dies ist ein Blindtext."),
+    ("error", "Page introuvable. La page demandée est introuvable."), ("error", "Accès refusé"), ("error", "Une erreur est survenue. Veuillez réessayer plus tard."), ("script", "Veuillez activer JavaScript pour continuer."), ("filler", "Texte de remplissage"),
+    ("error", "Página no encontrada"), ("error", "Ha ocurrido un error. Inténtelo de nuevo más tarde."), ("error", "Su sesión ha caducado. Inicie sesión de nuevo."), ("script", "Por favor, habilite JavaScript en su navegador."), ("error", "Pagina non trovata"), ("error", "Acesso negado"), ("error", "Er is een fout opgetreden. Probeer het later opnieuw."),
+    ("error", "Страница не найдена"), ("error", "Доступ запрещён"), ("error", "抱歉，您访问的页面不存在。"), ("error", "服务器内部错误，请稍后再试。"), ("script", "请启用 JavaScript 以继续浏览此网站。"), ("error", "죄송합니다. 요청하신 페이지를 찾을 수 없습니다."), ("error", "세션이 만료되었습니다. 다시 로그인해 주세요."), ("script", "이 사이트를 이용하려면 JavaScript를 활성화하세요."),
+    ("script", "Your browser does not support JavaScript."), ("error", "Whoops, looks like something went wrong."), ("slot", "Dear [FIRST_NAME], the packet is ready."), ("slot", "（判定を変えた理由を記入してから、根拠の行番号もあわせて必ずこの欄に書くこと）"),
+    ("filler", "documentation documentation documentation documentation documentation"), ("filler", "ここにはまだ何も書かれていない文 ここにはまだ何も書かれていない文 ここにはまだ何も書かれていない文"),
+]
+
+
+@pytest.mark.parametrize(("kind", "text"), LANGUAGES)
+def test_other_languages_and_any_length(kind, text):
+    assert kind in residue(text)[0] and kind in residue(NOTE + "\n" + text)[0]
+
+
+@pytest.mark.parametrize("text", [
+    "Der Link im Paket ergab nur »Seite nicht gefunden«, daher habe ich die Zeilen 3 bis 9 aus dem Klon gelesen.", "Le prestataire a répondu « accès refusé » jusqu'à ce que le rôle reader_1 reçoive un droit sur fct_orders.", "El informe cuenta doce páginas no encontradas y tres sesiones caducadas durante la carga de mayo.", "审核员报告说，在五月的加载过程中有十二个请求因为服务器内部错误而失败，之后全部重试成功。",
+    "审查说明第三节提到，链接打开后显示页面不存在，因此引用了本地副本。", "보고서에 따르면 5월 적재 중 열두 건의 요청이 서버 오류로 실패했으나 모두 다시 성공했다.", "see [MAX_ROWS](docs) and a[MAX_ROWS] and [MAX_ROWS]: 5", "比率は分けて割る。比率は分けて割る。比率は分けて割る。比率は分けて割る。", "| active | active | active | active |", "12% of rows, 13 %d",
+])
+def test_reports_in_other_languages_are_kept(text):
+    assert residue(text)[0] == []
+
+
+def test_coverage_of_the_whole_document():
+    page = "Internal server error, zone kfw eight\nService unavailable at node qxv\nTry again later, refresh the page or go back home"
+    kinds, share = residue(page)
+    assert kinds == ["error"] and share >= 0.7
+    assert residue(NOTE * 3 + "\n" + page)[0] == []  # amid content a passage must be covered by itself
