@@ -1,10 +1,11 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer, word by distinct word.
 
-Spark splits every text into the words that the tokenizer's own pattern gives; each distinct
-word of the corpus is encoded once into a table (word, ids); ids are joined back by position.
-The most frequent words, a bounded number of bounded length, travel to the workers as a
-dictionary, so only rare words meet the table in a shuffle join. Decoding goes the other way
-through a join with the table of ids and their pieces.
+Spark splits every text once into the words that the tokenizer's own pattern gives. A word that
+is a piece of the vocabulary is its own encoding; each other distinct word of the corpus is
+encoded once into a table (word, ids), and ids are joined back by position. The most frequent
+words of that table, a bounded number of bounded length, travel to the workers as a dictionary,
+so only rare words meet the table in a shuffle join. Decoding goes the other way through a join
+with the table of ids and their pieces.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +27,9 @@ from tallyforge.session import cut, ship, spread
 TOKENIZERS = os.environ.get("TALLYFORGE_TOKENIZERS", "/opt/tokenizers")
 RANKS = "byte_bpe_50k.tiktoken"
 
-#: The tokenizer's split pattern in Java's dialect: white space spelled out, as Java's \s is ASCII only.
+#: The tokenizer's split pattern in Java's dialect, the commonest words first: white space spelled out, as Java's \s is ASCII only.
 _S = r"\t\n\x0B\f\r \x85\xA0  -     　"
-WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+WORD_PATTERN = rf" ?\p{{L}}++|'(?:s|t|re|ve|m|ll|d)| ?(?:\p{{N}}++|[^{_S}\p{{L}}\p{{N}}]++)|[{_S}]+(?![^{_S}])|[{_S}]++"
 #: The same for Python's regex library, whose tables are newer than Java's.
 _PY_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -58,13 +58,17 @@ def _splitter(folder: str):
     return Tokenizer.from_file(os.path.join(folder, "byte_bpe_50k.json")).pre_tokenizer
 
 
-def _newer_words(folder: str):
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        pre = _splitter(folder)
-        return texts.map(lambda t: None if t is None else [t[a:b] for _, (a, b) in pre.pre_tokenize_str(t)])
+def _newer(text: Column) -> Column:
+    """Whether a text has characters newer than Java's tables, so that the tokenizer itself must split it."""
+    return F.coalesce(text.rlike(r"\p{Cn}"), F.lit(False))
 
-    return split
+
+def _by_java(text: Column) -> Column:
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.array().cast("array<string>"))
+
+
+def _by_tokenizer(text: str, folder: str) -> list[str]:
+    return [text[a:b] for _, (a, b) in _splitter(folder).pre_tokenize_str(text)]
 
 
 def words(text: Column, folder: str = TOKENIZERS) -> Column:
@@ -72,12 +76,53 @@ def words(text: Column, folder: str = TOKENIZERS) -> Column:
 
     Java splits; a text with characters newer than Java's tables is split by the tokenizer itself.
     """
-    newer = text.rlike(r"\p{Cn}")
-    return F.when(newer, _newer_words(folder)(F.when(newer, text))).otherwise(F.coalesce(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), F.array().cast("array<string>")))
+    split = F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else _by_tokenizer(t, folder)), "array<string>")
+    return F.when(_newer(text), split(F.when(_newer(text), text))).otherwise(_by_java(text))
+
+
+@lru_cache(maxsize=4)
+def _whole_pieces(folder: str) -> tuple[pa.Array, np.ndarray]:
+    """The words that are pieces of the vocabulary, and their ids; a fixed size."""
+    enc = encoder(folder)
+    found = []
+    for piece in ranks(folder):
+        try:
+            word = piece.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        ids = enc.encode_ordinary(word)
+        if len(ids) == 1:
+            found.append((word, ids[0]))
+    return pa.array([w for w, _ in found], pa.string()), np.array([i for _, i in found], np.int32)
+
+
+def _split(folder: str):
+    """Rows of words into rows of ids, -1 where a word is no piece, and those words in order."""
+
+    def look_up(b: pa.RecordBatch, lists: pa.Array) -> pa.RecordBatch:
+        known, ids = _whole_pieces(folder)
+        flat = lists.flatten().cast(pa.string())
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        at = pc.fill_null(pc.index_in(flat, value_set=known), len(known)).to_numpy(zero_copy_only=False)
+        cold = np.flatnonzero(at == len(known))
+        offsets = lambda x: pa.array(x.astype(np.int32))
+        found = [pa.ListArray.from_arrays(offsets(upto), pa.array(np.append(ids, np.int32(-1))[at])), pa.ListArray.from_arrays(offsets(np.searchsorted(cold, upto)), flat.take(pa.array(cold)))]
+        return pa.RecordBatch.from_arrays([b.column("row_no"), b.column("doc_id"), *found], names=["row_no", "doc_id", "ids", "cold"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            newer = pc.is_valid(b.column("newer"))
+            if pc.any(newer).as_py():
+                rest = b.filter(newer)
+                yield look_up(rest, pa.array([_by_tokenizer(t, folder) for t in rest.column("newer").to_pylist()], pa.list_(pa.string())))
+                b = b.filter(pc.invert(newer))
+            yield look_up(b, b.column("words"))
+
+    return run
 
-def word_table(docs: DataFrame, text: str, folder: str = TOKENIZERS) -> DataFrame:
-    """Every distinct word of the corpus, how often it occurs, and its ids, encoded once."""
+
+def word_table(split: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
+    """Every distinct word that is no piece, how often it occurs, and its ids, encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder)
@@ -85,7 +130,7 @@ def word_table(docs: DataFrame, text: str, folder: str = TOKENIZERS) -> DataFram
             ids = [enc.encode_ordinary(w) for w in b.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    counted = docs.select(F.explode(words(F.col(text), folder)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = split.select(F.explode("cold").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return counted.mapInArrow(encode, "word string, n bigint, ids array<int>")
 
 
@@ -97,8 +142,8 @@ def _hot(table: DataFrame, spark: SparkSession):
     return spark.sparkContext.broadcast(([r.word for r in top], lens, vals))
 
 
-def _segments(hot, carried: list[str]):
-    """Rows of words into rows of ids: one a run of known words, one a word that isn't known."""
+def _segments(hot):
+    """Split rows into rows of ids: one a run of known words, one a word that is neither piece nor hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lens, vals = hot.value
@@ -106,61 +151,85 @@ def _segments(hot, carried: list[str]):
         starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
         known = pa.array(known, pa.string())
         for b in batches:
-            lists = b.column("words")
-            flat = lists.flatten().cast(pa.string())
+            lists = b.column("ids")
+            own = lists.flatten().to_numpy(zero_copy_only=False)
+            flat = b.column("cold").flatten()
             n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             doc = np.repeat(np.arange(len(lists)), n_words)
+            # a piece's id lies behind the hot words' ids, at the word's own place
+            n, begin = np.ones(len(doc), np.int64), len(vals) + np.arange(len(doc))
+            asked = np.flatnonzero(own < 0)
             at = pc.fill_null(pc.index_in(flat, value_set=known), len(known)).to_numpy(zero_copy_only=False).astype(np.int64)
-            cold = at == len(known)
+            n[asked], begin[asked] = lens[at], starts[at]
+            cold = np.zeros(len(doc), bool)
+            cold[asked[at == len(known)]] = True
+            nth = np.cumsum(own < 0) - 1  # of the asked words, for the cold ones
             first = np.ones(len(doc), bool)
             first[1:] = (doc[1:] != doc[:-1]) | cold[1:] | cold[:-1]
             head = np.flatnonzero(first)
-            n = lens[at]
             upto = np.concatenate([[0], np.cumsum(n)])
-            src = np.repeat(starts[at] - upto[:-1], n) + np.arange(upto[-1])
-            ids = vals[src] if len(vals) else np.zeros(0, np.int32)
+            src = np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])
+            ids = np.concatenate([vals, own])[src].astype(np.int32)
             whole = np.bincount(doc[cold], minlength=len(lists)) == 0
             # a text without words still has a row
             none = np.flatnonzero(n_words == 0)
             offsets = np.concatenate([upto[head], [upto[-1]] * (len(none) + 1)]).astype(np.int32)
             owner = np.concatenate([doc[head], none])
             pos = np.concatenate([head, np.zeros(len(none), np.int64)])
-            word = pa.array(np.concatenate([np.where(cold[head], head, 0), np.zeros(len(none), np.int64)]), mask=np.concatenate([~cold[head], np.ones(len(none), bool)]))
+            word = pa.array(np.concatenate([np.where(cold[head], nth[head], 0), np.zeros(len(none), np.int64)]), mask=np.concatenate([~cold[head], np.ones(len(none), bool)]))
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[b.column(c).take(take) for c in carried],
-                    pa.array(pos),
-                    flat.take(word),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())),
-                    pa.array(whole[owner]),
-                ],
-                names=[*carried, "pos", "word", "ids", "whole"],
+                [b.column("row_no").take(take), b.column("doc_id").take(take), pa.array(pos), flat.take(word), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())), pa.array(whole[owner])],
+                names=["row_no", "doc_id", "pos", "word", "ids", "whole"],
             )
 
     return run
 
 
+#: Rows of one long word beyond which the join with it is spread over several keys.
+ROWS_PER_SALT = 100_000
+
+
+def _joined(rare: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of words with their ids. Frequent words too long for the dictionary are salted.
+
+    Their list is short, as a word on it has more than ``ROWS_PER_SALT`` rows, and holds hashes
+    instead of words; words that share a hash are salted alike.
+    """
+    key = F.xxhash64("word")
+    long = table.where((F.octet_length("word") > HOT_BYTES) & (F.col("n") > ROWS_PER_SALT))
+    salts = long.groupBy(key.alias("h")).agg(F.ceil(F.max("n") / ROWS_PER_SALT).cast("int").alias("salts"))
+    salts = cut(salts, "long-words")
+    if salts.isEmpty():
+        return rare.join(table.select("word", "ids"), "word").select("row_no", "doc_id", "pos", "ids")
+    spread_rows = rare.withColumn("h", key).join(salts, "h", "left").withColumn("salt", F.pmod(F.xxhash64("row_no", "pos"), F.coalesce("salts", F.lit(1))).cast("int"))
+    copies = table.select("word", "ids", key.alias("h")).join(salts, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    return spread_rows.join(copies.select("word", "salt", F.col("ids")), ["word", "salt"]).select("row_no", "doc_id", "pos", "ids")
+
+
 def encode_corpus(docs: DataFrame, doc_id: str, text: str, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, ids): the token ids of every row's text, taken exactly as stored, without special tokens.
 
     Null and empty texts have an empty list. One row comes out for every row that goes in, repeated
     and null ids included; other columns are left out, so none can clash. Strings of special
-    tokens in a text are ordinary text. A text of any length is one row. The word table and the
-    ids of known words are written once to the shared folder, so a lost executor costs no rework
-    beyond its own tasks.
+    tokens in a text are ordinary text. A text of any length is one row. Every text is split
+    once; the split texts, the word table and the ids of known words are written to the shared
+    folder, so a lost executor costs no rework beyond its own tasks.
     """
     spark = docs.sparkSession
     ship(spark)
     src = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    table = cut(word_table(src, "text", folder), "words")
-    hot = _hot(table, spark)
-    rows = src.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", words(F.col("text"), folder).alias("words"))
     kind = dict(src.dtypes)["doc_id"]
-    done = cut(rows.mapInArrow(_segments(hot, ["row_no", "doc_id"]), f"row_no bigint, doc_id {kind}, pos bigint, word string, ids array<int>, whole boolean"), "segments")
-    # row numbers are fixed by now, as the table is written
+    body = F.col("text")
+    rows = src.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", _newer(body).alias("is_newer"), "text")
+    rows = rows.select("row_no", "doc_id", F.when(F.col("is_newer"), body).alias("newer"), F.when(~F.col("is_newer"), _by_java(body)).alias("words"))
+    # row numbers are fixed once the table is written
+    split = cut(rows.mapInArrow(_split(folder), f"row_no bigint, doc_id {kind}, ids array<int>, cold array<string>"), "split")
+    table = cut(word_table(split, folder), "words")
+    hot = _hot(table, spark)
+    done = cut(spread(split).mapInArrow(_segments(hot), f"row_no bigint, doc_id {kind}, pos bigint, word string, ids array<int>, whole boolean"), "segments")
     rest = done.where(~F.col("whole"))
-    rare = rest.where(F.col("word").isNotNull()).select("row_no", "doc_id", "pos", "word").join(table.select("word", "ids"), "word").select("row_no", "doc_id", "pos", "ids")
+    rare = _joined(rest.where(F.col("word").isNotNull()).select("row_no", "doc_id", "pos", "word"), table)
     parts = rest.where(F.col("word").isNull()).select("row_no", "doc_id", "pos", "ids").unionByName(rare)
     joined = parts.groupBy("row_no", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
     joined = joined.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"))

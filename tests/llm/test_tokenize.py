@@ -10,7 +10,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="the vocab
 
 TEXTS = [
     None, "", " ", "   \n\n  x", "hello world", "it's they'll I'D 'S", "tabs\t\tand\r\nlines", "日本語の文章、2024年。", "½ ２ Ⅷ ³", "naïve façade", "👩‍💻🇯🇵 📎", "​zero nbsp　wide", "<|endoftext|> is text", "a\u0000b",
-    "xࡰࡱ ࡲ new letters \U0001e4d0 \U000323b0", "あ" * 30_000, "word " * 20_000, "x" * 50_000, "1" * 3_000, "!?" * 2_000, " lead", "trail ", "﻿BOM",
+    "xࡰࡱ ࡲ new letters \U0001e4d0 \U000323b0", "あ" * 30_000, "word " * 20_000, "x" * 50_000, *["a" + "xyz" * 100 + f" {i} zzqj" for i in range(5)], "1" * 3_000, "!?" * 2_000, " lead", "trail ", "﻿BOM",
 ]
 
 
@@ -28,9 +28,10 @@ def docs(spark):
     return spark.createDataFrame(data, "doc_id bigint, text string, row_no string").withColumn("ids", F.lit(1)).repartition(3)
 
 
-@pytest.mark.parametrize("hot", [0, 3, tokenize.HOT_WORDS])
-def test_ids_are_the_tokenizers(spark, docs, reference, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "salt"), [(0, 2), (3, 100_000), (tokenize.HOT_WORDS, 1)])
+def test_ids_are_the_tokenizers(spark, docs, reference, monkeypatch, hot, salt):
     monkeypatch.setattr(tokenize, "HOT_WORDS", hot)
+    monkeypatch.setattr(tokenize, "ROWS_PER_SALT", salt)  # long words that occur more often are salted
     got = sorted(((r.doc_id, list(r.ids)) for r in encode_corpus(docs, "doc_id", "text").collect()), key=str)
     want = sorted([(i, reference(t)) for i, t in enumerate(TEXTS)] + [(4, reference("hello world")), (None, reference("no id"))], key=str)
     assert got == want
