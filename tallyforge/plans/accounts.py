@@ -14,7 +14,11 @@ RECORD = ("account_id", "revenue_month", "line_no")
 
 def history(spark: SparkSession, folder: str) -> DataFrame:
     """Versions of plan_type and status of every account: (account_id, plan_type, status, valid_from, valid_to, newest)."""
-    snaps = table(spark, folder, "account_master")
+    return versions_of(table(spark, folder, "account_master"))
+
+
+def versions_of(snaps: DataFrame) -> DataFrame:
+    """The same of the snapshots given."""
     versions = build_history(
         snaps,
         key=account_key(F.col("account_id")),

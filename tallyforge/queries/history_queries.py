@@ -13,11 +13,11 @@ from tallyforge.functions.normalize import account_key, iso, month_from_no, mont
 from tallyforge.operators import late, orphans
 from tallyforge.operators.asof import as_known
 from tallyforge.operators.dedupe import keep_last
-from tallyforge.operators.history import snapshot_calendar
+from tallyforge.operators.history import merge_snapshot, snapshot_calendar
 from tallyforge.operators.rolling import borne_out, trailing_totals
 from tallyforge.operators.snapshot_diff import diff_pairs
 from tallyforge.operators.units import to_yen
-from tallyforge.plans.accounts import history, revenue_rows
+from tallyforge.plans.accounts import history, revenue_rows, versions_of
 from tallyforge.queries.dirty_sql import REVENUE, VERSIONS, day
 from tallyforge.session import cut
 from tallyforge.sources.tables import table
@@ -95,6 +95,17 @@ def _months_with_plan(spark: SparkSession, d: str) -> DataFrame:
     return as_known(months, versions, "account_id", "revenue_month", "valid_from", ["plan_type", "newest", "known"], valid_to="valid_to", keep=["n_rows"], bounded=True, rows=_n_rows(spark, d))  # a row a month at most
 
 
+def p2_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The same history by one merge step: what was stored before the newest snapshot, and that snapshot."""
+    snaps = table(spark, d, "account_master").where(F.col("as_of_date").isNotNull())
+    newest = snaps.where(account_key(F.col("account_id")).isNotNull()).agg(F.max("as_of_date")).first()[0] or date(1970, 1, 1)
+    stored = cut(versions_of(snaps.where(F.col("as_of_date") < F.lit(newest))), "history")
+    attributes = {"plan_type": word(F.col("plan_type")), "status": word(F.col("status"))}
+    arrived = keep_last(snaps.where((F.col("as_of_date") == F.lit(newest)) & account_key(F.col("account_id")).isNotNull()), {"key": account_key(F.col("account_id"))}, [F.col("loaded_at")], attributes)
+    after = merge_snapshot(stored.withColumnRenamed("account_id", "key"), arrived, F.lit(newest), list(attributes), ("plan_type",))
+    return after.select(F.col("key").alias("account_id"), "plan_type", "status", iso(F.col("valid_from")).alias("valid_from"), iso(F.col("valid_to")).alias("valid_to"))
+
+
 def _n_rows(spark: SparkSession, d: str) -> int:
     """Rows of both tables, from their files' footers."""
     return table(spark, d, "revenue_monthly").count() + table(spark, d, "account_master").count()
@@ -238,7 +249,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_rolling": p1_report, "p1_found": p1_found, "p2_history": p2_history, "p2_found": p2_found, "p3_asof": p3_asof, "p3_found": p3_found, "p3_recorded": p3_recorded, "p4_triangle": p4_triangle, "p4_found": p4_found,
+    "p1_rolling": p1_report, "p1_found": p1_found, "p2_history": p2_history, "p2_found": p2_found, "p2_merged": p2_merged, "p3_asof": p3_asof, "p3_found": p3_found, "p3_recorded": p3_recorded, "p4_triangle": p4_triangle, "p4_found": p4_found,
     "p5_report": p5_report, "p5_found": p5_found, "p5_current": p5_current, "p6_found": p6_found, "p7_amounts": p7_amounts, "p7_found": p7_found,
 }
 
@@ -274,6 +285,7 @@ ORACLE: dict[str, str] = {
     "p1_rolling": f"WITH {REVENUE}, {VERSIONS}, {_SPINE} SELECT account_id, {day('revenue_month')} AS revenue_month, CAST(n AS BIGINT) AS n_records, {_trailing('yen', 3)}, {_trailing('yen', 12)}, {_trailing('messages', 3)}, {_trailing('messages', 12)} FROM dense",
     "p1_found": f"WITH {REVENUE}, {VERSIONS}, {_SPINE} SELECT account_id, {day('revenue_month')} AS revenue_month FROM dense WHERE n = 0",
     "p2_history": f"WITH {VERSIONS} SELECT account_id, plan_type, status, {day('valid_from')} AS valid_from, {day('valid_to')} AS valid_to FROM versions",
+    "p2_merged": f"WITH {VERSIONS} SELECT account_id, plan_type, status, {day('valid_from')} AS valid_from, {day('valid_to')} AS valid_to FROM versions",
     "p2_found": f"WITH {VERSIONS} SELECT account_id, {day('valid_from')} AS valid_from, {day('valid_to')} AS valid_to FROM versions",
     "p3_asof": f"WITH {REVENUE}, {VERSIONS}, m AS (SELECT account_id, CAST(date_trunc('month', revenue_month) AS DATE) AS revenue_month, count(*) AS n_rows FROM rev0 GROUP BY 1, 2) SELECT m.account_id, {day('m.revenue_month')} AS revenue_month, n_rows, plan_type, {day('valid_from')} AS known_from FROM m LEFT JOIN versions v ON m.account_id = v.account_id AND m.revenue_month >= valid_from AND m.revenue_month < valid_to",
     "p3_found": f"WITH {REVENUE}, {VERSIONS}, m AS (SELECT DISTINCT account_id, revenue_month FROM rev) SELECT m.account_id, {day('m.revenue_month')} AS revenue_month, v.plan_type FROM m JOIN versions v ON m.account_id = v.account_id AND m.revenue_month >= v.valid_from AND m.revenue_month < v.valid_to JOIN versions z ON z.account_id = m.account_id AND z.newest WHERE v.plan_type IS DISTINCT FROM z.plan_type",

@@ -219,22 +219,23 @@ def _(spark, d):
     return read.withColumn("revenue_month", F.date_format("revenue_month", "yyyy-MM-dd"))
 
 
-_TREE = {"models/staging/stg_a.sql": "select cast(x as number(12,2)) as x\nfrom a", "models/b.sql": "select 1 as one", "models/notes.md": "no model"}
+def _models(spark, d, changed: bool = False) -> str:
+    """The model SQL among the documents as a tree of files, `project=…/doc_id=…/part-…`, written by the executors; with ``changed`` as a later state of it."""
+    path = place(spark, "models")
+    rows = table(spark, d, "documents").where("doc_type = 'sql' and text is not null and project is not null")
+    if changed:
+        rows = rows.where("updated_at is not null").withColumn("text", F.when(F.col("lang").isNull(), F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    rows.select("project", "doc_id", "text").write.partitionBy("project", "doc_id").text(path)
+    return path
 
 
-def _tree(spark) -> str:
-    path = place(spark, "tree")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name, body in _TREE.items():
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
-        out.write(bytearray(body.encode()))
-        out.close()
-    return path
+_MODELS_SQL = "documents WHERE doc_type = 'sql' AND text IS NOT NULL AND project IS NOT NULL"
+_DOC_ID = r"doc_id=(\d+)"
 
 
-@query("s9_text_tree", "SELECT * FROM (VALUES ('b.sql', 'select 1 as one'), ('stg_a.sql', 'select cast(x as number(12,2)) as x' || chr(10) || 'from a')) t(file, text)")
+@query("s9_text_tree", f"SELECT doc_id, text || chr(10) AS text FROM {_MODELS_SQL}")
 def _(spark, d):
-    return files.text_tree(spark, _tree(spark)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "text")
+    return files.text_tree(spark, _models(spark, d), "part-*").select(F.regexp_extract("path", _DOC_ID, 1).cast("bigint").alias("doc_id"), "text")
 
 
 @query("s10_rewrite", r"SELECT doc_id, regexp_replace(text, '(?i)\bsum\s*\(', 'total(', 'g') AS patched FROM documents WHERE text IS NOT NULL")
@@ -305,11 +306,11 @@ def _(spark, d):
     return files.markdown_rows(head.unionByName(rows), "line", cells).drop("cells")
 
 
-@query("s13_integrity", "SELECT * FROM (VALUES ('b.sql', true), ('missing.sql', false), ('notes.md', false), ('stg_a.sql', true)) t(file, ok)")
+@query("s13_integrity", f"WITH m AS (SELECT doc_id, sha256(text || chr(10)) AS expected, CASE WHEN updated_at IS NOT NULL THEN sha256(CASE WHEN lang IS NULL THEN text || ' ' ELSE text END || chr(10)) END AS actual FROM {_MODELS_SQL}) SELECT CAST(doc_id AS VARCHAR) AS file, expected, actual, coalesce(expected = actual, false) AS ok FROM m")
 def _(spark, d):
-    names = {k.rsplit("/", 1)[1]: files.digest(v) for k, v in _TREE.items()}
-    manifest = spark.createDataFrame([*[(k, "0" * 64 if k == "notes.md" else v) for k, v in names.items()], ("missing.sql", "0" * 64)], "file string, expected string")
-    return files.verify_manifest(spark, _tree(spark), manifest).select("file", "ok")
+    """The manifest of the models against a later state of the files: those without lang have a blank more, those without a date are gone."""
+    manifest = table(spark, d, "documents").where("doc_type = 'sql' and text is not null and project is not null").select(F.col("doc_id").cast("string").alias("file"), F.sha2(F.concat("text", F.lit("\n")), 256).alias("expected"))
+    return files.verify_manifest(spark, _models(spark, d, changed=True), manifest, _DOC_ID)
 
 
 @query("s14_result_table", "WITH a AS (SELECT o_orderstatus, CAST(count(*) AS VARCHAR) AS n FROM orders GROUP BY 1), w AS (SELECT greatest(13, max(length(o_orderstatus))) AS w0, greatest(1, max(length(n))) AS w1 FROM a), r AS (SELECT 0 AS no, 'o_orderstatus' AS c0, 'n' AS c1, ' ' AS p UNION ALL SELECT 1, '-', '-', '-' UNION ALL SELECT row_number() OVER (ORDER BY o_orderstatus) + 1, o_orderstatus, n, ' ' FROM a) SELECT CAST(no AS INTEGER) AS no, rpad(c0, CAST(w0 AS INTEGER), p) || '  ' || rpad(c1, CAST(w1 AS INTEGER), p) AS line FROM r, w")
@@ -454,10 +455,10 @@ def _(spark, d):
     return files.check_manifest(manifest, later.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("actual")), "doc_id")
 
 
-@query("o2_sorted_files", "SELECT * FROM (VALUES (1, 'b.sql'), (2, 'stg_a.sql')) t(no, file)")
+@query("o2_sorted_files", f"SELECT CAST(row_number() OVER (ORDER BY 'project=' || project || '/doc_id=' || doc_id) AS INTEGER) AS no, doc_id FROM {_MODELS_SQL}")
 def _(spark, d):
-    paths = files.text_tree(spark, _tree(spark)).select("path")
-    return paths.select(F.row_number().over(Window.orderBy("path")).alias("no"), F.element_at(F.split("path", "/"), -1).alias("file"))
+    paths = files.text_tree(spark, _models(spark, d), "part-*").select("path")
+    return paths.select(F.row_number().over(Window.orderBy("path")).alias("no"), F.regexp_extract("path", _DOC_ID, 1).cast("bigint").alias("doc_id"))
 
 
 @query("o3_draw_order", f"{_BOTH_SQL} SELECT CAST(substr(p.pair, 4) AS BIGINT) AS draw, p.pair, \"case\" FROM metric_pair p LEFT JOIN cases c ON p.pair = c.pair")

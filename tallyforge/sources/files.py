@@ -102,10 +102,13 @@ def sha256_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_extract("value", r"^([0-9a-fA-F]{64})\s+\*?(.+?)\s*$", 2).alias("file"), F.lower(F.regexp_extract("value", r"^([0-9a-fA-F]{64})\s+\*?(.+?)\s*$", 1)).alias("expected")).where(F.col("file") != "")
 
 
-def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(file, expected, actual, ok) of every file that the manifest names; a missing file has no actual digest."""
+def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame, name: str = r"([^/]+)$") -> DataFrame:
+    """(file, expected, actual, ok) of every file that the manifest names; a missing file has no actual digest.
+
+    ``name`` is the pattern whose group tells a file's name from its path, its last part unless given.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    actual = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("actual"))
+    actual = files.select(F.regexp_extract("path", name, 1).alias("file"), F.sha2("content", 256).alias("actual"))
     return manifest.join(actual, "file", "left").select("file", "expected", "actual", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)).alias("ok"))
 
 
