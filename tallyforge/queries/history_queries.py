@@ -27,6 +27,9 @@ COVERING = 3
 #: Rows of revenue_monthly to a hash bucket of the snapshot comparison.
 ROWS_PER_BUCKET = 20_000
 
+#: Keys over which the rows of one account and delivery are spread where they meet orphan instants, which are few.
+SALTS = 8
+
 _KEY = {"account_id": F.col, "revenue_month": F.col, "line_no": F.col, "snapshot_date": F.col}
 
 
@@ -181,7 +184,10 @@ def _orphan_rows(spark: SparkSession, d: str) -> DataFrame:
     series = _series(spark, d)  # rows and deltas both come out of it, by one exchange
     gone = orphans.orphan_instants(orphans.reference_deltas(series), _existence(spark, d)).select("key", F.col("at").alias("snapshot_date"), "reason")
     rows = series.select("key", "revenue_month", "line_no", F.explode("seen.at").alias("snapshot_date"))
-    return rows.join(gone, ["key", "snapshot_date"]).withColumnRenamed("key", "account_id")
+    # rows of one account and delivery may be very many: they meet their instant under several keys
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("revenue_month", "line_no"), F.lit(SALTS)).cast("int"))
+    gone = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(gone, ["key", "snapshot_date", "salt"]).drop("salt").withColumnRenamed("key", "account_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -121,12 +121,11 @@ def table_lines(df: DataFrame, order: list[str]) -> DataFrame:
 
     For results to be read, which are small: rows are numbered in one partition. A null is an empty cell.
     """
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    width = df.agg(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(x)), F.lit(0))).alias(f"w_{i}") for i, (c, x) in enumerate(zip(df.columns, cells))])
-    rows = df.select((F.row_number().over(Window.orderBy(*order)) + 1).alias("no"), *[x.alias(f"c_{i}") for i, x in enumerate(cells)])
+    rows = df.select((F.row_number().over(Window.orderBy(*order)) + 1).alias("no"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"c_{i}") for i, c in enumerate(df.columns)])
     head = df.sparkSession.createDataFrame([(0, *df.columns), (1, *["-"] * len(df.columns))], rows.schema)
-    pad = [F.rpad(F.col(f"c_{i}"), F.col(f"w_{i}"), F.when(F.col("no") == 1, "-").otherwise(" ")) for i in range(len(cells))]
-    return head.unionByName(rows).crossJoin(F.broadcast(width)).select("no", F.concat_ws("  ", *pad).alias("line"))  # one row of widths
+    every = Window.partitionBy(F.lit(0))
+    pad = [F.rpad(F.col(f"c_{i}"), F.max(F.length(f"c_{i}")).over(every), F.when(F.col("no") == 1, "-").otherwise(" ")) for i in range(len(df.columns))]
+    return head.unionByName(rows).select("no", F.concat_ws("  ", *pad).alias("line"))
 
 
 def print_table(df: DataFrame, order: list[str]) -> None:
