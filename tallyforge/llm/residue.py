@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from http import HTTPStatus
 from itertools import compress, product
 
 import numpy as np
@@ -37,7 +38,7 @@ your session has expired|your session has timed out|session expired|sign in agai
 scheduled maintenance|under maintenance|down for maintenance|temporarily offline|temporarily unavailable|we are upgrading the review desk|we are upgrading|we'll be back soon|we will be back soon|expected return|back at
 page not found|file not found|we looked everywhere for the|we can't find the|we cannot find the|we could not find the|sorry, there is no|there is no the|the page you requested|you asked for could not be found|this page does not exist|this page doesn't exist|it may have been renamed|it may have been moved|it may have been deleted|it may have been removed
 bad request|unauthorized|forbidden|not found|method not allowed|request timeout|410 gone|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway timeout
-お探しのページは見つかりませんでした|ページが見つかりません|ページは見つかりません|見つかりませんでした|閲覧する権限がありません|アクセス権限がありません|アクセス権がありません|アクセスが拒否されました|権限がありません|ただいまメンテナンス中です|メンテナンス中です|アクセスが集中しています|しばらくしてから再度お試しください|時間をおいて再度お試しください|再度お試しください
+お探しのページは見つかりませんでした|ページが見つかりません|ページは見つかりません|見つかりませんでした|閲覧する権限がありません|アクセス権限がありません|アクセス権がありません|アクセスが拒否されました|権限がありません|ただいまメンテナンス中です|メンテナンス中です|アクセスが集中しています|しばらくしてから再度お試しください|時間をおいて再度お試しください|再度お試しください|もう一度お試しください
 エラーが発生しました|システムエラー|サーバーエラー|セッションの有効期限が切れました|セッションが切れました|セッションがタイムアウトしました|再度ログインしてください|ログインしてください|サインインしてください|ログインが必要です|ご迷惑をおかけし|一時的にご利用いただけません|現在ご利用いただけません|サービスを停止しています
 """
 FILLER = """
@@ -93,14 +94,48 @@ _LINKS = ("is", "are", "is currently", "are currently", "appears", "appear", "se
 _WANTS = ("requires", "needs", "does not work without", "doesn't work without", "cannot be shown without", "cannot be displayed without", "will not work without", "relies on")
 
 
+#: What is missed, and how: every thing with every way makes a phrase. Names of HTTP's error states come from the standard library.
+_THINGS = ("page", "webpage", "web page", "video", "image", "application", "app", "product", "document you requested", "resource", "document", "file", "content", "article", "item", "site", "link", "url", "post")
+_LACKS = ("not found", "cannot be found", "can't be found", "could not be found", "couldn't be found", "was not found", "does not exist", "doesn't exist", "isn't available", "is not available", "is unavailable", "is no longer available", "has expired", "has been removed", "has been deleted", "has been moved", "cannot be displayed", "can't be displayed", "can't be reached", "cannot be reached")
+_SEEKS = ("can't find", "cannot find", "couldn't find", "could not find", "can't seem to find", "are unable to find")
+_ENTRIES = ("sign in", "log in", "login")
+_ENDS = ("to continue", "to view", "to access", "to your account", "to see", "to proceed")
+_MORE_ERROR = """
+page you were looking for|page you are looking for|page you're looking for|page you requested|page you tried|nothing was found at this location|requested url|server error in|http error|error code|gateway time-out|accessdenied|access to this page has been denied|has been denied|do not have access|don't have access|not have permission
+must be signed in|must be logged in|need to be signed in|need to sign in|need to log in|not logged in|not signed in|been suspended|account is disabled|account has been disabled|account has been locked|session has ended|page has expired|change you wanted was rejected|temporarily down|down for maintenance|check back in a|be back shortly|back online soon
+critical error on this website|internal error has occurred|an error has occurred|unexpected error|something broke|that's an error|encountered an error|unable to complete your request|unable to process your request|unable to load|failed to load|connection is not private|checking if the site connection is secure|just a moment|using a security service|automation tools|verify you are human|you are a robot|unusual traffic
+you're trying to view|you are trying to view|you're trying to reach|couldn't find anything|no results found for|unable to service your request|could not be satisfied|proxy error|invalid response from an upstream|from an upstream server|request blocked|request has been blocked|can't connect to the server|cannot connect to the server|could not connect to the server|error establishing|connection lost|session was closed|signed out for security|verify your browser|accept cookies|cookies are disabled|invalid token|link is invalid
+domain is for sale|domain is parked|welcome to nginx|site is under construction|under construction|default web page|isn't a github pages site
+"""
+_MORE_FILLER = """
+welcome to wordpress|this is your first post|this is a sample page|is an example page|add your content here|add your text here|write your paragraph here|write something here|click to edit|click here to edit|enter your text here|enter text here|type your text here|edit this text|simply dummy text|of the printing and typesetting industry|sed ut perspiciatis|unde omnis iste natus|voluptatem accusantium|doloremque laudantium|quick brown fox jumps over the lazy dog
+"""
+_GOES_HERE = ("content", "title", "description", "headline", "heading", "subtitle", "caption", "body", "quote", "name", "image", "link", "logo")
+_MORE_WEAK = """
+doesn't exist exists hello world welcome first post edit delete then writing click add paragraph write looks nothing was location maybe search oops uh can't couldn't that's broken followed mistyped address owner believe because security protect attacks secure moment human robot detected according configuration misconfiguration encountered complete completed
+critical change wanted rejected team notified working fix issue issues soon shortly few hours visit homepage homepages go let us know tell support email them right private reached seem looking which might too late old bookmark outdated spelling typo checked correct url http https www com html php index nginx apache openresty cloudflare varnish guru meditation incident id ip port
+webpage video image app service request due capacity problems problem proxy received response invalid token close closed reasons wait verify accept cookies anything matching establishing connection lost industry ipsum error accusantium iste natus エラー しばらくしてから おつなぎ
+account suspended locked administrator webmaster owner contact refreshing later again come back soon patience understanding thank currently busy overloaded capacity high traffic unable handle processing load failed loading required supported version modern newer recommended works best chrome firefox edge safari opera
+""".split()
+_JP_THINGS = ("ページ", "コンテンツ", "ファイル", "サイト", "記事", "url")
+_JP_LACKS = ("が存在しません", "は存在しません", "が見つかりません", "は見つかりません", "が表示できません", "は表示できません", "は削除されました", "にアクセスできません")
+_JP_MORE = "現在アクセスできません|アクセスできません|サービスを停止しております|メンテナンスのお知らせ|メンテナンスを実施|メンテナンス作業を行って|ご利用いただけません|認証が必要です|javascriptを使用しています|スクリプトを使用しています"
+_JP_TEXTS = ("テキスト", "文章", "本文", "内容", "説明", "文字", "タイトル", "見出し")
+
+
 def _phrases() -> dict[str, list[str]]:
     split = lambda block: [p.strip() for line in block.strip().splitlines() for p in line.split("|") if p.strip()]
     script = split(SCRIPT)
     script += [f"{v} {n}" for v, n in product(_VERBS, _NOUNS)] + [f"{n} {k} {s}" for n, k, s in product(_NOUNS, _LINKS, _STATES)]
     script += [f"{w} {n}" for w, n in product(_WANTS, _NOUNS)] + [f"has {n} {s}" for n, s in product(_NOUNS, _STATES)]
     script += [f"browser {k} support {n}" for k, n in product(("does not", "doesn't", "did not"), _NOUNS)]
-    more = split("whoops|looks like something went wrong")
-    found = {"error": split(ERROR) + more + split(OTHER_ERROR), "filler": split(FILLER) + split(OTHER_FILLER), "script": script + split(OTHER_SCRIPT)}
+    script += [f"{v} {n} on" for v, n in product(("turn", "switch"), _NOUNS)] + [f"enable cookies and {n}" for n in _NOUNS]
+    script += [f"{n} {s}" for n, s in product(_NOUNS, ("is not available", "must be enabled", "is required", "needs to be enabled", "must be on"))]
+    error = split(ERROR) + split(_MORE_ERROR) + split("whoops|looks like something went wrong") + [x.phrase.lower() for x in HTTPStatus if x >= 400 and " " in x.phrase]
+    error += [f"{t} {w}" for t, w in product(_THINGS, _LACKS)] + [f"{w} {d} {t}" for w, d, t in product(_SEEKS, ("the", "that", "this"), _THINGS)] + [f"{e} {t}" for e, t in product(_ENTRIES, _ENDS)]
+    error += [f"{t}{w}" for t, w in product(_JP_THINGS, _JP_LACKS)] + split(_JP_MORE)
+    filler = split(FILLER) + split(_MORE_FILLER) + [f"{t} goes here" for t in _GOES_HERE] + [f"ここに{t}{w}" for t, w in product((*_JP_TEXTS, "会社名", "氏名", "お名前", "住所", "日付", "電話番号", "件名"), ("を入力してください", "を記入してください", "を入力", "を書いてください", "が入ります"))]
+    found = {"error": error + split(OTHER_ERROR), "filler": filler + split(OTHER_FILLER), "script": script + split(OTHER_SCRIPT)}
     return {kind: [fold(p) for p in phrases] for kind, phrases in found.items()}
 
 
@@ -113,7 +148,7 @@ def _automaton():
     for kind, phrases in _phrases().items():
         for p in phrases:
             words.setdefault(p, set()).add(kind)
-    for p in map(fold, (*WEAK["latin"], *WEAK["other"], *OTHER_WEAK)):
+    for p in map(fold, (*WEAK["latin"], *WEAK["other"], *OTHER_WEAK, *_MORE_WEAK)):
         words.setdefault(p, set())
     for p, kinds in words.items():
         a.add_word(p, (len(p), tuple(sorted(kinds))))
@@ -128,7 +163,7 @@ _PASSAGE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|\s\|\s?|\t+")
 
 
 #: What slots open with or hold, in folded text.
-_OPENERS = ("{", "%", "[[", "<<", "<%", "@@", "____", "xxxx", "〇〇〇", "○○○", "◯◯◯", "???", "tbd-", "記入", "入力", *(f"{b}{w}" for b in "[<" for w in ("insert", "your", "enter", "add", "fill", "type", "put", "select", "choose", "replace")))
+_OPENERS = ("{", "%", "[[", "<<", "<%", "@@", "____", "xxxx", "〇〇", "○○", "◯◯", "●●", "???", "tbd-", "記入", "入力", *(f"{b}{w}" for b in "[<" for w in ("insert", "your", "enter", "add", "fill", "type", "put", "select", "choose", "replace")))
 _TELLING, _MOCKING, _OPENING_SLOT = 1, 2, 4
 
 
@@ -155,6 +190,8 @@ def _tells():
 
 #: A name in capitals and brackets (`[FIRST_NAME]`), which the automaton can't open on.
 _CAPITALS = re.compile(r"(?<![\w\])])\[[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\](?![\[(:])")
+#: A word of a form in brackets (`[Customer Name]`), where no link or index follows.
+_FORM = re.compile(r"(?<![\w\])])\[(?:[a-z]+[ ]){0,4}(?:name|date|title|address|company|e-?mail|phone|number|amount|position|signature|subject|recipient|city|country|time|location|department|reason|description)\](?![\[(:\w])", re.I)
 
 
 class _Plain(dict):
@@ -218,12 +255,12 @@ def _covered(passage: str) -> tuple[float, set[str]]:
 _SLOT = re.compile(
     r"(?P<jinja>\{\{[^{}()'\"|]+\}\})|(?P<dollar>\$\{\s*+[^{}\s]+\s*+\})|(?P<printf>%\([^()\s]+\)s)|(?P<hash>#\{[^{}]+\})|(?P<square>\[\[[^\[\]]+\]\])|(?P<angle><<[^<>]+>>)"
     r"|(?P<erb><%=[^<>%]+%>)|(?P<at>@@[^@\s]+@@)|(?P<percent>%[A-Z一-鿿ぁ-ヿ][A-Z0-9_一-鿿ぁ-ヿ]+%)|(?P<brace>(?<![A-Za-z0-9_$#%{\\])\{[^\S\n]*+[^\W\d_](?:[\w ]|\n(?=[^\S\n]*\w))*+[^\S\n]*+\}(?!\}))"
-    r"|(?P<ask>[\[<](?:insert|your|enter|add|fill in|fill|type|put|select|choose|replace)\b[^\[\]<>]*[\]>])|(?P<blank>_{4,}|(?<![A-Za-z])X{4}(?![A-Za-z])|[〇○◯]{3,}|\?\?\?-\?\?\?|(?<![A-Za-z])TBD-TBD(?![A-Za-z]))"
+    r"|(?P<ask>[\[<](?:insert|your|enter|add|fill in|fill|type|put|select|choose|replace)\b[^\[\]<>]*[\]>])|(?P<blank>_{4,}|(?<![A-Za-z])X{4}(?![A-Za-z])|[〇○◯]{3,}|[●〇○◯]{2,}(?:株式会社|様|殿|御中)|\?\?\?-\?\?\?|(?<![A-Za-z])TBD-TBD(?![A-Za-z]))"
     r"|(?P<japanese>[(（【\[［][^()（）【】\[\]［］]*(?:[にを要未]\n?記入|[にを要]\n?入力)[^()（）【】\[\]［］]*[)）】\]］])",
     re.I,
 )
 #: What any slot has somewhere; lines without it are passed over.
-_OPENING = re.compile(r"\{(?!%)|%[(A-Za-zぁ-鿿]|\[\[|<<|<%|@@|____|XXXX|xxxx|[〇○◯]{3}|\?\?\?|TBD-|tbd-|記入|入力|[\[<](?:insert|your|enter|add|fill|type|put|select|choose|replace)", re.I)
+_OPENING = re.compile(r"\{(?!%)|%[(A-Za-zぁ-鿿]|\[\[|<<|<%|@@|____|XXXX|xxxx|[〇○◯●]{2}|\?\?\?|TBD-|tbd-|記入|入力|[\[<](?:insert|your|enter|add|fill|type|put|select|choose|replace)", re.I)
 _BRACKET = re.compile(r"[{<(（【\[［]")
 #: Record fields of common loggers, which stand in formats and not in templates.
 _LOGGING = {"asctime", "levelname", "message", "name", "lineno", "filename", "module", "funcname", "process", "thread", "pathname", "msecs", "created", "levelno"}
@@ -348,7 +385,7 @@ def residue(text: str | None) -> tuple[list[str], float]:
             what |= signs
             n_telling += signs & _TELLING
     telling, mock = what & _TELLING, bool(what & _MOCKING)
-    if what & _OPENING_SLOT and unfilled_slots(text) or "[" in text and "_" in text and _CAPITALS.search(_clean(text)):
+    if what & _OPENING_SLOT and unfilled_slots(text) or "[" in text and (_CAPITALS.search(_clean(text)) or _FORM.search(_clean(text))):
         kinds.add("slot")
     parts, at, covered = [], 0, 0
     words = folded.replace(",", " ").split()

@@ -46,9 +46,10 @@ class Compiler:
         """``side``, asserted to hold its key once: a repeated one would double sums without a word.
 
         The count needs the rows of a key together, as the join does unless the side is small.
+        Rows without a key, which nothing joins, are left out.
         """
-        counted = side.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
-        return counted.where(F.assert_true(F.col(key).isNull() | (F.col("__n") == 1), F.lit(f"{model.name}: {model.primary} does not identify a row")).isNull()).drop("__n")
+        counted = side.where(F.col(key).isNotNull()).withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+        return counted.where(F.assert_true(F.col("__n") == 1, F.lit(f"{model.name}: {model.primary} does not identify a row")).isNull()).drop("__n")
 
     def _with_paths(self, df: DataFrame, model: SemanticModel, paths: tuple[str, ...]) -> DataFrame:
         """Dimension columns reached over entities, by left joins N:1 from the model's side.

@@ -95,3 +95,18 @@ def test_coverage_of_the_whole_document():
     kinds, share = residue(page)
     assert kinds == ["error"] and share >= 0.7
     assert residue(NOTE * 3 + "\n" + page)[0] == []  # amid content a passage must be covered by itself
+
+
+#: Texts as widely used software shows them, and sentences that only report on such.
+COMMON = ["The requested URL was not found on this server.", "Not Found\nThe requested URL /index.html was not found on this server.", "Forbidden\nYou don't have permission to access this resource.", "503 Service Temporarily Unavailable", "504 Gateway Time-out", "Internal Server Error\nThe server encountered an internal error or misconfiguration and was unable to complete your request.", "Error 1020: Access denied. This website is using a security service to protect itself from online attacks.", "Checking if the site connection is secure", "Just a moment...", "Please turn JavaScript on and reload the page.", "You need to enable JavaScript to run this app.", "This site requires JavaScript. Please enable it in your browser settings.", "JavaScript is not available. We've detected that JavaScript is disabled in this browser.", "It looks like nothing was found at this location. Maybe try a search?", "Oops! That page can’t be found.", "Briefly unavailable for scheduled maintenance. Check back in a minute.", "There has been a critical error on this website.", "We're sorry, but something went wrong.", "The page you were looking for doesn't exist. You may have mistyped the address or the page may have moved.", "The change you wanted was rejected.", "HTTP Error 404.0 - Not Found", "Server Error in '/' Application.", "The resource cannot be found.", "<Error><Code>AccessDenied</Code><Message>Access Denied</Message></Error>", "There isn't a GitHub Pages site here.", "Site not found", "This page isn’t available", "Sorry, this page isn't available. The link you followed may be broken, or the page may have been removed.", "This content isn't available right now", "Log in to your account to continue.", "Your session has timed out. Please log in again.", "You must be signed in to view this page.", "This account has been suspended.", "This domain is for sale.", "Hello world! Welcome to WordPress. This is your first post. Edit or delete it, then start writing!", "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.", "[Your Name Here]", "Dear {{customer_name}},", "Hi %FIRST_NAME%,", "Insert text here", "Add your content here", "Click to edit this text.", "<<COMPANY NAME>>", "Name: ____________", "Date: [DATE]", "xxxxxxxxxxx", "Enter your text here...", "This is a sample page.", "Sorry, we couldn't find that page.", "We can't seem to find the page you're looking for.", "Your connection is not private", "This site can’t be reached", "Too many requests. Please try again later.", "The service is temporarily unavailable. Please try again later.", "Please enable cookies and JavaScript to continue.", "Enable JavaScript and cookies to continue", "You do not have access to this page.", "Access to this page has been denied because we believe you are using automation tools.", "An internal error has occurred.", "Something broke! Please refresh the page.", "We are currently down for maintenance. We'll be back shortly.", "Please sign in to view this document.", "The page has expired. Please refresh and try again.", "${first_name}, your order is ready.", "Dear [Customer Name],", "Write your paragraph here.", "Placeholder text for the description goes here.", "asdf asdf asdf asdf", "500 Internal Server Error\nnginx/1.18.0", "ページが存在しません。", "現在アクセスできません。", "ご指定のページは見つかりませんでした。", "サーバーメンテナンスのお知らせ：ただいまサービスを停止しております。", "このサイトではJavaScriptを使用しています。ブラウザの設定で有効にしてください。", "ここにテキストを入力してください。", "【氏名を記入】", "○○○株式会社", "ダミーダミーダミーダミー", "We couldn’t find anything matching your search.", "Sorry! The page you're trying to view is unavailable.", "Uh oh. That page can't be found.", "HTTP 403: Forbidden", "This video is unavailable", "The server is temporarily unable to service your request due to maintenance downtime or capacity problems. Please try again later.", "Proxy Error: The proxy server received an invalid response from an upstream server.", "The request could not be satisfied. Bad request.", "Request blocked. We can't connect to the server for this app or website at this time.", "This webpage is not available", "Error establishing a Redis connection", "Invalid token. Please log in again.", "For security reasons your session was closed. Sign in again.", "Please wait while we verify your browser...", "Your browser must accept cookies to view this page.", "This application requires scripts to be enabled.", "Lorem Ipsum is simply dummy text of the printing and typesetting industry.", "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium", "The quick brown fox jumps over the lazy dog.", "Dear {Name},", "Hello <%= user.name %>", "Sehr geehrte/r [Name],", "Test test test test", "qwerty qwerty qwerty", "Headline goes here", "お使いのブラウザではJavaScriptが無効になっています。", "申し訳ございません。このページは現在ご利用いただけません。", "エラー：しばらくしてからもう一度お試しください。", "ここに会社名を入力", "●●株式会社 ●●様"]
+REPORTS = ["The vendor's page was not found in the archive until the clerk restored it from tape.", "We could not find the invoice in March, so the total stays open.", "The article has been removed from the price list after the audit.", "Please sign in at the front desk before the meeting starts at nine.", "The account has been suspended since May; its last invoice was paid in full.", "Her session has expired memberships listed by club and year.", "Enable JavaScript linting in the build to catch unused variables early.", "The document does not exist in the archive for 2021, but a copy was found in the annex.", "File not found errors rose by 12 percent after the disk swap.", "The site is under construction and the crane arrives on Monday.", "Maintenance of the lift takes place twice a year.", "The link between churn and price is not available for small accounts.", "予算の資料が見つかりませんでしたので、経理に再送を依頼しました。", "サイトの売上は前年より三割増えた。", "The content is no longer available to subscribers who left before June; they were told by mail.", "No item was found to be above the limit, so all rows were kept.", "Log in to your account to continue was the wording that testers liked least.", "A moment later the meeting moved to the second floor.", "Kindly add your name and the date at the end of the list before Friday noon.", "We are unable to process your request for leave before the payroll closes, as agreed in the contract."]
+
+
+@pytest.mark.parametrize("text", COMMON)
+def test_common_texts(text):
+    assert residue(text)[0]
+
+
+@pytest.mark.parametrize("text", REPORTS)
+def test_reports_are_kept(text):
+    assert residue(text)[0] == []
