@@ -26,6 +26,8 @@ from tallyforge.session import ship, spread
 
 #: Share of a passage's letters that phrases must cover.
 MIN_COVERAGE = 0.8
+#: The same where only phrases tell that also occur in prose (`does not exist`).
+MIN_SOFT_COVERAGE = 0.95
 #: Share of a document's letters that phrases must cover where no single passage is covered enough, with so many telling ones.
 MIN_DOCUMENT_COVERAGE, MIN_TELLING = 0.7, 2
 
@@ -38,7 +40,7 @@ your session has expired|your session has timed out|session expired|sign in agai
 scheduled maintenance|under maintenance|down for maintenance|temporarily offline|temporarily unavailable|we are upgrading the review desk|we are upgrading|we'll be back soon|we will be back soon|expected return|back at
 page not found|file not found|we looked everywhere for the|we can't find the|we cannot find the|we could not find the|sorry, there is no|there is no the|the page you requested|you asked for could not be found|this page does not exist|this page doesn't exist|it may have been renamed|it may have been moved|it may have been deleted|it may have been removed
 bad request|unauthorized|forbidden|not found|method not allowed|request timeout|410 gone|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway timeout
-お探しのページは見つかりませんでした|ページが見つかりません|ページは見つかりません|見つかりませんでした|閲覧する権限がありません|アクセス権限がありません|アクセス権がありません|アクセスが拒否されました|権限がありません|ただいまメンテナンス中です|メンテナンス中です|アクセスが集中しています|しばらくしてから再度お試しください|時間をおいて再度お試しください|再度お試しください|もう一度お試しください
+お探しのページは見つかりませんでした|ページが見つかりません|ページは見つかりません|見つかりませんでした|閲覧する権限がありません|アクセス権限がありません|アクセス権がありません|アクセスが拒否されました|権限がありません|ただいまメンテナンス中です|メンテナンス中です|メンテナンス中でございます|アクセスが集中しています|アクセスが集中しております|しばらくしてから再度お試しください|時間をおいて再度お試しください|再度お試しください|もう一度お試しください
 エラーが発生しました|システムエラー|サーバーエラー|セッションの有効期限が切れました|セッションが切れました|セッションがタイムアウトしました|再度ログインしてください|ログインしてください|サインインしてください|ログインが必要です|ご迷惑をおかけし|一時的にご利用いただけません|現在ご利用いただけません|サービスを停止しています
 """
 FILLER = """
@@ -94,7 +96,7 @@ _LINKS = ("is", "are", "is currently", "are currently", "appears", "appear", "se
 _WANTS = ("requires", "needs", "does not work without", "doesn't work without", "cannot be shown without", "cannot be displayed without", "will not work without", "relies on")
 
 
-#: What is missed, and how: every thing with every way makes a phrase. Names of HTTP's error states come from the standard library.
+#: What is missed, and how. The ways tell, the things fill. Names of HTTP's error states come from the standard library.
 _THINGS = ("page", "webpage", "web page", "video", "image", "application", "app", "product", "document you requested", "resource", "document", "file", "content", "article", "item", "site", "link", "url", "post")
 _LACKS = ("not found", "cannot be found", "can't be found", "could not be found", "couldn't be found", "was not found", "does not exist", "doesn't exist", "isn't available", "is not available", "is unavailable", "is no longer available", "has expired", "has been removed", "has been deleted", "has been moved", "cannot be displayed", "can't be displayed", "can't be reached", "cannot be reached")
 _SEEKS = ("can't find", "cannot find", "couldn't find", "could not find", "can't seem to find", "are unable to find")
@@ -110,13 +112,18 @@ domain is for sale|domain is parked|welcome to nginx|site is under construction|
 _MORE_FILLER = """
 welcome to wordpress|this is your first post|this is a sample page|is an example page|add your content here|add your text here|write your paragraph here|write something here|click to edit|click here to edit|enter your text here|enter text here|type your text here|edit this text|simply dummy text|of the printing and typesetting industry|sed ut perspiciatis|unde omnis iste natus|voluptatem accusantium|doloremque laudantium|quick brown fox jumps over the lazy dog
 """
-_GOES_HERE = ("content", "title", "description", "headline", "heading", "subtitle", "caption", "body", "quote", "name", "image", "link", "logo")
+_GOES_HERE = ("subheading", "content", "title", "description", "headline", "heading", "subtitle", "caption", "body", "quote", "name", "image", "link", "logo")
 _MORE_WEAK = """
 doesn't exist exists hello world welcome first post edit delete then writing click add paragraph write looks nothing was location maybe search oops uh can't couldn't that's broken followed mistyped address owner believe because security protect attacks secure moment human robot detected according configuration misconfiguration encountered complete completed
 critical change wanted rejected team notified working fix issue issues soon shortly few hours visit homepage homepages go let us know tell support email them right private reached seem looking which might too late old bookmark outdated spelling typo checked correct url http https www com html php index nginx apache openresty cloudflare varnish guru meditation incident id ip port
+hmm function properly finding having access token trouble web page properly enable cookie client get root
 webpage video image app service request due capacity problems problem proxy received response invalid token close closed reasons wait verify accept cookies anything matching establishing connection lost industry ipsum error accusantium iste natus エラー しばらくしてから おつなぎ
 account suspended locked administrator webmaster owner contact refreshing later again come back soon patience understanding thank currently busy overloaded capacity high traffic unable handle processing load failed loading required supported version modern newer recommended works best chrome firefox edge safari opera
 """.split()
+#: Fixed list: words of grammar, which alone tell nothing.
+_GRAMMAR = """
+about above across after again against all along also although always am among another anyone anything around because been before behind being below between both each either else enough ever every everyone everything few found further had he her him his however i including inside just least less like made make many maybe me might more most much my neither never new next none nor nothing often once only onto other others own per perhaps rather same say see several shall she should since some someone something such than their them themselves these they thing things those though three through thus together two under unless upon us very want way well what whatever whenever wherever whether which while who whole whom whose why within without yet
+""".split()
 _JP_THINGS = ("ページ", "コンテンツ", "ファイル", "サイト", "記事", "url")
 _JP_LACKS = ("が存在しません", "は存在しません", "が見つかりません", "は見つかりません", "が表示できません", "は表示できません", "は削除されました", "にアクセスできません")
 _JP_MORE = "現在アクセスできません|アクセスできません|サービスを停止しております|メンテナンスのお知らせ|メンテナンスを実施|メンテナンス作業を行って|ご利用いただけません|認証が必要です|javascriptを使用しています|スクリプトを使用しています"
@@ -130,12 +137,15 @@ def _phrases() -> dict[str, list[str]]:
     script += [f"{w} {n}" for w, n in product(_WANTS, _NOUNS)] + [f"has {n} {s}" for n, s in product(_NOUNS, _STATES)]
     script += [f"browser {k} support {n}" for k, n in product(("does not", "doesn't", "did not"), _NOUNS)]
     script += [f"{v} {n} on" for v, n in product(("turn", "switch"), _NOUNS)] + [f"enable cookies and {n}" for n in _NOUNS]
-    script += [f"{n} {s}" for n, s in product(_NOUNS, ("is not available", "must be enabled", "is required", "needs to be enabled", "must be on"))]
+    script += [f"{n} {s}" for n, s in product(_NOUNS, ("is not available", "must be enabled", "is required", "needs to be enabled", "must be on", *_STATES))]
     error = split(ERROR) + split(_MORE_ERROR) + split("whoops|looks like something went wrong") + [x.phrase.lower() for x in HTTPStatus if x >= 400 and " " in x.phrase]
-    error += [f"{t} {w}" for t, w in product(_THINGS, _LACKS)] + [f"{w} {d} {t}" for w, d, t in product(_SEEKS, ("the", "that", "this"), _THINGS)] + [f"{e} {t}" for e, t in product(_ENTRIES, _ENDS)]
+    error += [f"{w} {d} {t}" for w, d, t in product(_SEEKS, ("the", "that", "this", "any"), _THINGS)]
+    soft = [*_LACKS, *(f"{e} {t}" for e, t in product(_ENTRIES, _ENDS))]
+    soft += [f"{a} {b}" for a, b in product(("unable to", "trouble", "problem", "problems", "failed to", "error while"), ("connect", "connecting", "find", "finding", "load", "loading", "open", "opening", "reach", "reaching", "display", "displaying", "save", "saving"))]
     error += [f"{t}{w}" for t, w in product(_JP_THINGS, _JP_LACKS)] + split(_JP_MORE)
-    filler = split(FILLER) + split(_MORE_FILLER) + [f"{t} goes here" for t in _GOES_HERE] + [f"ここに{t}{w}" for t, w in product((*_JP_TEXTS, "会社名", "氏名", "お名前", "住所", "日付", "電話番号", "件名"), ("を入力してください", "を記入してください", "を入力", "を書いてください", "が入ります"))]
-    found = {"error": error + split(OTHER_ERROR), "filler": filler + split(OTHER_FILLER), "script": script + split(OTHER_SCRIPT)}
+    filler = [f"{v} {d}" for v, d in product(("add", "write", "type", "put", "insert", "paste", "place"), ("a", "an", "your", "some", "the"))]
+    filler = [f"{a} {w} here" for a, w in product(filler, (*_GOES_HERE, "text", "paragraph", "subheading"))] + split(FILLER) + split(_MORE_FILLER) + [f"{t} goes here" for t in _GOES_HERE] + [f"ここに{t}{w}" for t, w in product((*_JP_TEXTS, "会社名", "氏名", "お名前", "住所", "日付", "電話番号", "件名"), ("を入力してください", "を記入してください", "を入力", "を書いてください", "が入ります"))]
+    found = {"error": error + split(OTHER_ERROR), "filler": filler + split(OTHER_FILLER), "script": script + split(OTHER_SCRIPT), "soft": soft}
     return {kind: [fold(p) for p in phrases] for kind, phrases in found.items()}
 
 
@@ -148,7 +158,7 @@ def _automaton():
     for kind, phrases in _phrases().items():
         for p in phrases:
             words.setdefault(p, set()).add(kind)
-    for p in map(fold, (*WEAK["latin"], *WEAK["other"], *OTHER_WEAK, *_MORE_WEAK)):
+    for p in map(fold, (*WEAK["latin"], *WEAK["other"], *OTHER_WEAK, *_MORE_WEAK, *_GRAMMAR, *_THINGS)):
         words.setdefault(p, set())
     for p, kinds in words.items():
         a.add_word(p, (len(p), tuple(sorted(kinds))))
@@ -191,7 +201,7 @@ def _tells():
 #: A name in capitals and brackets (`[FIRST_NAME]`), which the automaton can't open on.
 _CAPITALS = re.compile(r"(?<![\w\])])\[[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\](?![\[(:])")
 #: A word of a form in brackets (`[Customer Name]`), where no link or index follows.
-_FORM = re.compile(r"(?<![\w\])])\[(?:[a-z]+[ ]){0,4}(?:name|date|title|address|company|e-?mail|phone|number|amount|position|signature|subject|recipient|city|country|time|location|department|reason|description)\](?![\[(:\w])", re.I)
+_FORM = re.compile(r"(?<![\w\])])\[(?:[a-z]+[ ]){0,4}(?:name|date|title|address|company|e-?mail|phone|number|amount|position|signature|subject|recipient|city|country|time|location|department|reason|description)\](?![\[(\w])(?!:\s*\S+$)", re.I | re.M)
 
 
 class _Plain(dict):
@@ -235,7 +245,7 @@ def _whole(s: str, first: int, last: int) -> bool:
 
 
 def _covered(passage: str) -> tuple[float, set[str]]:
-    """Share of the letters that phrases cover, and the kinds of the telling ones."""
+    """Share of the letters that phrases cover, and the kinds of the telling ones; soft ones count as errors where hardly a letter is left."""
     n = len(passage)
     letters = np.fromiter((c.isalpha() for c in passage), bool, n)
     total = int(letters.sum())
@@ -248,7 +258,10 @@ def _covered(passage: str) -> tuple[float, set[str]]:
             continue
         hit[a:b] = True
         kinds.update(tells)
-    return int((hit & letters).sum()) / total, kinds
+    share = int((hit & letters).sum()) / total
+    if "soft" in kinds:
+        kinds = kinds - {"soft"} | ({"error"} if share >= MIN_SOFT_COVERAGE else set())
+    return share, kinds
 
 
 #: Of any length, as the brackets excluded bound them; texts are given with one line end at most.
