@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 _CLASSIFIED = """
 WITH cells AS (  -- the finest triangle: one record's arrivals by period; of equal ones the one loaded last
   SELECT record, event_no, arrival, arrival_no - event_no AS lag, max(struct(loaded, amount)).amount AS amount
-  FROM {arrivals}
+  FROM (SELECT /*+ REPARTITION(record) */ * FROM {arrivals})  -- a record's few arrivals lie together from here on
   WHERE record IS NOT NULL AND event_no IS NOT NULL AND arrival IS NOT NULL AND arrival_no IS NOT NULL
   GROUP BY record, event_no, arrival, arrival_no
 ),
