@@ -175,7 +175,16 @@ def _bucket_diff(keys: list[str], values: list[str], cells: int):
     return run
 
 
-def diff_pairs(sides: DataFrame, keys: dict[str, Column], values: dict[str, Column], pairs: Column, buckets: int, cells: int = 240) -> DataFrame:
+def _key_hash(keys: dict[str, Column]) -> Column:
+    return F.xxhash64(*[x for c in keys.values() for x in (c.isNull(), c)])
+
+
+def bucket_of(keys: dict[str, Column], buckets: int) -> Column:
+    """The hash bucket of a key, for callers who bring the rows of a bucket together themselves."""
+    return F.pmod(F.xxhash64(F.lit("b"), _key_hash(keys)), F.lit(buckets)).cast("int")
+
+
+def diff_pairs(sides: DataFrame, keys: dict[str, Column], values: dict[str, Column], pairs: Column, buckets: int, cells: int = 240, bucket: str | None = None) -> DataFrame:
     """Records added, removed or changed, for every pair of snapshots: (pair, *keys, change_type).
 
     ``sides`` has one row a record and snapshot (no repeated keys within one). ``pairs`` gives the
@@ -184,14 +193,15 @@ def diff_pairs(sides: DataFrame, keys: dict[str, Column], values: dict[str, Colu
     null keys are keys. ``buckets`` hash buckets hold a table of ``cells`` cells for each pair to
     begin with; about ``cells`` / 1.3 differing elements can be peeled, more make the table grow
     ``ENLARGE`` fold, so the result is whole whatever the share of changes. An empty table gives
-    no rows. Rows are shuffled once, by bucket; a bucket holds many keys and a key few snapshots,
+    no rows. Rows are shuffled once, by bucket (not at all where they lie by a column ``bucket``
+    that holds :func:`bucket_of` already); a bucket holds many keys and a key few snapshots,
     so that buckets stay even however often one entity occurs in the keys.
     """
     ship(sides.sparkSession)
-    key_hash = F.xxhash64(*[x for c in keys.values() for x in (c.isNull(), c)])
+    key_hash = _key_hash(keys)
     value_hash = F.xxhash64(F.lit("v"), *[x for c in (*keys.values(), *values.values()) for x in (c.isNull(), c)])
     rows = sides.select(
-        F.pmod(F.xxhash64(F.lit("b"), key_hash), F.lit(buckets)).cast("int").alias("bucket"),
+        (F.col(bucket) if bucket else bucket_of(keys, buckets)).alias("bucket"),
         key_hash.alias("key_hash"),
         value_hash.alias("value_hash"),
         pairs.alias("pairs"),

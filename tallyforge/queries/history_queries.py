@@ -15,7 +15,7 @@ from tallyforge.operators.asof import as_known
 from tallyforge.operators.dedupe import keep_last
 from tallyforge.operators.history import merge_snapshot, snapshot_calendar
 from tallyforge.operators.rolling import borne_out, trailing_totals
-from tallyforge.operators.snapshot_diff import diff_pairs
+from tallyforge.operators.snapshot_diff import bucket_of, diff_pairs
 from tallyforge.operators.units import to_yen
 from tallyforge.plans.accounts import history, revenue_rows, versions_of
 from tallyforge.queries.dirty_sql import REVENUE, VERSIONS, day
@@ -215,12 +215,12 @@ def p5_current(spark: SparkSession, d: str) -> DataFrame:
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     calendar, n_rows = snapshot_calendar(revenue_rows(spark, d).select("snapshot_date"), "snapshot_date")
-    rows = keep_last(
-        _yen_rows(spark, d, {**_key(), "loaded_at": F.col("loaded_at"), "is_finalized": F.col("is_finalized")}).where(F.col("snapshot_date").isNotNull() & F.col("revenue_month").isNotNull()),
-        _key(),
-        [F.col("loaded_at")],
-        {"yen": F.col("yen"), "is_finalized": F.col("is_finalized")},
-    )
+    record = {n: F.col(n) for n in ("account_id", "revenue_month", "line_no")}
+    buckets = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
+    rows = _yen_rows(spark, d, {**_key(), "loaded_at": F.col("loaded_at"), "is_finalized": F.col("is_finalized")}).where(F.col("snapshot_date").isNotNull() & F.col("revenue_month").isNotNull())
+    # by bucket from the start: resent rows are dropped and tables built where the rows then lie
+    rows = rows.withColumn("bucket", bucket_of(record, buckets)).repartition("bucket")
+    rows = keep_last(rows, {"bucket": F.col("bucket"), **_key()}, [F.col("loaded_at")], {"yen": F.col("yen"), "is_finalized": F.col("is_finalized")})
     # the calendar has a row a delivery; its neighbours tell which months both cover in full
     days = calendar.select("snap_date", "snap_no", "next_date").withColumn("prev_date", F.lag("snap_date").over(Window.partitionBy(F.lit(0)).orderBy("snap_no")))
     rows = rows.join(days, rows["snapshot_date"] == days["snap_date"])
@@ -234,8 +234,7 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    buckets = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
-    out = diff_pairs(rows, {n: F.col(n) for n in ("account_id", "revenue_month", "line_no")}, {"yen": F.col("yen"), "is_finalized": F.col("is_finalized")}, pairs, buckets)
+    out = diff_pairs(rows, record, {"yen": F.col("yen"), "is_finalized": F.col("is_finalized")}, pairs, buckets, bucket="bucket")
     return out.join(calendar, out["pair"] == calendar["snap_no"])
 
 
