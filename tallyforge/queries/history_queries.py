@@ -168,10 +168,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.where(adds_up).select(F.col("record.account_id").alias("account_id"), iso(F.col("record.revenue_month")).alias("revenue_month"), F.col("record.line_no").alias("line_no"), iso(F.col("arrival")).alias("snapshot_date"), "outcome")
 
 
+def _deliveries(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """The calendar of deliveries and the number of their rows; only dates and whether an account is named are read."""
+    rows = table(spark, d, "revenue_monthly").where(F.trim("account_id") != "")
+    return snapshot_calendar(rows.select("snapshot_date"), "snapshot_date")
+
+
 def _series(spark: SparkSession, d: str) -> DataFrame:
     """Every record of revenue_monthly with its deliveries, and the next delivery that has to repeat it."""
     rows = revenue_rows(spark, d).select(*_KEY).where(F.col("snapshot_date").isNotNull())
-    calendar = snapshot_calendar(rows, "snapshot_date")[0].select(F.col("snap_date").alias("snapshot_date"), "next_date")
+    calendar = _deliveries(spark, d)[0].select(F.col("snap_date").alias("snapshot_date"), "next_date")
     due = F.when((month_no(F.col("next_date")) - month_no(F.col("revenue_month"))).between(1, COVERING), F.col("next_date"))
     return orphans.record_series(rows.join(calendar, "snapshot_date").withColumn("due", due), "account_id", ["revenue_month", "line_no"], "snapshot_date", "due")
 
@@ -181,7 +187,7 @@ def _existence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orphan_rows(spark: SparkSession, d: str) -> DataFrame:
-    series = _series(spark, d)  # rows and deltas both come out of it, by one exchange
+    series = cut(_series(spark, d), "record-series")  # rows and deltas both come out of it
     gone = orphans.orphan_instants(orphans.reference_deltas(series), _existence(spark, d)).select("key", F.col("at").alias("snapshot_date"), "reason")
     rows = series.select("key", "revenue_month", "line_no", F.explode("seen.at").alias("snapshot_date"))
     # rows of one account and delivery may be very many: they meet their instant under several keys
@@ -214,7 +220,7 @@ def p5_current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    calendar, n_rows = snapshot_calendar(revenue_rows(spark, d).select("snapshot_date"), "snapshot_date")
+    calendar, n_rows = _deliveries(spark, d)
     record = {n: F.col(n) for n in ("account_id", "revenue_month", "line_no")}
     buckets = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
     rows = _yen_rows(spark, d, {**_key(), "loaded_at": F.col("loaded_at"), "is_finalized": F.col("is_finalized")}).where(F.col("snapshot_date").isNotNull() & F.col("revenue_month").isNotNull())
