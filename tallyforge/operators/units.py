@@ -19,8 +19,8 @@ import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -326,17 +326,16 @@ def unit(currency: Column, remark: Column, prior: dict[str, float] | None = None
     """
     prior = prior or MONEY_PRIOR
 
-    def read(currency: pd.Series, remark: pd.Series) -> pd.DataFrame:
+    def read(currency: pa.Array, remark: pa.Array) -> pa.Array:
         parser = _parser(tuple(sorted(prior.items())))
-        (c, c_texts), (r, r_texts) = pd.factorize(currency), pd.factorize(remark)
-        named = [parser.currency(t) or ("JPY", 0) for t in c_texts] + [("JPY", 0)]
-        stated = [parser.remark(t) for t in r_texts] + [None]  # position -1 is that of a null
-        found = np.array([x is not None for x in stated])
-        dim, power = (np.array([x[k] for x in named], (object, np.int32)[k]) for k in (0, 1))
-        its_dim, its_power = (np.array([x[k] if x else (None, 0)[k] for x in stated], (object, np.int32)[k]) for k in (0, 1))
-        return pd.DataFrame({"dimension": np.where(found[r], its_dim[r], dim[c]), "power": np.where(found[r], its_power[r], power[c])})
-
-    return F.pandas_udf(read, UNIT_TYPE)(currency.cast("string"), remark.cast("string"))
+        c, r = currency.dictionary_encode(), remark.dictionary_encode()
+        named = [parser.currency(t) or ("JPY", 0) for t in c.dictionary.to_pylist()] + [("JPY", 0)]  # the last place is that of a null
+        stated = [parser.remark(t) or (None, None) for t in r.dictionary.to_pylist()] + [(None, None)]
+        at_c, at_r = pc.fill_null(c.indices, len(named) - 1), pc.fill_null(r.indices, len(stated) - 1)
+        parts = [pc.coalesce(pa.array([x[k] for x in stated], t).take(at_r), pa.array([x[k] for x in named], t).take(at_c)) for k, t in ((0, pa.string()), (1, pa.int32()))]
+        return pa.StructArray.from_arrays(parts, ["dimension", "power"])
+
+    return F.arrow_udf(read, UNIT_TYPE)(currency.cast("string"), remark.cast("string"))
 
 
 def unit_code(dimension: Column, power: Column) -> Column:
