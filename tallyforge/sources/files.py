@@ -39,12 +39,18 @@ def opened(spark: SparkSession, name: str) -> Iterator[str]:
 
 
 def load(spark: SparkSession, tables: dict[str, DataFrame], schema: str, place: Callable[[str], str]) -> list[str]:
-    """Every table registered, created or replaced under the schema by its upper-case name, and unregistered; their full names."""
+    """Every table registered, created or replaced under the schema by its upper-case name, and unregistered; their full names.
+
+    The schema is made where it isn't there; a table that fails is unregistered as well.
+    """
+    create_schema(spark, schema)
     names = []
     for name, df in tables.items():
         register(df, "df_in")
-        create_table_as(spark.table("df_in"), schema, name, place(name))
-        unregister(spark, "df_in")
+        try:
+            create_table_as(spark.table("df_in"), schema, name, place(name))
+        finally:
+            unregister(spark, "df_in")
         names.append(f"`{schema}`.`{name.upper()}`")
     return names
 

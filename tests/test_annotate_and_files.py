@@ -179,3 +179,24 @@ def test_written_tables_are_swept(spark):
     session.cut(spark.range(3), "kept")
     path = session._PLACES[-1].removeprefix("file://")
     assert os.path.isdir(path) and session.sweep(spark) == 1 and not os.path.exists(path)
+
+
+def test_load_makes_its_schema(spark):
+    from tallyforge import session
+
+    frames = {"a": spark.range(3), "b": spark.range(2)}
+    spark.sql("DROP DATABASE IF EXISTS never_made CASCADE")
+    names = files.load(spark, frames, "never_made", lambda n: session.place(spark, n))
+    assert names == ["`never_made`.`A`", "`never_made`.`B`"] and [spark.table(n).count() for n in names] == [3, 2]
+    assert files.load(spark, {"a": spark.range(5)}, "never_made", lambda n: session.place(spark, n)) == names[:1] and spark.table(names[0]).count() == 5
+    spark.sql("DROP DATABASE never_made CASCADE")
+
+
+def test_load_that_fails_unregisters(spark):
+    from tallyforge import session
+
+    twice = spark.createDataFrame([(1, 2)], "k int, v int").toDF("k", "k")  # no table holds one name twice
+    with pytest.raises(Exception):
+        files.load(spark, {"a": twice}, "never_made", lambda n: session.place(spark, n))
+    assert not spark.catalog.tableExists("df_in")
+    spark.sql("DROP DATABASE never_made CASCADE")
