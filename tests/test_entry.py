@@ -40,3 +40,18 @@ def test_queries_equal_their_sql(spark, name):
     names = [c[0] for c in r.description]
     want = sorted(str(tuple(plain(row[names.index(c)]) for c in cols)) for row in r.fetchall())
     assert sorted(names) == cols and got == want
+
+
+@pytest.mark.parametrize("name", ["s4_create_schema", "s5_create_table_as", "s6_session"])
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_catalogue_queries_need_no_other(spark, name):
+    """Each by itself, in a catalogue without the schemas that other queries make, and twice in a row."""
+    duckdb = pytest.importorskip("duckdb")
+    for schema in ("raw", "loader"):
+        spark.sql(f"DROP DATABASE IF EXISTS {schema} CASCADE")
+    con = duckdb.connect()
+    con.execute(f"create view nation as select * from '{DATA}/nation.parquet'")
+    want = sorted(con.execute(metric_queries.ORACLE[name]).fetchall())
+    for _ in range(2):
+        df = metric_queries.QUERIES[name](spark, DATA)
+        assert sorted(tuple(r) for r in df.collect()) == want and spark.catalog.currentDatabase() == "default"
