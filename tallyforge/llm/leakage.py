@@ -8,10 +8,12 @@ items' windows by hash. The stretches of text around them are laid against the i
 shared windows, and the fillings of the slots are compared: all alike in a verbatim passage, one
 for one in a question asked again with other parameters.
 
-Two templates are used side by side. The first replaces numbers only and works on the bare
-stream of letters and digits, so that no spacing, line end or invisible character hides a
-passage; its window length follows from the items and guarantees that every common run of
-``min_run`` characters shares a window. The second also replaces names and units, by rules and
+There are two templates. The first works on the bare stream of letters and digits, so that no
+spacing, case, line end or invisible character hides a passage; its window length follows from
+the items and guarantees that every common run of ``min_run`` characters shares a window. For
+verbatim passages it is the only one and replaces numbers and the names and units that the items
+hold (a passage of an item holds no others), taken from them by the rules of the second; beside
+the second it replaces numbers only. The second replaces any names and units, by rules and
 without word lists of a domain: identifiers with an underscore, capitalised words (words of
 grammar aside), phrases of kanji and katakana, and what is counted after a number.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache, reduce
 
@@ -43,6 +45,12 @@ SAME_PHRASES = 0.5
 TABLE_BITS = 24
 #: Windows of items that are broadcast; more are joined by shuffle.
 MAX_BROADCAST_WINDOWS = 2_000_000
+#: Letters and digits of a part of a name that becomes a placeholder of the first template; longer ones could fill a whole run.
+NAME_SIZES = (3, 24)
+#: Tokens of the first template that any ``MIN_RUN`` characters of an item keep; names that leave fewer are no placeholders there.
+LEAST_TOKENS = 24
+#: Names and units, most frequent first, that the first template knows; no choice of them changes what is found.
+MAX_WORDS = 1 << 15
 
 _NUMBER, _NAME, _UNIT, _PHRASE = 0x110001, 0x110002, 0x110003, 0x110004
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -123,9 +131,10 @@ class Template:
 _BETWEEN = "\0"
 
 
-def number_template(folded: str, collapse: bool = True, owner: np.ndarray | None = None) -> Template:
+def number_template(folded: str, collapse: bool = True, owner: np.ndarray | None = None, words: Words | None = None) -> Template:
     """Letters as they are and every run of digits, whatever stands between them, as one token.
 
+    With ``words`` their names, and their units after a number, are tokens as well; names that overlap are one.
     ``owner`` numbers the texts of a joined string, by character; no run passes from one to the next.
     """
     cp = _points(folded)
@@ -136,8 +145,14 @@ def number_template(folded: str, collapse: bool = True, owner: np.ndarray | None
         return Template(tok, at, at + 1)
     num = cls[at] == 2
     tok[num] = _NUMBER
+    if words is not None:
+        named, unit, begins = words.cover(cp[at], num, None if owner is None else owner[at])
+        tok[unit] = _UNIT
+        tok[named] = _NAME
     first = np.ones(len(at), bool)
-    first[1:] = ~(num[1:] & num[:-1])
+    first[1:] = (tok[1:] < _NUMBER) | (tok[1:] != tok[:-1])
+    if words is not None:
+        first |= begins
     if owner is not None:
         first[1:] |= owner[at[1:]] != owner[at[:-1]]
     head = np.flatnonzero(first)
@@ -246,10 +261,8 @@ def window_hashes(tokens: np.ndarray, width: int, salt: int) -> np.ndarray:
     n = len(tokens)
     if n < width:
         return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(12, int(n).bit_length()))
+    sums, down = _sums(tokens, salt)
     with np.errstate(over="ignore"):
-        value = _mix(tokens.astype(np.uint64) + np.uint64(salt << 32))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(value * up[:n], dtype=np.uint64)])
         return _mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
 
 
@@ -273,16 +286,110 @@ def winnow(h: np.ndarray, span: int) -> np.ndarray:
     return np.flatnonzero(_slide(np.concatenate([pad, least, pad]), span, np.maximum, h.dtype.type(0)) == h)
 
 
+@lru_cache(maxsize=MAX_WORDS)
+def _word_hashes(word: str) -> tuple[np.uint64, np.uint64]:
+    """Hashes of a whole word and of its first three characters."""
+    cp = _points(word)
+    return window_hashes(cp, len(cp), 7)[0], window_hashes(cp[:3], len(cp[:3]), 8)[0]
+
+
+@dataclass(frozen=True)
+class Words:
+    """Names and units of items, as letters and digits only, and where they stand in other such streams.
+
+    What covers a character follows from the characters around it alone, not from spacing, case or
+    where a text begins: away from its ends, a common run has the same slots on either side.
+    """
+
+    names: tuple[str, ...]
+    units: tuple[str, ...]
+
+    @cached_property
+    def _hashes(self) -> list[dict[int, np.ndarray]]:
+        """Sorted hashes by length, of names and of units."""
+        out = []
+        for words in (self.names, self.units):
+            sizes: dict[int, list] = {}
+            for w in words:
+                sizes.setdefault(len(w), []).append(_word_hashes(w)[0])
+            out.append({n: np.sort(np.array(h, np.uint64)) for n, h in sorted(sizes.items())})
+        return out
+
+    @cached_property
+    def _begins(self) -> np.ndarray:
+        """By the low bits of a hash of three characters: whether a name begins so."""
+        out = np.zeros(1 << 18, bool)
+        for w in self.names:
+            out[_word_hashes(w)[1] & np.uint64((1 << 18) - 1)] = True
+        return out
+
+    @cached_property
+    def _cut(self) -> tuple[set[str], set[str], int]:
+        """Ends and beginnings of names and units as an edge of a run may cut them, and the longest's length."""
+        ends = {w[k:] for w in self.names for k in range(1, len(w))} | {w[k:] for w in self.units for k in range(len(w))}
+        return ends, {w[:k] for w in (*self.names, *self.units) for k in range(1, len(w))}, max(map(len, (*ends, "")))
+
+    def cover(self, cp: np.ndarray, digit: np.ndarray, owner: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the characters lie in a name, which in a unit after a number, and at which a name begins where one before ends."""
+        n = len(cp)
+        after = np.flatnonzero(digit[:-1] & ~digit[1:]) + 1 if n else np.zeros(0, np.int64)
+        if owner is not None:
+            after = after[owner[after] == owner[after - 1]]
+        begins = window_hashes(cp, 3, 8) if self.names else np.zeros(0, np.uint64)
+        begins = np.flatnonzero(self._begins[begins & np.uint64((1 << 18) - 1)])
+        sums, down = _sums(cp, 7)
+        out = []
+        for at, sizes in zip((begins, after), self._hashes):
+            begun, ended = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+            for size, known in sizes.items():
+                here = at[at + size <= n]
+                if owner is not None:
+                    here = here[owner[here] == owner[here + size - 1]]
+                with np.errstate(over="ignore"):
+                    h = _mix((sums[here + size] - sums[here]) * down[here])
+                here = here[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
+                begun[here] += 1
+                ended[here + size] += 1
+            over = np.cumsum(begun - ended)[:n]  # how many words cover a character
+            met = over > 0
+            met[1:] &= (over[:-1] > 0) & (ended[1:n] == over[:-1])
+            out.append((over > 0, met))
+        (named, begins), (unit, _) = out
+        return named, unit & ~named, begins & named
+
+    def cut_off(self, b: str) -> tuple[np.ndarray, np.ndarray]:
+        """By position, how far a name or unit cut off there may reach on, and how far back one that is cut off there."""
+        ends, beginnings, longest = self._cut
+        on, back = np.zeros(len(b) + 1, np.int64), np.zeros(len(b) + 1, np.int64)
+        for i in range(len(b)):
+            for k in range(1, min(longest, len(b) - i) + 1):
+                w = b[i : i + k]
+                if w in ends:
+                    on[i] = k
+                if w in beginnings:
+                    back[i + k] = max(back[i + k], k)
+        return on, back
+
+
+def _sums(tokens: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums from which :func:`window_hashes` makes the hash of any window, and the factors for its beginning."""
+    n = len(tokens)
+    up, down = _powers(1 << max(12, int(n).bit_length()))
+    with np.errstate(over="ignore"):
+        value = _mix(tokens.astype(np.uint64) + np.uint64(salt << 32))
+        return np.concatenate([[np.uint64(0)], np.cumsum(value * up[:n], dtype=np.uint64)]), down
+
+
 def _exact(t: Template, text: str) -> np.ndarray:
-    """The tokens of a number template with numbers told apart by their digits, the same in every process."""
+    """The tokens of a number template with slots told apart by what fills them, the same in every process."""
     out = t.tokens.copy()
-    at = np.flatnonzero(out == _NUMBER)
+    at = np.flatnonzero(out >= _NUMBER)
     if len(at):
         cp = _points(text)
-        digit = np.flatnonzero(_classes()[cp] == 2)
+        digit = np.flatnonzero(_classes()[cp])
         first, last = np.searchsorted(digit, t.start[at]), np.searchsorted(digit, t.end[at])
         with np.errstate(over="ignore"):
-            # Horner's rule over each number's digits at once, by their distance from its end
+            # Horner's rule over each slot's characters at once, by their distance from its end
             n = last - first
             upto = np.concatenate([[0], np.cumsum(n)[:-1]])
             k = np.arange(n.sum()) - np.repeat(upto, n)
@@ -302,8 +409,10 @@ class Plan:
     span: int
     width_full: int = TEMPLATE_WINDOW
     span_full: int = MIN_TEMPLATE - TEMPLATE_WINDOW + 1
-    #: Verbatim runs share windows of the number template; the full one is for other parameters.
+    #: Verbatim runs share windows of the first template; the full one is for other parameters.
     verbatim_only: bool = False
+    #: Names and units that are slots of the first template, where it has others than numbers.
+    words: Words | None = None
 
     def windows(self, folded: list[str], titles: list[list[tuple[int, int]]] | None = None) -> tuple[np.ndarray, ...]:
         """Chosen windows of both templates: text number, hash, fill, the span of its text that each covers, and its reach.
@@ -320,7 +429,7 @@ class Plan:
         sizes = np.array([len(f) + 1 for f in folded], np.int64)
         owner = np.repeat(np.arange(len(folded)), sizes)
         begin = np.concatenate([[0], np.cumsum(sizes)])
-        sides = [(1, number_template(joined, self.collapse, owner), self.width, self.span)]
+        sides = [(1, number_template(joined, self.collapse, owner, self.words), self.width, self.span)]
         if not self.verbatim_only:
             marks = [(a + off, z + off) for spans, off in zip(titles or [], begin.tolist()) for a, z in spans]
             sides.append((2, full_template(joined, marks), self.width_full, self.span_full))
@@ -341,6 +450,16 @@ class Plan:
             out.append((own, h[at].astype(np.int64), fill.astype(np.int64), t.start[at] - offset, t.end[at + width - 1] - offset, lo, hi))
         return tuple(np.concatenate(x) for x in zip(*out))
 
+    def alike(self, folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Text number and hash of every run of the first template as long as a verbatim passage is sure to have, slots told apart by what fills them."""
+        joined = _BETWEEN.join(folded)
+        owner = np.repeat(np.arange(len(folded)), [len(f) + 1 for f in folded])
+        t = number_template(joined, self.collapse, owner, self.words)
+        n = self.width + self.span - 1
+        h, text = window_hashes(_exact(t, joined), n, 5), owner[t.start]
+        within = np.flatnonzero(text[: len(h)] == text[n - 1 :]) if len(h) else np.zeros(0, np.int64)
+        return text[within], h[within]
+
 
 def _chunks(texts: list[str], size: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Texts in groups of about so many characters, each with the number of its first."""
@@ -355,45 +474,130 @@ def _chunks(texts: list[str], size: int = 1 << 18) -> Iterator[tuple[int, list[s
         yield start, held
 
 
-def safe_length(folded: str, min_run: int, collapse: bool) -> int:
-    """Fewest template tokens that lie within any ``min_run`` characters of the text, cut numbers at its ends left out."""
-    t = number_template(folded, collapse)
+def safe_length(folded: str, min_run: int, collapse: bool, words: Words | None = None) -> int:
+    """Fewest template tokens that any ``min_run`` characters of the text are sure to have wherever they stand.
+
+    Left out is what the characters beyond an end may change there: numbers, names and units that
+    they may be part of.
+    """
+    return int(_safe_lengths(folded, min_run, collapse, words).min(initial=1 << 30))
+
+
+def _safe_lengths(folded: str, min_run: int, collapse: bool, words: Words | None) -> np.ndarray:
+    """The tokens meant in :func:`safe_length`, of every run."""
+    t = number_template(folded, collapse, words=words)
     cls = _classes()[_points(folded)]
     at = np.flatnonzero(cls)
     if len(at) < min_run:
-        return 1 << 30
+        return np.zeros(0, np.int64)
     start, end = np.searchsorted(at, t.start), np.searchsorted(at, t.end)
-    number = t.tokens == _NUMBER
+    slot = t.tokens >= _NUMBER
     a = np.arange(len(at) - min_run + 1)
     b = a + min_run
-    # a token that begins at the edge may be cut from a longer run of digits there
-    lo = np.searchsorted(start + number, a, side="left")
-    lo = np.where((lo < len(start)) & number[np.minimum(lo, len(start) - 1)] & (start[np.minimum(lo, len(start) - 1)] <= a), lo + 1, lo)
-    hi = np.searchsorted(end + number, b, side="right")
-    return int((hi - lo).min())
+    if words is not None:
+        on, back = words.cut_off(bare(folded))
+        a, b = a + on[a], b - back[b]
+    # a slot that touches the edge may go on beyond it
+    lo = np.searchsorted(start, a, side="left")
+    at_lo = np.minimum(lo, len(start) - 1)
+    lo += (lo < len(start)) & slot[at_lo] & (start[at_lo] == a)
+    hi = np.searchsorted(end, b, side="right")
+    hi -= (hi > 0) & slot[hi - 1] & (end[hi - 1] == b)
+    return np.maximum(hi - lo, 0)
+
+
+def too_dense(folded: str, min_run: int, words: Words, least: int = LEAST_TOKENS) -> set[str]:
+    """Names to leave out so that every run of the text keeps ``least`` tokens: those that take the most characters of the runs with the fewest."""
+    b, names, out = bare(folded), list(words.names), set()
+    while True:
+        n = _safe_lengths(folded, min_run, True, Words(tuple(names), words.units))
+        if n.min(initial=least) >= least:
+            return out
+        run = b[(at := int(n.argmin())) : at + min_run]
+        held = [w for w in names if w in run]
+        if not held:
+            return out
+        most = max(held, key=lambda w: ((len(w) - 1) * run.count(w), w))
+        names.remove(most)
+        out.add(most)
+
+
+def words_of(text: str) -> list[tuple[str, str]]:
+    """(kind, word) of the names and units in an item by the rules of the full template, as letters and digits only.
+
+    Identifiers come apart at their underscores, capitalised names at blanks, phrases at の.
+    """
+    folded = fold(text)
+    t = full_template(folded, titled(text))
+    out = []
+    for kind, a, b in zip(t.tokens.tolist(), t.start.tolist(), t.end.tolist()):
+        if kind in (_NAME, _UNIT, _PHRASE):
+            parts = [bare(w) for w in re.split(r"[_ の]+", folded[a:b])]
+            if kind == _UNIT and parts[0] and parts[0] not in _GRAMMAR:
+                out.append(("unit", parts[0]))
+            out += [("name", w) for w in parts[kind == _UNIT :] if NAME_SIZES[0] <= len(w) <= NAME_SIZES[1] and w not in _GRAMMAR]
+    return out
+
+
+def item_words(items: DataFrame, text: str, min_run: int = MIN_RUN) -> Words:
+    """Names and units of the items; whatever a verbatim passage holds, it holds no others.
+
+    Names are left out until every run of every item keeps ``LEAST_TOKENS``, in a few rounds at most.
+    """
+
+    def per_item(of: Callable[[str], Iterable[tuple[str, str]]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [w for t in b.column("text").to_pylist() for w in of(t or "")]
+                yield pa.RecordBatch.from_arrays([pa.array([w[i] for w in found], pa.string()) for i in (0, 1)], names=["kind", "word"])
+
+        return spread(items.select(F.col(text).alias("text"))).mapInArrow(run, "kind string, word string").groupBy("kind", "word").count()
+
+    rows = per_item(words_of).orderBy(F.desc("count"), "kind", "word").limit(MAX_WORDS).collect()
+    names, units = ({r.word for r in rows if r.kind == kind} for kind in ("name", "unit"))
+    words = Words(tuple(sorted(names)), tuple(sorted(units)))
+    for _ in range(4):
+        dense = {r.word for r in per_item(lambda t, w=words: [("name", x) for x in too_dense(fold(t), min_run, w)]).collect()}
+        if not dense:
+            break
+        words = Words(tuple(sorted(names := names - dense)), words.units)
+    return words
 
 
 def plan_for(items: DataFrame, text: str, min_run: int = MIN_RUN, verbatim_only: bool = False) -> Plan:
     """Windows such that every ``min_run`` common characters share a chosen one, whatever the items are.
 
-    The least number of template tokens in any such run of any item is found over all items. Items
-    so full of digits that it falls below 16 make the template keep its digits.
+    The least number of template tokens in any such run of any item is found over all items. Where
+    only verbatim passages are looked for, the one template has the items' names and units as
+    slots beside the numbers; items so full of them that the least number falls below 16 leave the
+    numbers only, and items so full of digits make the template keep its digits.
     """
     ship(items.sparkSession)
 
-    @F.pandas_udf("bigint")
-    def least(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: safe_length(fold(t or ""), min_run, True)).astype("int64")
+    def fewest(words: Words | None) -> int | None:
+        @F.pandas_udf("bigint")
+        def least(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: safe_length(fold(t or ""), min_run, True, words)).astype("int64")
 
-    n = items.agg(F.min(least(F.col(text)))).first()[0]
+        return items.agg(F.min(least(F.col(text)))).first()[0]
+
+    if verbatim_only:
+        words = item_words(items, text, min_run)
+        n = fewest(words)
+        if n is not None and n >= 16:
+            n = min(n, min_run)
+            return Plan(True, n // 2, n - n // 2 + 1, verbatim_only=True, words=words)
+    n = fewest(None)
     if n is not None and n < 16:
         return Plan(False, min_run // 2, min_run - min_run // 2 + 1, verbatim_only=verbatim_only)
     n = min(n if n is not None else min_run, min_run)
     return Plan(True, n // 2, n - n // 2 + 1, verbatim_only=verbatim_only)
 
 
-def _table_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _table_places(h: np.ndarray, fill: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     u = h.astype(np.uint64)
+    if fill is not None:
+        u = _mix(u ^ (fill.astype(np.uint64) >> np.uint64(1)))
     mask = np.uint64((1 << TABLE_BITS) - 1)
     return u & mask, (u >> np.uint64(TABLE_BITS)) & mask
 
@@ -413,18 +617,18 @@ def item_windows(items: DataFrame, item_id: str, text: str, plan: Plan) -> DataF
     return items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where(F.col("item_id").isNotNull()).mapInArrow(run, f"hash bigint, fill bigint, item_id {kind}").distinct()
 
 
-def _bit_table(windows: DataFrame) -> bytes:
-    """A bit table of fixed size in which every item's window has two bits set."""
+def _bit_table(windows: DataFrame, filled: bool = False) -> bytes:
+    """A bit table of fixed size in which every item's window has two bits set; with ``filled`` windows differ by what fills their slots."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << TABLE_BITS, bool)
         for b in batches:
-            for p in _table_places(b.column("hash").to_numpy()):
+            for p in _table_places(b.column("hash").to_numpy(), b.column("fill").to_numpy() if filled else None):
                 bits[p] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
 
     # few partitions, so that as few tables of fixed size come to the driver
-    parts = windows.select("hash").coalesce(4).mapInArrow(fill, "bits binary").collect()
+    parts = windows.select("hash", "fill").coalesce(4).mapInArrow(fill, "bits binary").collect()
     out = np.zeros((1 << TABLE_BITS) // 8, np.uint8)
     for r in parts:
         out |= np.frombuffer(r.bits, np.uint8)
@@ -467,7 +671,7 @@ def _stretches(plan: Plan, table, min_run: int):
             for begin, group in _chunks([fold(t or "") for t in raw]):
                 titles = [[] if plan.verbatim_only else titled(t or "") for t in raw[begin : begin + len(group)]]
                 text, h, fill, start, end, left, right = plan.windows(group, titles)
-                one, two = _table_places(h)
+                one, two = _table_places(h, fill if plan.verbatim_only else None)
                 hit = np.flatnonzero(bits[one] & bits[two])
                 hit = hit[np.lexsort((start[hit], text[hit]))]
                 for rows in np.split(hit, np.flatnonzero(np.diff(text[hit])) + 1) if len(hit) else []:
@@ -496,7 +700,7 @@ def candidates(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     spark = docs.sparkSession
     ship(spark)
     windows = cut(item_windows(items, item_id, item_text, plan), "item-windows")
-    table = spark.sparkContext.broadcast(_bit_table(windows))
+    table = spark.sparkContext.broadcast(_bit_table(windows, plan.verbatim_only))
     kind = dict(docs.dtypes)[doc_id]
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     found = spread(src).mapInArrow(_stretches(plan, table, min_run), f"doc_id {kind}, stretch string, titles array<int>, windows array<struct<hash: bigint, fill: bigint>>")
@@ -523,34 +727,44 @@ class Slots:
 class _Side:
     """A text laid out for comparison: both templates, and what fills their slots."""
 
-    def __init__(self, folded: str, titles: list[tuple[int, int]], collapse: bool = True) -> None:
-        self.text, self.titles, self.collapse = folded, titles, collapse
+    def __init__(self, folded: str, titles: list[tuple[int, int]], collapse: bool = True, words: Words | None = None) -> None:
+        self.text, self.titles, self.collapse, self.words = folded, titles, collapse, words
+        self._marks: tuple | None = None
 
     @cached_property
     def letters(self) -> np.ndarray:
         """How many letters and digits stand before each position."""
         return np.concatenate([[0], np.cumsum(_classes()[_points(self.text)] > 0)])
 
+    @cached_property
+    def bare(self) -> str:
+        return bare(self.text)
+
     @cached_property
     def numbers(self) -> Template:
-        return number_template(self.text, self.collapse)
+        return number_template(self.text, self.collapse, words=self.words)
 
     @cached_property
     def exact(self) -> np.ndarray:
         return _exact(self.numbers, self.text)
 
+    def marks(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the first template's windows with their slots filled: by position, sorted, and the order. Kept for the width asked for last."""
+        if self._marks is None or self._marks[0] != width:
+            h = window_hashes(self.exact, width, 3)
+            order = np.argsort(h, kind="stable")
+            self._marks = width, (h, h[order], order)
+        return self._marks[1]
+
     @cached_property
     def full(self) -> Template:
         return full_template(self.text, self.titles)
 
-    def long_windows(self, verbatim_only: bool) -> np.ndarray:
+    def long_windows(self) -> np.ndarray:
         """Hashes of all runs long enough to count: of letters and digits, and of template tokens."""
         cp = _points(self.text)
         runs = window_hashes(cp[_classes()[cp] > 0].astype(np.int64), MIN_RUN, 5)
-        return runs if verbatim_only else np.concatenate([runs, window_hashes(self.full.tokens, MIN_TEMPLATE, 6)])
-
-    def digits(self, k: int) -> str:
-        return bare(self.text[self.numbers.start[k] : self.numbers.end[k]])
+        return np.concatenate([runs, window_hashes(self.full.tokens, MIN_TEMPLATE, 6)])
 
     def fill(self, k: int) -> str:
         return self.text[self.full.start[k] : self.full.end[k]].strip()
@@ -558,9 +772,14 @@ class _Side:
 
 def _diagonals(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
     """Offsets of ``b`` against ``a`` at which some window of ``width`` tokens is the same."""
-    ha, hb = window_hashes(a, width, 3), window_hashes(b, width, 3)
+    hb = window_hashes(b, width, 3)
     order = np.argsort(hb, kind="stable")
-    lo, hi = (np.searchsorted(hb[order], ha, side=s) for s in ("left", "right"))
+    return _offsets(window_hashes(a, width, 3), hb[order], order)
+
+
+def _offsets(ha: np.ndarray, hb: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Offsets at which hashes ``ha`` are among the sorted ``hb``, whose positions are in ``order``."""
+    lo, hi = (np.searchsorted(hb, ha, side=s) for s in ("left", "right"))
     n = hi - lo
     i = np.repeat(np.arange(len(ha)), n)
     j = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(i) else i
@@ -575,32 +794,35 @@ def _along(a: np.ndarray, b: np.ndarray, d: int) -> tuple[int, np.ndarray, np.nd
     return first, lo, hi
 
 
-def _common(x: str, y: str) -> int:
+def _common(x: str, y: str, i: int, j: int, step: int) -> int:
+    """How many characters from ``x[i]`` and ``y[j]`` on are the same, in steps of 1 or -1."""
     n = 0
-    for p, q in zip(x, y):
-        if p != q:
-            break
-        n += 1
+    while 0 <= i < len(x) and 0 <= j < len(y) and x[i] == y[j]:
+        n, i, j = n + 1, i + step, j + step
     return n
 
 
-def longest_verbatim(s: _Side, t: _Side, width: int) -> int:
-    """The longest run of equal letters and digits along windows of the number template with their slots filled alike.
+def longest_verbatim(s: _Side, t: _Side, width: int) -> tuple[int, int, int]:
+    """The longest run of equal letters and digits, its template tokens and its slots.
 
-    Exact for every run that holds a whole window of ``width`` tokens; a number cut by an end of the run counts as far as it is the same.
+    Runs of the first template are laid along its windows with their slots filled alike; a slot
+    filled otherwise ends a run, which then reaches into it as far as the characters are the same.
+    Exact for every run that holds a whole window of ``width`` tokens.
     """
-    best = 0
+    best = (0, 0, 0)
     a, b = s.numbers, t.numbers
-    for d in _diagonals(s.exact, t.exact, width).tolist():
-        first, lo, hi = _along(s.exact, t.exact, d)
-        for x, y in zip(lo.tolist(), hi.tolist()):
-            i, z = first + x, first + y
-            n = int(s.letters[a.end[z - 1]] - s.letters[a.start[i]])
-            if i and i + d and a.tokens[i - 1] == b.tokens[i + d - 1] == _NUMBER:
-                n += _common(s.digits(i - 1)[::-1], t.digits(i + d - 1)[::-1])
-            if z < len(a.tokens) and z + d < len(b.tokens) and a.tokens[z] == b.tokens[z + d] == _NUMBER:
-                n += _common(s.digits(z), t.digits(z + d))
-            best = max(best, n)
+    for d in _offsets(s.marks(width)[0], *t.marks(width)[1:]).tolist():
+        first, lo, hi = _along(a.tokens, b.tokens, d)
+        lo, hi = (at[hi - lo >= width] for at in (lo, hi))
+        for x, y in zip((first + lo).tolist(), (first + hi).tolist()):
+            slots = x + np.flatnonzero(a.tokens[x:y] >= _NUMBER)
+            other = slots[s.exact[slots] != t.exact[slots + d]].tolist()
+            for i, z in zip([x, *[k + 1 for k in other]], [*other, y]):
+                if z - i >= width:
+                    p, q = int(s.letters[a.start[i]]), int(t.letters[b.start[i + d]])
+                    n = int(s.letters[a.end[z - 1]]) - p
+                    n += _common(s.bare, t.bare, p - 1, q - 1, -1) + _common(s.bare, t.bare, p + n, q + n, 1)
+                    best = max(best, (n, z - i, int(np.searchsorted(slots, z) - np.searchsorted(slots, i))))
     return best
 
 
@@ -619,10 +841,14 @@ def _fillings(s: _Side, t: _Side, i: int, j: int, n: int) -> tuple[int, int, boo
 
 
 def lay(s: _Side, t: _Side, width: int, width_full: int = TEMPLATE_WINDOW, verbatim_only: bool = False) -> Slots:
-    """A stretch against an item: the longest verbatim run, and the longest template run, a consistent one of enough tokens first."""
-    exact = longest_verbatim(s, t, width)
-    best = (False, 0, 0, 0)
+    """A stretch against an item: the longest verbatim run, and the longest template run, a consistent one of enough tokens first.
+
+    With ``verbatim_only`` tokens and slots are those of the verbatim run, which are all filled alike.
+    """
+    exact, tokens, slots = longest_verbatim(s, t, width)
+    best = (exact > 0, tokens, slots, 0)
     if not verbatim_only:
+        best = (False, 0, 0, 0)
         for d in _diagonals(s.full.tokens, t.full.tokens, width_full).tolist():
             first, lo, hi = _along(s.full.tokens, t.full.tokens, d)
             for x, y in zip(lo.tolist(), hi.tolist()):
@@ -643,11 +869,18 @@ def compare_slots(stretch: str, item: str, width: int = TEMPLATE_WINDOW) -> Slot
 BLOCK_CHARACTERS = 1 << 25
 
 
+def _numbered(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of each array, and the number of the array before them."""
+    runs = [np.unique(r) for r in runs]
+    return np.repeat(np.arange(len(runs)), [len(r) for r in runs]), np.concatenate([*runs, np.zeros(0, np.uint64)])
+
+
 def _laying(block, plan: Plan):
     """Every stretch against the items of a block that it names: (doc_id, item_id, verbatim, tokens, slots, changed, consistent).
 
-    Hashes of all runs that are long enough, of a stretch at once against those of all items of
-    the block, tell which items are worth laying out; those are laid along the shared windows.
+    Hashes of all runs that are long enough, of the stretches against those of all items of the
+    block, tell which items are worth laying out; those are laid along the shared windows. Without
+    the full template these are runs of the first one with their slots filled alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -655,24 +888,28 @@ def _laying(block, plan: Plan):
         number: dict = {}  # an id may stand for several texts
         for i, x in enumerate(ids):
             number.setdefault(x, []).append(i)
-        sides = [_Side(fold(t), titled(t), plan.collapse) for t in texts]
-        runs = [s.long_windows(plan.verbatim_only) for s in sides]
-        owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-        every = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
+        sides = [_Side(fold(t), titled(t), plan.collapse, plan.words) for t in texts]
+        width = plan.width + plan.span - 1 if plan.verbatim_only else plan.width
+        owner, every = plan.alike([s.text for s in sides]) if plan.verbatim_only else _numbered([s.long_windows() for s in sides])
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
         for b in batches:
             docs, found, rows = [], [], []
-            for i, (stretch, titles, named) in enumerate(zip(b.column("stretch").to_pylist(), b.column("titles").to_pylist(), b.column("item_ids").to_pylist())):
-                side = _Side(stretch, list(zip(titles[::2], titles[1::2])), plan.collapse)
-                mine = np.unique(side.long_windows(plan.verbatim_only))
-                lo, hi = (np.searchsorted(every, mine, side=x) for x in ("left", "right"))
+            stretches, names, named = (b.column(c).to_pylist() for c in ("stretch", "titles", "item_ids"))
+            for begin, group in _chunks(stretches):
+                part = [_Side(t, list(zip(x[::2], x[1::2])), plan.collapse, plan.words) for t, x in zip(group, names[begin:])]
+                mine, h = plan.alike(group) if plan.verbatim_only else _numbered([s.long_windows() for s in part])
+                lo, hi = (np.searchsorted(every, h, side=x) for x in ("left", "right"))
                 n = hi - lo
-                at = np.unique(owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]) if n.any() else []
-                for k in {k for x in named for k in number.get(x, ())}.intersection(map(int, at)):
-                    docs.append(i)
-                    found.append(k)
-                    rows.append(lay(side, sides[k], plan.width, verbatim_only=plan.verbatim_only))
+                at = owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.any() else np.zeros(0, np.int64)
+                worth: dict[int, set[int]] = {}
+                for i, k in set(zip(np.repeat(mine, n).tolist(), at.tolist())):
+                    worth.setdefault(i, set()).add(k)
+                for i in sorted(worth):
+                    for k in {k for x in named[begin + i] for k in number.get(x, ())} & worth[i]:
+                        docs.append(begin + i)
+                        found.append(k)
+                        rows.append(lay(part[i], sides[k], width, verbatim_only=plan.verbatim_only))
             cols = [pa.array([getattr(r, c) for r in rows], t) for c, t in (("verbatim", pa.int32()), ("tokens", pa.int32()), ("slots", pa.int32()), ("changed", pa.int32()), ("consistent", pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(docs, pa.int64())), pa.array([ids[k] for k in found], b.column("item_ids").type.value_type), *cols], names=["doc_id", "item_id", "verbatim", "tokens", "slots", "changed", "consistent"])
 
@@ -708,7 +945,7 @@ def verbatim_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, it
     repeated rows count as one; other columns cannot clash.
     """
     seen = laid_out(docs, doc_id, text, items, item_id, item_text, verbatim_only=True)
-    return seen.where(F.col("verbatim") >= MIN_RUN).select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id)).distinct()
+    return seen.where(F.col("consistent") & (F.col("verbatim") >= MIN_RUN)).select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id)).distinct()
 
 
 def template_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:

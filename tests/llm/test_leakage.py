@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyforge.llm import leakage
-from tallyforge.llm.leakage import MIN_RUN, MIN_TEMPLATE, Plan, _Side, bare, compare_slots, fold, full_template, lay, number_template, plan_for, safe_length, template_leaks, titled, verbatim_leaks, window_hashes, winnow
+from tallyforge.llm.leakage import MIN_RUN, MIN_TEMPLATE, Plan, Words, _Side, bare, compare_slots, fold, full_template, lay, number_template, plan_for, safe_length, template_leaks, titled, too_dense, verbatim_leaks, window_hashes, winnow
 
 ITEMS = [
     (1, "Let weighted_rental_rate be the quotient of coupon_amount and credit_note_status, formed even if 2 slips carry one key. Which of the two may be summed over 12 weeks?"),
@@ -193,3 +193,45 @@ def test_long_names_keep_the_whole_template_run(spark):
     got = {(r.doc_id, r.item_id): r for r in template_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()}
     for n, (i, d) in enumerate(pairs):
         assert got[n, n].kind == "reparameterised" and got[n, n].template_tokens == compare_slots(fold(d), i).tokens >= MIN_TEMPLATE
+
+
+def test_verbatim_search_has_names_and_units_as_slots(spark):
+    items = spark.createDataFrame(ITEMS[:4], "item_id bigint, text string")
+    plan = plan_for(items, "text", verbatim_only=True)
+    assert {"weighted", "rental", "coupon", "amount"} & set(plan.words.names) and {"slips", "weeks", "行"} <= set(plan.words.units)
+    kept = [w for w in ("weighted", "rental", "coupon", "amount", "credit", "status") if w in plan.words.names]
+    item = fold(ITEMS[0][1])
+    assert {leakage._NUMBER, leakage._NAME, leakage._UNIT} <= set(number_template(item, words=plan.words).tokens.tolist())
+    other = item.replace(kept[0], kept[-1]).replace("slips", "weeks").replace("12", "7")
+    alike = lambda t, k: {x for x in zip(*(c.tolist() for c in plan.windows([t])[1 : 2 + k]))}
+    assert alike(other, 0) == alike(item, 0) and alike(other, 1) != alike(item, 1)  # one template, other fillings
+    a, b = (_Side(t, [], True, plan.words) for t in (fold("So " + ITEMS[0][1]), item))
+    assert lay(a, b, plan.width, verbatim_only=True).slots >= 4 and lay(a, b, plan.width, verbatim_only=True).consistent
+    docs = spark.createDataFrame([(1, ITEMS[0][1].replace(kept[0], kept[-1])), (2, "So " + ITEMS[0][1])], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in verbatim_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()) == brute([tuple(r) for r in docs.collect()], ITEMS[:4])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aabbc12 _-", min_size=70, max_size=160), st.integers(0, 80), st.text(alphabet="abc1 _", max_size=20), st.text(alphabet="abc1 _", max_size=20), st.lists(st.text(alphabet="abc", min_size=3, max_size=9), max_size=6), st.lists(st.text(alphabet="abc", min_size=1, max_size=5), max_size=4))
+def test_a_long_run_shares_a_window_with_names_and_units(item, start, before, after, names, units):
+    run = bare(fold(item))[start : start + MIN_RUN]
+    words = Words(tuple(sorted(set(names))), tuple(sorted(set(units))))
+    n = min(safe_length(item, MIN_RUN, True, words), MIN_RUN)
+    if len(run) < MIN_RUN or n < 2:
+        return
+    plan = Plan(True, n // 2, n - n // 2 + 1, verbatim_only=True, words=words)
+    doc = before + run + after
+    pairs = lambda w: set(zip(w[1].tolist(), w[2].tolist()))
+    assert pairs(plan.windows(["9 a", doc, "12 x"])) & pairs(plan.windows([item]))
+    assert set(plan.alike(["9 a", doc, "12 x"])[1].tolist()) & set(plan.alike([item])[1].tolist())
+    laid = lay(_Side(doc, [], True, words), _Side(item, [], True, words), n, verbatim_only=True)
+    a, b = bare(doc), bare(item)
+    assert laid.consistent and laid.verbatim >= MIN_RUN and any(a[i : i + laid.verbatim] in b for i in range(len(a) - laid.verbatim + 1))
+
+
+def test_names_that_fill_a_run_are_left_out():
+    text = "gross_ticket_count over net_refund_share by gross_ticket_count over net_refund_share by gross_ticket_count, in all"
+    words = Words(("count", "gross", "net", "refund", "share", "ticket"), ())
+    assert safe_length(text, MIN_RUN, True, words) < leakage.LEAST_TOKENS
+    out = too_dense(text, MIN_RUN, words)
+    assert out and safe_length(text, MIN_RUN, True, Words(tuple(w for w in words.names if w not in out), ())) >= leakage.LEAST_TOKENS
