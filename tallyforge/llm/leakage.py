@@ -450,15 +450,60 @@ class Plan:
             out.append((own, h[at].astype(np.int64), fill.astype(np.int64), t.start[at] - offset, t.end[at + width - 1] - offset, lo, hi))
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def alike(self, folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Text number and hash of every run of the first template as long as a verbatim passage is sure to have, slots told apart by what fills them."""
+    def alike(self, folded: list[str]) -> _Joined:
+        """The texts laid out together for :func:`_verbatim_runs`."""
         joined = _BETWEEN.join(folded)
         owner = np.repeat(np.arange(len(folded)), [len(f) + 1 for f in folded])
         t = number_template(joined, self.collapse, owner, self.words)
         n = self.width + self.span - 1
         h, text = window_hashes(_exact(t, joined), n, 5), owner[t.start]
-        within = np.flatnonzero(text[: len(h)] == text[n - 1 :]) if len(h) else np.zeros(0, np.int64)
-        return text[within], h[within]
+        at = np.flatnonzero(text[: len(h)] == text[n - 1 :]) if len(h) else np.zeros(0, np.int64)
+        letters = np.concatenate([[0], np.cumsum(_classes()[_points(joined)] > 0)])
+        first = letters[np.concatenate([[0], np.cumsum([len(f) + 1 for f in folded])[:-1]]).astype(np.int64)] if folded else np.zeros(0, np.int64)
+        return _Joined(text[at], h[at], at, letters[t.start], letters[t.end], np.concatenate([[0], np.cumsum(t.tokens >= _NUMBER)]), bare(joined), np.append(first, letters[-1]))
+
+
+@dataclass
+class _Joined:
+    """Texts laid out together: every run of the first template as long as a verbatim passage is sure to have, and where the tokens are."""
+
+    #: Text number, hash with slots told apart by what fills them, and first token of each such run.
+    text: np.ndarray
+    hash: np.ndarray
+    at: np.ndarray
+    #: Where tokens begin and end among letters and digits, and how many slots stand before each.
+    start: np.ndarray
+    end: np.ndarray
+    slots: np.ndarray
+    #: The letters and digits, and where those of each text begin.
+    bare: str
+    first: np.ndarray
+
+
+def _verbatim_runs(s: _Joined, t: _Joined, width: int) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """:func:`longest_verbatim` of all texts of ``s`` against all of ``t`` at once, by their numbers, where ``width`` tokens are alike."""
+    order = np.argsort(t.hash, kind="stable")
+    lo, hi = (np.searchsorted(t.hash[order], s.hash, side=x) for x in ("left", "right"))
+    n = hi - lo
+    if not n.any():
+        return {}
+    i = np.repeat(np.arange(len(n)), n)
+    j = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+    p, q = s.at[i], t.at[j]
+    order = np.lexsort((p, q - p, t.text[j], s.text[i]))
+    i, j, p, q = i[order], j[order], p[order], q[order]
+    # what goes on token by token in the same two texts is one run
+    on = (np.diff(p) == 1) & (np.diff(q) == 1) & (np.diff(s.text[i]) == 0) & (np.diff(t.text[j]) == 0)
+    head = np.flatnonzero(np.concatenate([[True], ~on]))
+    last = p[np.append(head[1:], len(p)) - 1] + width
+    p, q, x, y = p[head], q[head], s.text[i[head]], t.text[j[head]]
+    rows = (x, y, s.start[p], s.end[last - 1], t.start[q], s.first[x], s.first[x + 1], t.first[y], t.first[y + 1], last - p, s.slots[last] - s.slots[p])
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for x, y, a, z, b, a0, a1, b0, b1, tokens, slots in zip(*(r.tolist() for r in rows)):
+        size = z - a
+        size += _common(s.bare, t.bare, a - 1, b - 1, -1, a - a0, b - b0) + _common(s.bare, t.bare, z, b + z - a, 1, a1 - z, b1 - b - (z - a))
+        best[x, y] = max(best.get((x, y), (0, 0, 0)), (size, tokens, slots))
+    return best
 
 
 def _chunks(texts: list[str], size: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
@@ -794,10 +839,10 @@ def _along(a: np.ndarray, b: np.ndarray, d: int) -> tuple[int, np.ndarray, np.nd
     return first, lo, hi
 
 
-def _common(x: str, y: str, i: int, j: int, step: int) -> int:
-    """How many characters from ``x[i]`` and ``y[j]`` on are the same, in steps of 1 or -1."""
-    n = 0
-    while 0 <= i < len(x) and 0 <= j < len(y) and x[i] == y[j]:
+def _common(x: str, y: str, i: int, j: int, step: int, *most: int) -> int:
+    """How many characters from ``x[i]`` and ``y[j]`` on are the same, in steps of 1 or -1, ``most`` at most."""
+    n, most = 0, min(most or (len(x),))
+    while n < most and 0 <= i < len(x) and 0 <= j < len(y) and x[i] == y[j]:
         n, i, j = n + 1, i + step, j + step
     return n
 
@@ -869,47 +914,49 @@ def compare_slots(stretch: str, item: str, width: int = TEMPLATE_WINDOW) -> Slot
 BLOCK_CHARACTERS = 1 << 25
 
 
-def _numbered(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The different values of each array, and the number of the array before them."""
-    runs = [np.unique(r) for r in runs]
-    return np.repeat(np.arange(len(runs)), [len(r) for r in runs]), np.concatenate([*runs, np.zeros(0, np.uint64)])
-
-
 def _laying(block, plan: Plan):
     """Every stretch against the items of a block that it names: (doc_id, item_id, verbatim, tokens, slots, changed, consistent).
 
-    Hashes of all runs that are long enough, of the stretches against those of all items of the
-    block, tell which items are worth laying out; those are laid along the shared windows. Without
-    the full template these are runs of the first one with their slots filled alike.
+    With ``verbatim_only`` they are laid along the shared runs of the first template, all at once.
+    Else hashes of all runs that are long enough, of a stretch at once against those of all items of
+    the block, tell which items are worth laying out; those are laid along the shared windows.
     """
 
+    def verbatim(sides: list[_Side], number: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        every = plan.alike([s.text for s in sides])
+        for b in batches:
+            stretches, named = (b.column(c).to_pylist() for c in ("stretch", "item_ids"))
+            for begin, group in _chunks(stretches):
+                runs = _verbatim_runs(plan.alike(group), every, plan.width + plan.span - 1)
+                wanted = [{k for x in ids for k in number.get(x, ())} for ids in named[begin : begin + len(group)]]
+                yield b, [(begin + i, k, Slots(size, tokens, slots, 0, True)) for (i, k), (size, tokens, slots) in runs.items() if k in wanted[i]]
+
+    def both(sides: list[_Side], number: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        runs = [s.long_windows() for s in sides]
+        owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+        every = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        for b in batches:
+            rows = []
+            for i, (stretch, titles, named) in enumerate(zip(b.column("stretch").to_pylist(), b.column("titles").to_pylist(), b.column("item_ids").to_pylist())):
+                side = _Side(stretch, list(zip(titles[::2], titles[1::2])), plan.collapse)
+                mine = np.unique(side.long_windows())
+                lo, hi = (np.searchsorted(every, mine, side=x) for x in ("left", "right"))
+                n = hi - lo
+                at = np.unique(owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]) if n.any() else []
+                for k in {k for x in named for k in number.get(x, ())}.intersection(map(int, at)):
+                    rows.append((i, k, lay(side, sides[k], plan.width)))
+            yield b, rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = block.value
         number: dict = {}  # an id may stand for several texts
         for i, x in enumerate(ids):
             number.setdefault(x, []).append(i)
-        sides = [_Side(fold(t), titled(t), plan.collapse, plan.words) for t in texts]
-        width = plan.width + plan.span - 1 if plan.verbatim_only else plan.width
-        owner, every = plan.alike([s.text for s in sides]) if plan.verbatim_only else _numbered([s.long_windows() for s in sides])
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        for b in batches:
-            docs, found, rows = [], [], []
-            stretches, names, named = (b.column(c).to_pylist() for c in ("stretch", "titles", "item_ids"))
-            for begin, group in _chunks(stretches):
-                part = [_Side(t, list(zip(x[::2], x[1::2])), plan.collapse, plan.words) for t, x in zip(group, names[begin:])]
-                mine, h = plan.alike(group) if plan.verbatim_only else _numbered([s.long_windows() for s in part])
-                lo, hi = (np.searchsorted(every, h, side=x) for x in ("left", "right"))
-                n = hi - lo
-                at = owner[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.any() else np.zeros(0, np.int64)
-                worth: dict[int, set[int]] = {}
-                for i, k in set(zip(np.repeat(mine, n).tolist(), at.tolist())):
-                    worth.setdefault(i, set()).add(k)
-                for i in sorted(worth):
-                    for k in {k for x in named[begin + i] for k in number.get(x, ())} & worth[i]:
-                        docs.append(begin + i)
-                        found.append(k)
-                        rows.append(lay(part[i], sides[k], width, verbatim_only=plan.verbatim_only))
+        sides = [_Side(fold(t), titled(t), plan.collapse) for t in texts]
+        for b, laid in (verbatim if plan.verbatim_only else both)(sides, number, batches):
+            docs, found, rows = ([r[n] for r in laid] for n in range(3))
             cols = [pa.array([getattr(r, c) for r in rows], t) for c, t in (("verbatim", pa.int32()), ("tokens", pa.int32()), ("slots", pa.int32()), ("changed", pa.int32()), ("consistent", pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(docs, pa.int64())), pa.array([ids[k] for k in found], b.column("item_ids").type.value_type), *cols], names=["doc_id", "item_id", "verbatim", "tokens", "slots", "changed", "consistent"])
 

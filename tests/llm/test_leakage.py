@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyforge.llm import leakage
-from tallyforge.llm.leakage import MIN_RUN, MIN_TEMPLATE, Plan, Words, _Side, bare, compare_slots, fold, full_template, lay, number_template, plan_for, safe_length, template_leaks, titled, too_dense, verbatim_leaks, window_hashes, winnow
+from tallyforge.llm.leakage import MIN_RUN, MIN_TEMPLATE, Plan, Words, _Side, _verbatim_runs, bare, compare_slots, fold, full_template, lay, number_template, plan_for, safe_length, template_leaks, titled, too_dense, verbatim_leaks, window_hashes, winnow
 
 ITEMS = [
     (1, "Let weighted_rental_rate be the quotient of coupon_amount and credit_note_status, formed even if 2 slips carry one key. Which of the two may be summed over 12 weeks?"),
@@ -223,9 +223,9 @@ def test_a_long_run_shares_a_window_with_names_and_units(item, start, before, af
     doc = before + run + after
     pairs = lambda w: set(zip(w[1].tolist(), w[2].tolist()))
     assert pairs(plan.windows(["9 a", doc, "12 x"])) & pairs(plan.windows([item]))
-    assert set(plan.alike(["9 a", doc, "12 x"])[1].tolist()) & set(plan.alike([item])[1].tolist())
     laid = lay(_Side(doc, [], True, words), _Side(item, [], True, words), n, verbatim_only=True)
     a, b = bare(doc), bare(item)
+    assert _verbatim_runs(plan.alike(["9 a", doc, "12 x"]), plan.alike(["", item]), n)[1, 1] == (laid.verbatim, laid.tokens, laid.slots)
     assert laid.consistent and laid.verbatim >= MIN_RUN and any(a[i : i + laid.verbatim] in b for i in range(len(a) - laid.verbatim + 1))
 
 
